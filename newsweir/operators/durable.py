@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -18,3 +19,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="newsweir-"))
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df`, written once as a Parquet table to the shared checkpoint folder and read back.
+
+    As checkpointed, but compressed and open to column pruning. The table stays until the folder is
+    cleared.
+    """
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="newsweir-")
+    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -25,13 +25,15 @@ def keyed_counts(df: DataFrame, record: str, key: str, name: str = "n") -> DataF
     return pairs.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
-def heavy_share(counts: DataFrame, n: str, share: float, by: str) -> DataFrame:
-    """Rows of `counts` that hold at least `share` of the total of their group `by`.
+def heavy_share(counts: DataFrame, key: str, n: str, share: float, by: str) -> DataFrame:
+    """Rows of `counts` with a key that hold at least `share` of the total of their group `by`, null keys included.
 
-    The totals have one row per value of `by`, a label the caller makes, so they are broadcast.
+    The totals have one row per value of `by`, a label the caller makes, so they are broadcast. The test on
+    the key needs the total: pushed below the join, it would make two different inputs of one.
     """
     totals = counts.groupBy(by).agg(F.sum(n).alias("_total"))
-    return counts.join(F.broadcast(totals), by).filter(F.col(n) >= share * F.col("_total")).drop("_total")
+    heavy = F.when(F.col(n) >= share * F.col("_total"), F.col(key)).isNotNull()
+    return counts.join(F.broadcast(totals), by).filter(heavy).drop("_total")
 
 
 def hot_keys(df: DataFrame, keys: list[str], total: int, weight: Column | None = None, limit: int = HOT_KEYS) -> DataFrame:

@@ -32,8 +32,7 @@ def heavy_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = article_clicks(spark, sf_dir).select(
         F.lit("clicked").alias("field_name"), F.col("article_id").alias("key_text"), F.col("clicks").alias("n")
     )
-    both = [heavy_share(x, "n", HEAVY_SHARE, "field_name") for x in (users, articles)]
-    return both[0].unionByName(both[1]).filter(F.col("key_text").isNotNull()).select("field_name", "key_text")
+    return heavy_share(users.unionByName(articles), "key_text", "n", HEAVY_SHARE, "field_name").select("field_name", "key_text")
 
 
 def history_versions(history: DataFrame) -> DataFrame:
