@@ -1,3 +1,3 @@
 """Operators for text corpora and model training data; nothing outside imports this package."""
 
-PLANS = []
+PLANS = ["newsweir.llm.queries"]
