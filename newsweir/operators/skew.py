@@ -63,18 +63,17 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame,
 
 
 def salted_prefix(
-    df: DataFrame, keys: list[str], order: str, size: Column, before: str, buckets: int, least: int = 0
+    df: DataFrame, keys: list[str], order: str, tie: str, size: Column, before: str, buckets: int = 64
 ) -> DataFrame:
     """Adds `before`: the sum of `size` over the rows of the same keys that come earlier.
 
-    `order` is a column of longs spread evenly over [0, 2^32), unique enough to order by; rows equal in
-    it are ordered by nothing further, so add the id's hash. A window over a key that holds a third of
-    all rows would run in one task. Here the order is cut into `buckets` ranges: sums per (key, range)
-    are combined map-side, running sums over at most `buckets` ranges give each range its start, and the
-    window inside a range sees 1/buckets of a key. Null keys form a key of their own.
+    `order` is a column of longs spread evenly over [0, 2^32), `tie` a unique column that orders rows
+    equal in it. A window over a key that holds a third of all rows would run in one task. Here the order
+    is cut into `buckets` ranges: sums per (key, range) are combined map-side, running sums over at most
+    `buckets` ranges give each range its start, and the window inside a range sees 1/buckets of a key.
+    Null keys form a key of their own.
     """
-    b = F.floor(F.col(order) * buckets / F.lit(2**32)).cast("int")
-    rows = df.withColumn("_size", size.cast("long")).withColumn("_bucket", b)
+    rows = df.withColumn("_size", size.cast("long")).withColumn("_bucket", F.floor(F.col(order) * buckets / F.lit(2**32)).cast("int"))
     sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_size").alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select(
@@ -82,7 +81,7 @@ def salted_prefix(
         F.col("_bucket").alias("_b"),
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"),
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "_bucket").orderBy(order, tie).rowsBetween(Window.unboundedPreceding, -1)
     inner = rows.withColumn("_within", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     joined = inner.join(starts, functools.reduce(operator.and_, same, F.col("_bucket") == F.col("_b")))
