@@ -9,7 +9,11 @@ from newsweir.functions.text import title_and_abstract
 from newsweir.llm.distinctive import distinctive_terms
 from newsweir.llm.frequent import frequent_items, misra_gries
 from newsweir.llm.fusion import fused_ranking
+from newsweir.llm.mixing import mix
+from newsweir.llm.packing import pack
 from newsweir.llm.together import together
+from newsweir.llm.tokens import with_tokens
+from newsweir.operators.durable import stored
 from newsweir.sources.tables import clean_ids, clicks, table
 
 FREQUENT_SHARE = 0.01
@@ -107,6 +111,59 @@ def majority_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("impression_id", "article_id")
 
 
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in containers of each of pack_specs' capacities."""
+    specs = {r["spec_name"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_specs").collect()}
+    sized = stored(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text"))
+    return pack(sized, "doc_id", "tokens", specs).withColumnsRenamed({"spec": "spec_name"})
+
+
+def packing_room(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    specs = table(spark, sf_dir, "pack_specs")
+    packed = packed_documents(spark, sf_dir)
+    per = packed.groupBy("spec_name", "container").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("pieces"))
+    per = per.groupBy("spec_name").agg(
+        F.count_if(F.col("n") > 0).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("n").alias("tokens"), F.max("n").alias("fullest")
+    )
+    return per.join(specs, "spec_name").select(
+        "spec_name", "containers", "pieces", "tokens", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("filled")
+    )
+
+
+def _mix(spark: SparkSession, sf_dir: str, total: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "doc_kind", "text")
+    written = F.when(F.col("doc_kind").isin("article", "wire", "newsletter"), "news").otherwise("readers")
+    return mix(
+        stored(with_tokens(docs, "text")),
+        table(spark, sf_dir, "mix_targets"),
+        doc="doc_id",
+        source="source",
+        domain=written,
+        language="lang",
+        size="tokens",
+        total=total,
+    )
+
+
+def mixed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix with their copies; each source present has its share."""
+    return _mix(spark, sf_dir, "exact")[0]
+
+
+def mixed_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, "exact")[1]
+
+
+def mixed_documents_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As mixed_documents, in mixes as large as their sources; what small sources lack is redistributed."""
+    return _mix(spark, sf_dir, "all")[0]
+
+
+def mixed_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir, "all")[1]
+
+
 QUERIES = {
     "p3_term_scores": term_scores,
     "p3_found": rare_repeated_terms,
@@ -117,6 +174,12 @@ QUERIES = {
     "p7_fused_ranking": fused_candidates,
     "p7_fused_quality": fused_quality,
     "p7_found": majority_articles,
+    "p8_packed": packed_documents,
+    "p8_room": packing_room,
+    "p9_mixed": mixed_documents,
+    "p9_shares": mixed_shares,
+    "p9_mixed_all": mixed_documents_all,
+    "p9_shares_all": mixed_shares_all,
 }
 
 _CLICKS = """clicks AS (SELECT DISTINCT impression_id, article_id
