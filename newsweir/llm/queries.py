@@ -11,12 +11,25 @@ from newsweir.llm.frequent import frequent_items, misra_gries
 from newsweir.llm.fusion import fused_ranking
 from newsweir.llm.mixing import mix
 from newsweir.llm.packing import pack
+from newsweir.llm.similar import nearest, similar_pairs
 from newsweir.llm.together import together
 from newsweir.llm.tokens import with_tokens
 from newsweir.operators.durable import stored
 from newsweir.sources.tables import clean_ids, clicks, table
 
 FREQUENT_SHARE = 0.01
+DIMS = 64
+
+
+def nearest_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 most similar articles of every article with a usable embedding."""
+    articles = table(spark, sf_dir, "articles").select("article_id", "embedding")
+    return nearest(articles, "article_id", "embedding", DIMS, 10).withColumnsRenamed({"item": "article_id", "neighbour": "similar_id"})
+
+
+def similar_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = table(spark, sf_dir, "articles").select("article_id", "embedding")
+    return similar_pairs(articles, "article_id", "embedding", DIMS, 0.9).withColumnsRenamed({"a": "article_id_a", "b": "article_id_b"})
 
 
 def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +178,8 @@ def mixed_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_nearest": nearest_articles,
+    "p2_found": similar_articles,
     "p3_term_scores": term_scores,
     "p3_found": rare_repeated_terms,
     "p4_article_pairs": article_pairs,
@@ -187,6 +202,10 @@ _CLICKS = """clicks AS (SELECT DISTINCT impression_id, article_id
     WHERE impression_id IS NOT NULL AND length(trim(article_id)) > 0)"""
 
 ORACLE = {
+    "p2_found": """WITH v AS (SELECT article_id, max(embedding)::DOUBLE[] AS v FROM articles
+            WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY article_id)
+        SELECT x.article_id AS article_id_a, y.article_id AS article_id_b FROM v x JOIN v y ON x.article_id < y.article_id
+        WHERE list_cosine_similarity(x.v, y.v) >= 0.9""",
     "p3_found": r"""WITH one AS (SELECT DISTINCT article_id, coalesce(title, '') || ' ' || coalesce(abstract, '') AS text
             FROM articles WHERE article_id IS NOT NULL),
         long AS (SELECT article_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+')) AS term FROM one),
