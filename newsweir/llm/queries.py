@@ -11,6 +11,7 @@ from newsweir.llm.frequent import frequent_items, misra_gries
 from newsweir.llm.fusion import fused_ranking
 from newsweir.llm.mixing import mix
 from newsweir.llm.packing import pack
+from newsweir.llm.personal import find_personal, redact_personal
 from newsweir.llm.similar import nearest, similar_pairs
 from newsweir.llm.together import together
 from newsweir.llm.tokens import with_tokens
@@ -177,6 +178,15 @@ def mixed_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir, "all")[1]
 
 
+def personal_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_list"))
+
+
+def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with placeholders for personal information."""
+    return redact_personal(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_list"))
+
+
 QUERIES = {
     "p2_nearest": nearest_articles,
     "p2_found": similar_articles,
@@ -195,6 +205,8 @@ QUERIES = {
     "p9_shares": mixed_shares,
     "p9_mixed_all": mixed_documents_all,
     "p9_shares_all": mixed_shares_all,
+    "p10_found": personal_information,
+    "p10_redacted": redacted_documents,
 }
 
 _CLICKS = """clicks AS (SELECT DISTINCT impression_id, article_id
