@@ -87,7 +87,7 @@ class Recogniser:
             at += len(chunk) + 1
         return out
 
-    def _train(self, examples, steps: int = 160, ridge: float = 2e-2) -> None:
+    def _train(self, examples, steps: int = 150, ridge: float = 2e-2) -> None:
         types: dict[tuple[str, bool], int] = {}
         rows, golds, entities = [], [], []
         slot_words: dict[str, int] = {}
@@ -194,7 +194,7 @@ class Recogniser:
         # of the examples' strongest tokens.
         table = w[idx].sum(1).reshape(len(types), n_off, _LABELS)[:, _OFFSETS.index(0)]
         margin = table[:, 1:].max(1) - table[:, 0]
-        self.bar = float(np.quantile([margin[rows[i][inside]].max() for i, inside in entities], 0.002)) - 0.25
+        self.bar = float(np.quantile([margin[rows[i][inside]].max() for i, inside in entities], 0.0005)) - 1.0
 
     def _ids(self, token: str, glued: bool, grow: bool = False) -> list[int]:
         names = token_features(token, glued, self.given, self.family)
@@ -331,23 +331,43 @@ class Finder:
             open_ = (kind, open_[1] if open_ else offset[j] + a, offset[j] + b, i)
         if open_ is not None:
             spans.append(open_)
-        exact = (settle(text, int(a), int(b), KINDS[k]) for k, a, b, _ in spans)
+        exact = (settle(text, int(a), int(b), KINDS[k]) for k, a, b in self._joined(text, spans))
         return [x for x in exact if x]
 
 
+    def _joined(self, text: str, spans: list[tuple]) -> list[tuple[int, int, int]]:
+        """Spans without their last token; parts of one name that stand apart by a blank, or by a comma after a single word, are one."""
+        out: list[tuple[int, int, int]] = []
+        for k, a, b, _ in spans:
+            if out and k == out[-1][0] and KINDS[k] == "name":
+                gap, left, right = text[out[-1][2] : a], text[out[-1][1] : out[-1][2]], text[a:b]
+                words = right.replace("\xa0", " ").split(" ")
+                first = re.split(r"[ \xa0-]", right.lower())[0]
+                after_comma = gap in (", ", ",\xa0") and not re.search(r"[ \xa0]", left) and len(words) == 1 and first in self.model.given
+                if gap in (" ", "\xa0", "") or gap == ". " and len(re.split(r"[ \xa0]", left)[-1]) == 1 or after_comma:
+                    out[-1] = (k, out[-1][1], b)
+                    continue
+            out.append((k, a, b))
+        return out
+
+
 _AT = r"(?:@|&#64;|\(at\)|\[at\]|\bat\b)"
 _DOT = r"(?:\.|\(dot\)|\[dot\]|\bdot\b)"
 _EMAIL = re.compile(rf"[\w.+-]*\w\s?{_AT}\s?[\w-]+(?:\s?{_DOT}\s?[\w-]*\w)+", re.I)
-_MORE_DIGITS = re.compile(r"[ \xa0.\-/]?\d+\b")
+_NUMBER = re.compile(r"\+?(?:\(\+?\d+\)|\d)[\d \xa0()./\-]*\d|\d{7,}")
+_MORE_DIGITS = re.compile(r"([ \xa0.\-/])\d{2,}\b")
+_TITLE = re.compile(r"(?:mrs?|ms|miss|dr|fru|frøken|fröken|hr|herr|frau|prof)\b\.?[ \xa0]+", re.I)
+_HOUSE_FIRST = re.compile(r"\d+\s?[a-z]?\b,?\s+[^\W\d_]{2,}", re.I)
 
 
 def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
     """The exact span of what was found, or None if it can't be such a thing.
 
     An email must hold a user, an at sign and a host with a dot, in whatever disguise, and is cut to them.
-    Other spans are freed of punctuation and unpaired brackets at their ends. A phone number has 7 to 15
-    digits, and takes in a group that follows while it has under 8; an identity number has 9 or more
-    letters and digits, an address a number and a word, a name two parts on one line.
+    Other spans are freed of punctuation at their ends. A phone number is digits with separators, 7 to 15
+    of them, and takes in a group that follows by the same separator; an identity number has 9 or more
+    letters and digits; an address has a number and a word, and begins with a number that stands before
+    its street; a name has two parts on one line, after any title.
     """
     if kind == "email":
         m = _EMAIL.search(text, a, b)
@@ -358,20 +378,26 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
         b -= 1
     s = text[a:b]
     if kind == "phone":
-        if s.count("(") > s.count(")") and s.startswith("("):
-            a += 1
-        elif s.count(")") > s.count("(") and s.endswith(")"):
-            b -= 1
-        digits = sum(c.isdigit() for c in text[a:b])
-        if digits < 8 and (m := _MORE_DIGITS.match(text, b)):
+        m = max(_NUMBER.finditer(s), key=lambda m: len(m.group()), default=None)
+        if m is None:
+            return None
+        a, b = a + m.start(), a + m.end()
+        if text[a - 1 : a] == "(" and text[a:b].count(")") > text[a:b].count("("):
+            a -= 1
+        # A further group set off as the last ones are belongs to it.
+        gaps = re.findall(r"[ \xa0.\-/]", text[a:b])
+        while gaps and (m := _MORE_DIGITS.match(text, b)) and m.group(1) == gaps[-1] and sum(map(str.isdigit, text[a : m.end()])) <= 13:
             b = m.end()
-            digits = sum(c.isdigit() for c in text[a:b])
-        return (a, b, kind) if 7 <= digits <= 15 else None
+        return (a, b, kind) if 7 <= sum(map(str.isdigit, text[a:b])) <= 15 else None
     if kind == "idnumber":
         return (a, b, kind) if sum(c.isalnum() for c in s) >= 9 else None
     if kind == "address":
+        if m := _HOUSE_FIRST.search(s):
+            a, s = a + m.start(), s[m.start() :]
         return (a, b, kind) if re.search(r"\d", s) and re.search(r"[^\W\d_]{3}", s) else None
-    words = re.findall(r"[^\W\d_]+", s)
+    if m := _TITLE.match(s):
+        a, s = a + m.end(), s[m.end() :]
+    words = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", s)
     if len(words) < 2 or "\n" in s:
         return None
     # The dot of an initial at the end belongs to it.

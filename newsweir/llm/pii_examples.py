@@ -53,6 +53,10 @@ By {name}.
 Photo: {name}
 Photo: {name}.
 Yours,\\n{name}\\n{address}\\n{phone}
+Questions? {email}
+Spørgsmål? {email}
+Frågor? {email}.
+Fragen? {email}
 Kind regards\\n{name}\\n{address}\\n{email}
 Ring {phone} efter kl. 18.
 Ring {phone} efter sex.
@@ -142,7 +146,13 @@ The new timetable is version 2.14.0.
 Score 21-15, 21-18.
 See page 14, Table 3.
 Meet at Platform 9 on Harbour Street.
-The quarry road on Harbour Lane was repainted in 1987 and again in 2003-2005.
+The quarry road was repainted in 1987 and again in 2003-2005.
+In {place}, nurses say the boat yard was insured without warning on Friday.
+In {place}, parents say the library was measured without warning on Monday.
+A record-breaking ferry, a award-winning tram line and no bus home: {place} on a wet Friday.
+A windswept playground, a narrow bakery and no bus home: {place} on a wet Monday.
+The Coastal {Word} League has criticised the half-finished cycle path in {place} after 31 complaints about harbour dues.
+The {Word} Panel has closed the muddy museum wing after 260 complaints.
 The tug Edith Grace is for sale; offers by post.
 The racehorse Hope Rose came third, ahead of Basil Storm.
 The tug {given} {given} is for sale; offers by post.
@@ -195,6 +205,8 @@ Den populære grusvej blev genåbnet i 1987 og igen i 2003-2005.
 »Det var en fejl,« indrømmer {Word}puljen og peger på gadelys.
 Fra mandag stiger prisen med 260 kroner, og {Word}foreningen giver kloakering skylden.
 Man kan høre legeplads og byplaner blive nævnt overalt i {place} denne lørdag.
+I {place} siger købmænd, at planen om en ny busgarage blev opmålt uden varsel fredag.
+I {place} siger chauffører, at planen om en ny biograf blev forsvaret uden varsel onsdag.
 Der går 46 måneder, før den forblæste byarkiv står klar, oplyser {Word}kontoret torsdag.
 Planen om endnu en svømmehal er godkendt, selv om 23 gartnere skrev under.
 Hver måned samles musikere i {place} for at tale om støj og den stille bogsal.
@@ -221,6 +233,8 @@ Gleis 9, Abfahrt 07:55 Uhr.
 Siehe Seite 14, Tabelle 3.
 Viele Händler aus {place} verlangten am Sonntag Antworten vom {Word}verband.
 Laut {Word}bund ist Lärm für Angler wichtiger als alles andere.
+Laut {Word}verband ist Schulessen für Musiker wichtiger als alles andere.
+Laut Gärtnerbund ist Personalmangel für Eltern wichtiger als alles andere.
 Es dauert noch 31 Monate, bis die halbfertige Bäckerei fertig ist, teilte der {Word}fonds mit.
 In {place} sagen Schulkinder, die Bootswerft sei ohne Vorwarnung vermessen worden.
 Die beliebte Klinik in {place} wurde nach 18 Beschwerden über Schulessen gestrichen.
@@ -236,20 +250,20 @@ _PLACES = (
     "Vesterkvist|Ålsvang|Norra Björkhed|Tallviksund|Sjöbotten|Lindwerder|Oberquellmoor|Kleinwenderau|Birkenfurtheim|Millbrook|Sandby|Altdorf"
 ).split("|")
 _WORDS = "harbour weather inland ferry river school garden bridge moor kultur vand trafik havne skole fiske hamn spår wasser schul fähr".split()
-_STEMS_EN = "Mill|Upper Dyke|Chapel|Larch|Heron|Tanner|Copper|Old Kiln|Saint Orrin|Beacon|Quarry|Church|High|Station|West Park|Elm".split("|")
+_STEMS_EN = "Mill|Upper Dyke|Chapel|Larch|Heron|Tanner|Copper|Old Kiln|Saint Orrin|Beacon|Quarry|Church|High|Station|West Park|Elm|Weir|Alder|Orchard|Ferry|Willow|Bridge|Garden".split("|")
 _WAYS_EN = "Street|Road|Lane|Avenue|Close|Row|Rise|Terrace|Mews|St|Rd|Ave|Court".split("|")
-_STEMS_DA = "Kirkemose|Svaneholm|Møllesø|Lindebakke|Birke|Ærtebjerg|Tornskov|Bregne|Skole|Nørre|Strand".split("|")
-_WAYS_DA = "vej|gade|stræde|allé|vænget|vangen".split("|")
-_STEMS_SV = "Hamnviks|Strömkvarns|Granås|Ekhams|Tallbacks|Norra Ekhams|Kyrk|Storskogs".split("|")
+_STEMS_DA = "Kirkemose|Svaneholm|Møllesø|Lindebakke|Birke|Ærtebjerg|Tornskov|Bregne|Skole|Nørre|Strand|Gammel Kirke|Gammel Strand|Store Mølle|Lille Skov".split("|")
+_WAYS_DA = "vej|gade|stræde|allé|vænget|vangen|parken".split("|")
+_STEMS_SV = "Hamnviks|Strömkvarns|Granås|Ekhams|Tallbacks|Norra Ekhams|Kyrk|Storskogs|Gamla Hamn|Östra Skol".split("|")
 _WAYS_SV = "vägen|gatan|stigen|gränd".split("|")
 _STEMS_DE = "Moorquell|Birkensiel|Deichacker|Hafenmühlen|Lindwerder|Garten|Kirch|Bahnhof".split("|")
-_WAYS_DE = "weg|straße|gasse|allee|str.".split("|")
+_WAYS_DE = "weg|straße|gasse|allee|str.|stieg".split("|")
 _HOSTS = "tarnmail|wexmail|moornet|tidepost|fjordpost|quillbox|inbox.kvist|letters.greyhaven|post.sandkaer|webpost|mail.northshore".split("|")
 _ENDS = "example|invalid|test|example.org|example.com|org|net".split("|")
 
 # Written forms of phone and identity numbers: 9 stands for any digit, the rest for itself.
 _PHONES = (
-    "19999999|19 99 99 99|19-99-99-99|19.99.99.99|+4519999999|+45 19 99 99 99|+45 19-99-99-99|004519999999|(+45) 1999 9999|29 99 99 99|+45 29999999|"
+    "19999999|19 99 99 99|19-99-99-99|19.99.99.99|+4519999999|+45 19 99 99 99|+45 19-99-99-99|004519999999|(+45) 1999 9999|29 99 99 99|+45 29999999|004519999999|"
     "070-174 06 99|070 174 06 99|0701740 699|070.174.06.99|+46 70 174 06 99|+46(0)8 465 004 99|+46(0)8-465-004-99|+46(0)8.465.004.99|08-465 004 99|08-465 99 99|"
     "030 23125 199|030/23125199|+49 (0)30 23125-199|0171 39200 99|+49-171-3920099|+49 171 3920099|"
     "020 7946 0999|+44 (0)20 7946 0999|07700900999|07700 900999|+44 7700 900 999|"
@@ -260,7 +274,7 @@ _IDS = (
     "19600999-9999|195999999999|199999999999|670523-9859|680119 9869|"
     "130271-918X|040267 - 940T|060753-907e|110562-926A|"
     "QQ 99 99 99 A|QQ-99-99-99-D|qq999999b|QQ999999C|"
-    "666-99-9999|666 99 9999|666.99.9999"
+    "666-99-9999|666 99 9999|666.99.9999|666.99.9999"
 ).split("|")
 _SWAPS = str.maketrans({"æ": "ae", "ø": "oe", "å": "aa", "ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "é": "e"})
 
@@ -299,8 +313,8 @@ class _Values:
             first = first[0] + "."
         middle = self.pick([self.first() + " ", self.first()[0] + ". "]) if self.chance(0.22) else ""
         out = f"{last}, {first}" if self.chance(0.17) and "." not in first else f"{first} {middle}{last}"
-        out = out.upper() if self.chance(0.1) else out.lower() if self.chance(0.1) else out
-        if self.chance(0.05):
+        out = out.upper() if self.chance(0.12) else out.lower() if self.chance(0.17) else out
+        if self.chance(0.06):
             out = last.upper() + ", " + first
         return out.replace(" ", "\xa0") if self.chance(0.08) else out
 
@@ -315,7 +329,7 @@ class _Values:
             out = out.upper()
         elif self.chance(0.06):
             out = out.title()
-        elif self.chance(0.35):
+        elif self.chance(0.42):
             at, dot = self.pick([(" (at) ", " (dot) "), (" at ", " dot "), (" @ ", "."), (" [at] ", " [dot] "), ("&#64;", "."), ("(at)", "."), (" (at) ", "."), (" at ", ".")])
             keep, _, rest = host.partition(".") if dot == "." else ("", "", host)
             out = user + at + (host if dot == "." else rest.replace(".", dot))
@@ -346,17 +360,19 @@ class _Values:
         return getattr(self, slot)()
 
 
-def filled(given: list[str], family: list[str], rounds: int = 12, seed: int = 10) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def filled(given: list[str], family: list[str], rounds: int = 18, seed: int = 10) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """[(text, [(start, end, kind)])]: the table's sentences with values, `rounds` times over, in threes."""
     v = _Values(given, family, seed)
     marked, plain = ([x.replace("\\n", "\n") for x in t.strip().split("\n")] for t in (MARKED, PLAIN))
     out = []
     for r in range(rounds):
-        sentences = marked + (plain if r % 2 == 0 else plain[::2])
+        sentences = marked + plain
         v.rng.shuffle(sentences)
         for at in range(0, len(sentences), 3):
             text, spans = "", []
             for s in sentences[at : at + 3]:
+                if v.chance(0.1) and "\n" not in s and s[0] != "<":
+                    s = v.pick(["<p>", "\ufeff", "<p>"]) + s + v.pick(["</p>", "", "\n</p>"])
                 text += v.pick(["", " ", " ", "\n", "\n\n"]) if not text else v.pick([" ", " ", " ", "\n", "\n\n", " \n"])
                 for part in re.split(r"(\{\w+\})", s):
                     if part.startswith("{"):
