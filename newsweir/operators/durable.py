@@ -5,30 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared checkpoint folder.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session names in spark.checkpoint.dir and all executors share.
 
-    The folder is the one the session names in spark.checkpoint.dir. Where none is set, as in tests
-    on one machine, a temporary folder is used.
+    Where none is named, as in tests on one machine, it is in a temporary folder.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="newsweir-"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsweir-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """`df`, written once as a Parquet table to the shared checkpoint folder and read back.
+    """`df`, written once as a Parquet table to the shared folder and read back.
 
-    As checkpointed, but compressed and open to column pruning. The table stays until the folder is
-    cleared.
+    As a reliable checkpoint, but compressed and open to column pruning. The table stays until the folder
+    is cleared.
     """
-    spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="newsweir-")
-    path = f"{folder.rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "stored")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

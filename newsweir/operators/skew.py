@@ -58,8 +58,25 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame,
     marked = big.join(F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
     few = small.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
     a = marked.filter(F.col("_hot")).drop("_hot").join(F.broadcast(few), keys, how)
-    b = marked.filter(F.col("_hot").isNull()).drop("_hot").join(small, keys, how)
-    return a.unionByName(b)
+    rest = marked.filter(F.col("_hot").isNull()).drop("_hot")
+    some = functools.reduce(operator.and_, [F.col(k).isNotNull() for k in keys])
+    b = rest.filter(some).join(small, keys, how)
+    out = a.unionByName(b)
+    if how == "left":
+        # Rows with a null key match nothing; they would all meet in one task.
+        new = [f for f in small.schema if f.name not in keys]
+        out = out.unionByName(rest.filter(~some).select(*big.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in new]))
+    return out
+
+
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = 20_000) -> DataFrame:
+    """`big` joined with `small`, unique on `keys`: by broadcast up to `most` rows, else by skew_join.
+
+    The size of `small` is checked each time; pass a stored table, whose rows are counted from footers.
+    """
+    if small.limit(most + 1).count() <= most:
+        return big.join(F.broadcast(small), keys, how)
+    return skew_join(big, small, keys, hot_keys(big, keys, big.count()), how)
 
 
 def salted_prefix(
