@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsweir.operators import bm25, metrics
 from newsweir.operators.dedupe import keep_first
 from newsweir.operators.history import history_asof
+from newsweir.operators.partitions import spread
 from newsweir.plans import views as v
 from newsweir.plans.views import sql
 from newsweir.sources.raw import labelled_impressions, entity_labels
@@ -300,7 +301,7 @@ def bootstrap_metric_ci(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def bootstrap_coverage_ci(spark: SparkSession, d: str) -> DataFrame:
-    impressions = v.recent(spark, d).filter(F.size("recent") > 0).select("dataset", "impression_id", "query")
+    impressions = spread(v.recent(spark, d).filter(F.size("recent") > 0).select("dataset", "impression_id", "query"))
     lists = v.bm25_top(spark, d).select("query", "article_id")
     catalog = v.articles(spark, d).groupBy("dataset").agg(F.count(F.lit(1)).alias("articles"))
     found = metrics.bootstrap_coverage(impressions, lists, "dataset", "impression_id", "query", catalog, REPLICATES)

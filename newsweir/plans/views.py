@@ -11,6 +11,7 @@ from newsweir.operators import bm25, vectors
 from newsweir.operators.dedupe import keep_first, one_per_id
 from newsweir.operators.durable import stored
 from newsweir.operators.history import recent_history
+from newsweir.operators.partitions import spread
 from newsweir.operators.split import temporal_split
 from newsweir.sources.tables import clean_ids, filled, table
 
@@ -77,7 +78,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(impression_id, query, pos, article_id, label): what the test impressions showed."""
-    shown = recent(spark, sf_dir).select("dataset", "impression_id", "query", "clicked", F.posexplode("candidates").alias("pos", "article_id"))
+    shown = spread(recent(spark, sf_dir)).select("dataset", "impression_id", "query", "clicked", F.posexplode("candidates").alias("pos", "article_id"))
     label = F.coalesce(F.array_contains("clicked", F.col("article_id")), F.lit(False)).cast("int")
     return shown.filter(filled(F.col("article_id"))).select("dataset", "impression_id", "query", "pos", "article_id", label.alias("label"))
 
