@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from newsweir.llm.pii_examples import KINDS, filled
+from newsweir.operators.partitions import spread
 
 # Label 0 is outside; kind k begins with 1 + 2k and goes on with 2 + 2k.
 _LABELS = 1 + 2 * len(KINDS)
@@ -143,19 +144,20 @@ class Recogniser:
             order = np.argsort(idx[:, c], kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(idx[order, c]) != 0])
             columns.append((order, starts, idx[order, c][starts]))
-        w = np.zeros((n_features, n_off * _LABELS))
-        trans = np.zeros((_LABELS, _LABELS))
+        single = np.float32
+        w = np.zeros((n_features, n_off * _LABELS), single)
+        trans = np.zeros((_LABELS, _LABELS), single)
         params, first, second = [w, trans], [0.0, 0.0], [0.0, 0.0]
-        target = np.eye(_LABELS)[gold[real]]
-        pair_gold = np.zeros((_LABELS, _LABELS))
+        target = np.eye(_LABELS, dtype=single)[gold[real]]
+        pair_gold = np.zeros((_LABELS, _LABELS), single)
         both = real[:, 1:]
         np.add.at(pair_gold, (gold[:, :-1][both], gold[:, 1:][both]), 1)
         for step in range(1, steps + 1):
-            table = np.zeros((len(types) + 1, n_off, _LABELS))
+            table = np.zeros((len(types) + 1, n_off, _LABELS), single)
             table[:-1] = w[idx].sum(1).reshape(len(types), n_off, _LABELS)
             flat = sum(table[x, o] for o, x in enumerate(seen))
-            e = np.full((count, longest, _LABELS), 1.0 / _LABELS)
-            e[real] = np.exp(flat - flat.max(-1, keepdims=True))
+            e = np.full((count, longest, _LABELS), 1 / _LABELS, single)
+            e[real] = np.exp(flat - flat.max(-1, keepdims=True)) + single(1e-20)
             m = np.exp(trans)
             a = np.zeros_like(e)
             b = np.zeros_like(e)
@@ -164,17 +166,17 @@ class Recogniser:
                 x = (a[:, t - 1] @ m) * e[:, t]
                 a[:, t] = np.where(real[:, t, None], x / x.sum(-1, keepdims=True), a[:, t - 1])
             b[:, -1] = 1.0
-            pair = np.zeros((_LABELS, _LABELS))
+            pair = np.zeros((_LABELS, _LABELS), single)
             for t in range(longest - 2, -1, -1):
                 nxt = e[:, t + 1] * b[:, t + 1]
                 x = nxt @ m.T
                 on = real[:, t + 1, None]
-                b[:, t] = np.where(on, x / x.sum(-1, keepdims=True), 1.0)
+                b[:, t] = np.where(on, x / x.sum(-1, keepdims=True), single(1))
                 z = ((a[:, t] @ m) * nxt).sum(-1, keepdims=True)
-                pair += (np.where(on, a[:, t] / z, 0.0).T @ nxt) * m
+                pair += (np.where(on, a[:, t] / z, single(0)).T @ nxt) * m
             p = (a * b)[real]
             d = p / p.sum(-1, keepdims=True) - target
-            g = np.zeros((len(types) + 1, n_off, _LABELS))
+            g = np.zeros((len(types) + 1, n_off, _LABELS), single)
             for o, (order, starts, keys) in enumerate(sums):
                 g[keys, o] = np.add.reduceat(d[order], starts)
             g = g[:-1].reshape(len(types), -1)
@@ -183,11 +185,11 @@ class Recogniser:
                 gw[keys] += np.add.reduceat(g[order], starts)
             gw[0] = 0
             rate = 0.15 * min(1.0, 2 * (1 - step / steps) + 0.02)
-            for i, (x, gx) in enumerate(((w, gw + ridge * w), (trans, pair - pair_gold + ridge * trans))):
-                gx = gx / n_tokens
-                first[i] = 0.9 * first[i] + 0.1 * gx
-                second[i] = 0.99 * second[i] + 0.01 * gx * gx
-                params[i] -= rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-9)
+            for i, (x, gx) in enumerate(((w, gw + single(ridge) * w), (trans, pair - pair_gold + single(ridge) * trans))):
+                gx = gx / single(n_tokens)
+                first[i] = single(0.9) * first[i] + single(0.1) * gx
+                second[i] = single(0.99) * second[i] + single(0.01) * gx * gx
+                params[i] -= single(rate) * (first[i] / single(1 - 0.9**step)) / (np.sqrt(second[i] / single(1 - 0.99**step)) + single(1e-9))
             w[0] = 0
         self.weights, self.trans = w.astype(np.float32), trans.astype(np.float32)
         # A token is evidence if its own features speak for a label at least as they do for the weakest
@@ -356,7 +358,11 @@ _DOT = r"(?:\.|\(dot\)|\[dot\]|\bdot\b)"
 _EMAIL = re.compile(rf"[\w.+-]*\w\s?{_AT}\s?[\w-]+(?:\s?{_DOT}\s?[\w-]*\w)+", re.I)
 _NUMBER = re.compile(r"\+?(?:\(\+?\d+\)|\d)[\d \xa0()./\-]*\d|\d{7,}")
 _MORE_DIGITS = re.compile(r"([ \xa0.\-/])\d{2,}\b")
-_TITLE = re.compile(r"(?:mrs?|ms|miss|dr|fru|frøken|fröken|hr|herr|frau|prof)\b\.?[ \xa0]+", re.I)
+# Titles and words before a name that are no part of it.
+_TITLE = re.compile(
+    r"(?:(?:mrs?|ms|miss|dr|fru|frøken|fröken|hr|herr|frau|prof)\b\.?|(?:in|i|the|by|from|to|af|fra|til|ifølge|nabo|av|från|till|enligt|grannen|laut|nachbar|von|vom)\b(?!\.))[ \xa0]+",
+    re.I,
+)
 _HOUSE_FIRST = re.compile(r"\d+\s?[a-z]?\b,?\s+[^\W\d_]{2,}", re.I)
 
 
@@ -367,7 +373,7 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
     Other spans are freed of punctuation at their ends. A phone number is digits with separators, 7 to 15
     of them, and takes in a group that follows by the same separator; an identity number has 9 or more
     letters and digits; an address has a number and a word, and begins with a number that stands before
-    its street; a name has two parts on one line, after any title.
+    its street; a name has two parts on one line, after any title or preposition.
     """
     if kind == "email":
         m = _EMAIL.search(text, a, b)
@@ -395,7 +401,7 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
         if m := _HOUSE_FIRST.search(s):
             a, s = a + m.start(), s[m.start() :]
         return (a, b, kind) if re.search(r"\d", s) and re.search(r"[^\W\d_]{3}", s) else None
-    if m := _TITLE.match(s):
+    while m := _TITLE.match(s):
         a, s = a + m.end(), s[m.end() :]
     words = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", s)
     if len(words) < 2 or "\n" in s:
@@ -429,7 +435,7 @@ def _over_texts(df: DataFrame, text: str, names: DataFrame, schema, emit) -> Dat
                 texts = b.column(1).to_pylist()
                 yield emit(b.column(0), texts, finder.find(texts))
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def find_personal(df: DataFrame, doc: str, text: str, names: DataFrame) -> DataFrame:

@@ -165,6 +165,7 @@ There is hope that the storm will pass, says the {Word} Office.
 The {Word} {Word} Company has defended the unlit reservoir in {place} after twelve complaints about planning rules.
 In {place}, residents say the water main was flooded without warning on Thursday.
 According to the {Word} Board, ticket prices matters more to engineers than the cinema itself.
+According to the {Word} Fund, winter opening hours matters more to divers than the ferry itself.
 A report on noise finds that eleven of the growers had never seen the fire station.
 From Saturday the grain store charges 14 pence more, which the {Word} Board blames on flood defences.
 Plans for a second orchard were measured; 31 commuters had signed the petition.
@@ -247,7 +248,7 @@ Der Falke und der Wolf leben am Deich, und die Rosa Blüte ist selten.
 _GIVEN = "Tilde Osvald Gertrud Nadia Piers Winnie Ansgar Rikke Jytte Ulla Torsten Gisela Jerzy Leila Omar Hanne Bertil Esme Rory Dilek Yann Nils Ada Max Hedvig Ömer Zoë".split()
 _PLACES = (
     "Greyhaven|Ostrel Bay|Tarn Hollow|Saltwick End|Upper Ribble Cross|Little Omsey|Netherquay|Grønhøjby|Nørre Hjelmsund|Ellekilde Vang|"
-    "Vesterkvist|Ålsvang|Norra Björkhed|Tallviksund|Sjöbotten|Lindwerder|Oberquellmoor|Kleinwenderau|Birkenfurtheim|Millbrook|Sandby|Altdorf"
+    "Vesterkvist|Ålsvang|Norra Björkhed|Tallviksund|Sjöbotten|Lindwerder|Oberquellmoor|Kleinwenderau|Birkenfurtheim|Millbrook|Sandby|Altdorf|Fiskkær Havn|Lyngkær Nakke|Hollock Fold|Amber Sound|Birken Reach"
 ).split("|")
 _WORDS = "harbour weather inland ferry river school garden bridge moor kultur vand trafik havne skole fiske hamn spår wasser schul fähr".split()
 _STEMS_EN = "Mill|Upper Dyke|Chapel|Larch|Heron|Tanner|Copper|Old Kiln|Saint Orrin|Beacon|Quarry|Church|High|Station|West Park|Elm|Weir|Alder|Orchard|Ferry|Willow|Bridge|Garden".split("|")
@@ -336,13 +337,13 @@ class _Values:
         return out
 
     def address(self) -> str:
-        n = str(self.rng.randrange(1, 190)) + (self.pick("abcABC") if self.chance(0.2) else "")
-        kind = self.rng.randrange(4)
+        n = str(self.rng.randrange(1, self.pick([40, 190]))) + (self.pick("abcABC") if self.chance(0.35) else "")
+        kind = self.pick([0, 0, 1, 2, 3])
         if kind == 0:
             out = f"{n}{', ' if self.chance(0.1) else ' '}{self.pick(_STEMS_EN)} {self.pick(_WAYS_EN)}"
         else:
             stems, ways = [(_STEMS_DA, _WAYS_DA), (_STEMS_SV, _WAYS_SV), (_STEMS_DE, _WAYS_DE)][kind - 1]
-            gap = self.pick([" nr. ", ", "]) if self.chance(0.15) else "\xa0" if self.chance(0.15) else " "
+            gap = self.pick([" nr. ", " nr. ", ", "]) if self.chance(0.27) else "\xa0" if self.chance(0.15) else " "
             out = f"{self.pick(stems)}{self.pick(ways)}{gap}{n}"
         return out.upper() if self.chance(0.08) else out.lower() if self.chance(0.1) else out
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsweir.operators.partitions import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the published split pattern of this family of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -69,4 +71,4 @@ def with_tokens(df: DataFrame, text: str, name: str = "tokens", vocabulary: str
             n = pa.array([counter(t) for t in b.column(len(others)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], n], [*others, name])
 
-    return df.select(*others, text).mapInArrow(count, schema)
+    return spread(df.select(*others, text)).mapInArrow(count, schema)
