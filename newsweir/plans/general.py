@@ -44,7 +44,7 @@ def history_versions(history: DataFrame) -> DataFrame:
     timed = history.filter(F.col("history_timestamps").isNotNull()).select(
         "user_id", F.inline(F.arrays_zip("history_article_ids", "history_timestamps"))
     )
-    timed = timed.filter(filled(F.col("history_article_ids"))).select(
+    timed = timed.filter(filled(F.col("history_article_ids")) & F.col("history_timestamps").isNotNull()).select(
         "user_id", micros("history_timestamps").alias("known_at"), F.col("history_article_ids").alias("article_id")
     )
     ids = clean_ids("history_article_ids")
