@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,21 +49,29 @@ def fit_configuration(item_degree, items, record_size, records, steps: int = 300
     return x, y
 
 
+def _upper_tail(w: np.ndarray) -> np.ndarray:
+    """The normal distribution's upper tail over its density: by erfc, beyond 3 by a continued fraction."""
+    near = np.minimum(w, 3.0)
+    by_erfc = np.array([math.erfc(x / math.sqrt(2)) / 2 for x in near]) / np.exp(-near * near / 2) * math.sqrt(2 * math.pi)
+    far = np.maximum(w, 3.0)
+    return np.where(w <= 3, by_erfc, 1 / (far + 1 / (far + 2 / (far + 3 / (far + 4 / (far + 5 / far))))))
+
+
 def poisson_binomial_tail(n: np.ndarray, q: np.ndarray, times: np.ndarray, exact_to: int = 40) -> np.ndarray:
     """log10 of P(X >= n), X a sum of independent trials: `times` of them succeed with q, by rows of q.
 
-    Up to `exact_to` the tail is one minus the exact probabilities of fewer successes, from their recursion
-    over power sums of the odds, or their own series where that would cancel; beyond, it is the
-    Lugannani-Rice saddle point.
+    Where at most `exact_to` successes of a mean no greater are asked for and all odds are below 0.1, the
+    probabilities of n and the next 40 numbers of successes are summed, each from its recursion over power
+    sums of the odds. Otherwise it is the Lugannani-Rice saddle point, within some hundredths of log10.
     """
+    n = np.asarray(n, float)
     out = np.zeros(len(n))
-    mean = q @ times
     odds = q / np.maximum(1 - q, 1e-12)
-    small = n <= exact_to
+    small = (n <= exact_to) & (q @ times <= np.minimum(n, exact_to)) & (odds.max(1, initial=0) < 0.1) & (n > 0)
     if small.any():
         o, m = odds[small], n[small].astype(int)
         # log P(0), then k P(k) = sum over i of (-1)^(i-1) P(k-i) t_i, with t_i the sum of odds^i.
-        first = np.log1p(-np.minimum(q[small], 1 - 1e-12)) @ times
+        first = -np.log1p(o) @ times
         powers, t = o.copy(), []
         for _ in range(8):
             t.append(powers @ times)
@@ -74,35 +83,28 @@ def poisson_binomial_tail(n: np.ndarray, q: np.ndarray, times: np.ndarray, exact
             p[:, k] = sum((1 if i % 2 else -1) * p[:, k - i] * t[i - 1] for i in range(1, min(k, 8) + 1)) / k
             np.maximum(p[:, k], 0, out=p[:, k])
         reach = np.arange(top + 1)[None, :] >= m[:, None]
-        upper, lower = (p * reach).sum(1), (p * ~reach).sum(1)
-        with np.errstate(divide="ignore"):
-            series = np.log(upper) + first
-            below = np.log(np.maximum(-np.expm1(np.minimum(np.log(np.maximum(lower, 1e-300)) + first, 0)), 1e-300))
-        # The series ends 40 terms above n: right unless the mean is far above n, where the tail is near 1.
-        out[small] = np.where(mean[small] > m, below, series)
-        out[small] = np.where(m <= 0, 0.0, out[small])
-    big = ~small
-    if big.any():
-        o, m = odds[big], n[big].astype(float)
-        lo, hi = np.full(big.sum(), -60.0), np.full(big.sum(), 60.0)
+        out[small] = np.log(np.maximum((p * reach).sum(1), 1e-300)) + first
+    rest = ~small & (n > 0)
+    if rest.any():
+        o, m = odds[rest], n[rest]
+        lo, hi = np.full(rest.sum(), -40.0), np.full(rest.sum(), 60.0)
         for _ in range(60):
             u = (lo + hi) / 2
             z = o * np.exp(u)[:, None]
             low = (z / (1 + z)) @ times < m - 0.5
             lo, hi = np.where(low, u, lo), np.where(low, hi, u)
         u = (lo + hi) / 2
+        u = np.where(np.abs(u) < 1e-4, 1e-4, u)
         z = o * np.exp(u)[:, None]
         share = z / (1 + z)
-        k = (np.log1p(z) - np.log1p(o)) @ times
-        w2 = 2 * (u * (m - 0.5) - k)
+        w2 = np.maximum(2 * (u * (m - 0.5) - (np.log1p(z) - np.log1p(o)) @ times), 1e-12)
+        w = np.sign(u) * np.sqrt(w2)
         v = 2 * np.sinh(u / 2) * np.sqrt(np.maximum((share * (1 - share)) @ times, 1e-300))
-        w = np.sqrt(np.maximum(w2, 1e-12))
-        # For u > 0: phi(w) (1/v - 1/w) + Q(w), with the tail Q by its continued fraction where it is tiny.
-        log_phi = -w2 / 2 - 0.5 * np.log(2 * np.pi)
-        mills = w / (w * w + 1) if w.size == 0 else 1 / (w + 1 / (w + 2 / (w + 3 / (w + 4 / (w + 5)))))
-        tail = log_phi + np.log(np.maximum(mills + 1 / np.where(v == 0, 1, v) - 1 / w, 1e-300))
-        out[big] = np.where(u > 1e-3, np.minimum(tail, 0), 0.0)
-    return np.minimum(out, 0) / np.log(10)
+        density = -w2 / 2 - 0.5 * math.log(2 * math.pi)
+        above = density + np.log(np.maximum(_upper_tail(np.abs(w)) + 1 / v - 1 / w, 1e-300))
+        below = np.log1p(-np.clip(np.exp(density) * (_upper_tail(np.abs(w)) - 1 / v + 1 / w), 0, 1 - 1e-12))
+        out[rest] = np.where(u > 0, above, below)
+    return np.minimum(out, 0) / math.log(10)
 
 
 def pair_counts(members: DataFrame, kept: DataFrame, hot_items: DataFrame, total: int) -> DataFrame:
