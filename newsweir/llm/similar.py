@@ -202,28 +202,30 @@ class Index:
             self.router = learn_router(x, self.parts)
             self.probes = probes_for_cosine(self.router, x, least) if least is not None else probes_for_recall(self.router, x, k, recall)
 
-    def _routed(self, probes: int, ask: bool) -> DataFrame:
+    def _routed(self, vectors: DataFrame, first: int, last: int) -> DataFrame:
+        """(id, vector, floor, part): each of `vectors` with its most probable partitions from `first` to before `last`."""
         router = self.router
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                x = b["vector"].flatten().to_numpy().reshape(-1, len(b["vector"][0]) if b.num_rows else 1)
-                at = router.route(unit(x.astype(np.float64)), probes) if router and b.num_rows else np.zeros((b.num_rows, 1), int)
+                if not b.num_rows:
+                    continue
+                x = b["vector"].flatten().to_numpy().reshape(b.num_rows, -1)
+                at = router.route(unit(x.astype(np.float64)), last)[:, first:last] if router else np.zeros((b.num_rows, 1), int)
                 row = pa.array(np.repeat(np.arange(b.num_rows), at.shape[1]))
-                yield pa.RecordBatch.from_arrays(
-                    [b["id"].take(row), b["vector"].take(row), pa.array(at.ravel().astype(np.int32))], ["id", "vector", "part"]
-                )
+                cols = [b[c].take(row) for c in ("id", "vector", "floor")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at.ravel().astype(np.int32))], ["id", "vector", "floor", "part"])
 
-        return self.vectors.mapInArrow(route, "id string, vector array<float>, part int").withColumn("ask", F.lit(ask))
+        return vectors.select("id", "vector", "floor").mapInArrow(route, "id string, vector array<float>, floor double, part int")
 
-    def search(self, least: float | None = None, k: int | None = None) -> DataFrame:
-        """(id, other, cosine) of distinct vectors: all found with cosine >= least, or the k nearest of each.
+    def _scan(self, asking: DataFrame, k: int | None) -> DataFrame:
+        """(id, other, cosine): for each of `asking` (id, vector, floor, part) the vectors stored in that
+        partition with a cosine of at least floor; only the k best of a block where there are more.
 
-        Each vector is stored in its most probable partition and asks in its `probes` most probable ones.
         Stored vectors of a partition are cut into blocks and its queries into shares; each task holds one
         block and streams a share of queries past it, whatever the partition's size.
         """
-        homes, asking = self._routed(1, False), self._routed(self.probes, True)
+        homes = self._routed(self.vectors.withColumn("floor", F.lit(-2.0)), 0, 1)
         # At most SAMPLE/16 partitions: their sizes go to the driver.
         sizes = {r["part"]: r["n"] for r in homes.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
         asks = {r["part"]: r["n"] for r in asking.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -232,10 +234,10 @@ class Index:
         cuts = F.broadcast(spark.createDataFrame(cuts, "part int, blocks int, shares int"))
         number = F.xxhash64("id")
         s = homes.join(cuts, "part").withColumn("block", F.pmod(number, F.col("blocks")).cast("int"))
-        s = s.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+        s = s.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).withColumn("ask", F.lit(False))
         a = asking.join(cuts, "part").withColumn("share", F.pmod(number, F.col("shares")).cast("int"))
-        a = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cols = ["part", "block", "share", "ask", "id", "vector"]
+        a = a.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("ask", F.lit(True))
+        cols = ["part", "block", "share", "ask", "id", "vector", "floor"]
         tasks = s.select(*cols).unionByName(a.select(*cols)).repartition("part", "block", "share")
         dims = self.dims
 
@@ -243,13 +245,15 @@ class Index:
             group, ids, x = None, [], []
             base_ids, base = None, None
             for b in batches:
+                if not b.num_rows:
+                    continue
                 keys = np.stack([b[c].to_numpy() for c in ("part", "block", "share")], 1)
                 ask = b["ask"].to_numpy(zero_copy_only=False)
-                v = b["vector"].flatten().to_numpy().reshape(-1, dims).astype(np.float64)
-                v = unit(v) if len(v) else v
+                floor = b["floor"].to_numpy()
+                v = unit(b["vector"].flatten().to_numpy().reshape(-1, dims).astype(np.float64))
                 whole = np.column_stack([keys, ask])
-                cut = np.flatnonzero(np.r_[True, (whole[1:] != whole[:-1]).any(1)]) if len(v) else []
-                for lo, hi in zip(cut, np.r_[cut[1:], len(v)] if len(v) else []):
+                cut = np.flatnonzero(np.r_[True, (whole[1:] != whole[:-1]).any(1)])
+                for lo, hi in zip(cut, np.r_[cut[1:], len(v)]):
                     if group != tuple(keys[lo]):
                         group, ids, x, base = tuple(keys[lo]), [], [], None
                     if not ask[lo]:
@@ -262,28 +266,43 @@ class Index:
                         base_ids, base = pa.concat_arrays(ids), np.concatenate(x)
                         single = base.astype(np.float32)
                     for at in range(lo, hi, 1024):
-                        to = min(at + 1024, hi)
-                        q = v[at:to]
+                        q = v[at : min(at + 1024, hi)]
+                        least = floor[at : at + len(q)]
                         rough = q.astype(np.float32) @ single.T
-                        if least is not None:
-                            i, j = np.nonzero(rough >= least - 1e-4)
-                        else:
+                        if k is not None and least.max() <= -2:
                             # Some more than k by the rough product, for the vector itself and near ties.
                             n = min(k + 4, rough.shape[1])
                             j = np.argpartition(-rough, n - 1, axis=1)[:, :n].ravel()
                             i = np.repeat(np.arange(len(q)), n)
+                        else:
+                            i, j = np.nonzero(rough >= (least - 1e-4).astype(np.float32)[:, None])
                         cosine = np.einsum("ij,ij->i", q[i], base[j])
                         one, other = b["id"].take(pa.array(at + i)), base_ids.take(pa.array(j))
-                        keep = pa.compute.not_equal(one, other)
-                        if least is not None:
-                            keep = pa.compute.and_(keep, pa.array(cosine >= least))
-                        out = pa.RecordBatch.from_arrays([one, other, pa.array(cosine)], ["id", "other", "cosine"])
-                        yield out.filter(keep)
-
-        found = tasks.sortWithinPartitions("part", "block", "share", "ask").mapInArrow(rerank, "id string, other string, cosine double")
-        if k is None:
-            return found
+                        keep = pa.compute.and_(pa.compute.not_equal(one, other), pa.array(cosine >= least[i]))
+                        yield pa.RecordBatch.from_arrays([one, other, pa.array(cosine)], ["id", "other", "cosine"]).filter(keep)
+
+        return tasks.sortWithinPartitions("part", "block", "share", "ask").mapInArrow(rerank, "id string, other string, cosine double")
+
+    def pairs(self, least: float) -> DataFrame:
+        """(id, other, cosine) of distinct vectors found with cosine >= least; a pair may come both ways.
+
+        Each vector is stored in its most probable partition and asks in its `probes` most probable ones.
+        """
+        return self._scan(self._routed(self.vectors.withColumn("floor", F.lit(least)), 0, self.probes), None)
+
+    def nearest(self, k: int) -> DataFrame:
+        """(id, other, cosine, rank): the k nearest of each distinct vector that its probes find.
+
+        The home partition is searched first. Its k-th cosine is a floor for the other probes, so that they
+        return little more than what will be kept.
+        """
+        found = stored(self._scan(self._routed(self.vectors.withColumn("floor", F.lit(-2.0)), 0, 1), k))
         best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
+        if self.probes > 1:
+            top = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
+            floor = F.when(F.count(F.lit(1)) >= k, F.min("cosine")).otherwise(F.lit(-1.5))
+            asking = self.vectors.join(top.groupBy("id").agg(floor.alias("floor")), "id", "left").fillna(-1.5, ["floor"])
+            found = top.unionByName(self._scan(self._routed(asking, 1, self.probes), k))
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
@@ -294,7 +313,7 @@ def similar_pairs(df: DataFrame, item: str, vector: str, dims: int, least: float
     are pairs too. Items without a usable vector have no rows, see vector_classes.
     """
     classes = stored(vector_classes(df, item, vector, dims))
-    found = Index(classes, dims, least=least).search(least=least)
+    found = Index(classes, dims, least=least).pairs(least)
     pairs = found.select(F.least("id", "other").alias("_x"), F.greatest("id", "other").alias("_y")).distinct()
     members = classes.select("item", "class")
     x, y = (members.select(F.col("item").alias(n), F.col("class").alias(f"_{n}")) for n in "xy")
@@ -314,7 +333,7 @@ def nearest(df: DataFrame, item: str, vector: str, dims: int, k: int, recall: fl
     some = Window.partitionBy("class").orderBy("item")
     few = classes.select("item", "class").withColumn("_n", F.row_number().over(some)).filter(F.col("_n") <= k + 1)
     few = few.select(F.col("item").alias("neighbour"), F.col("class").alias("other"))
-    found = Index(classes, dims, k=k, recall=recall).search(k=k).select(F.col("id").alias("class"), "other", "cosine")
+    found = Index(classes, dims, k=k, recall=recall).nearest(k).select(F.col("id").alias("class"), "other", "cosine")
     own = classes.filter(F.col("item") == F.col("class")).select("class", F.col("class").alias("other"), F.lit(1.0).alias("cosine"))
     near = found.unionByName(own).join(few, "other")
     # The k + 1 best of a class, itself among them, serve all its items.

@@ -181,14 +181,16 @@ def together(
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at in range(0, len(f), 2000):
-                g = f.iloc[at : at + 2000].copy()
-                fit = [np.interp(g[c].to_numpy(float), k, x) for c in ("n_a", "n_b")]
-                one, two = (np.outer(v, y) for v in fit)
+            # The null knows a pair by its counts alone, and most pairs share theirs with others.
+            counts, row = np.unique(f[["n", "n_a", "n_b"]].to_numpy(), axis=0, return_inverse=True)
+            mean, tail = np.zeros(len(counts)), np.zeros(len(counts))
+            for at in range(0, len(counts), 2000):
+                c = counts[at : at + 2000]
+                one, two = (np.outer(np.interp(c[:, i].astype(float), k, x), y) for i in (1, 2))
                 q = one / (1 + one) * (two / (1 + two))
-                g["expected"] = q @ r
-                g["log10_p"] = poisson_binomial_tail(g["n"].to_numpy(), q, r)
-                yield g
+                mean[at : at + 2000], tail[at : at + 2000] = q @ r, poisson_binomial_tail(c[:, 0], q, r)
+            row = row.ravel()
+            yield f.assign(expected=mean[row], log10_p=tail[row])
 
     schema = "a string, b string, n_a long, n_b long, n long, lift double, expected double, log10_p double"
     scored = pairs.select("a", "b", "n_a", "n_b", "n", "lift").mapInPandas(score, schema)
