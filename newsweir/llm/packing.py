@@ -14,6 +14,8 @@ from newsweir.operators.skew import salted_prefix
 
 # Lengths are put into this many bins for the least-squares problem; combinations have at most 3 lengths.
 _BINS = 96
+# A planned combination is made only while no more than this part of a container stays empty.
+_WASTE = 0.002
 # How far below the capacity a combination of bins may end, in bins.
 _WINDOW = 1
 
@@ -76,8 +78,8 @@ def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[dict[in
 
     A non-negative least-squares fit of the length histogram by combinations of at most three binned
     lengths says how often to repeat each; repeats are rounded down. Each is made of the longest pieces
-    its bins have left, then what room remains, and what pieces remain, are filled greedily with the
-    longest piece that fits. Each step empties the stock of a length or a combination's repeats, so the
+    its bins have left, as long as the container is all but full; then what room remains, and what pieces
+    remain, are filled greedily with the longest piece that fits. Each step empties the stock of a length or a combination's repeats, so the
     work depends on the capacity, not on the number of pieces.
     """
     stock = _Stock(counts)
@@ -93,10 +95,14 @@ def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[dict[in
     repeats = solve_nonnegative(a, histogram)
     plan: list[tuple[dict[int, int], int]] = []
 
-    def fill(pieces: dict[int, int], room: int, most: int) -> int:
+    def filled(pieces: dict[int, int], room: int) -> int:
+        """Adds the longest pieces that fit to `pieces`; the room left."""
         while (length := stock.fitting(room, pieces)) is not None:
             pieces[length] = pieces.get(length, 0) + 1
             room -= length
+        return room
+
+    def make(pieces: dict[int, int], most: int) -> int:
         times = min([most, *(stock.counts[k] // n for k, n in pieces.items())])
         stock.take(pieces, times)
         plan.append((pieces, times))
@@ -107,19 +113,23 @@ def plan_containers(counts: dict[int, int], capacity: int) -> list[tuple[dict[in
         while left > 0:
             pieces: dict[int, int] = {}
             room = capacity
-            for part in shapes[j]:
-                length = stock.fitting(min(room, int(np.floor(part * width))), pieces)
+            for at, part in enumerate(shapes[j], 1):
+                # The last piece may use what the others left of their bins.
+                most = room if at == len(shapes[j]) else min(room, int(np.floor(part * width)))
+                length = stock.fitting(most, pieces)
                 if length is None or length <= (part - 1) * width:
                     break
                 pieces[length] = pieces.get(length, 0) + 1
                 room -= length
             else:
-                left -= fill(pieces, room, left)
-                continue
+                if filled(pieces, room) <= _WASTE * capacity:
+                    left -= make(pieces, left)
+                    continue
             break
     while stock.lengths:
-        longest = stock.lengths[-1]
-        fill({longest: 1}, capacity - longest, stock.counts[longest])
+        pieces = {stock.lengths[-1]: 1}
+        filled(pieces, capacity - stock.lengths[-1])
+        make(pieces, stock.counts[stock.lengths[-1]])
     return plan
 
 
