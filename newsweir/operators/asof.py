@@ -64,7 +64,7 @@ def match_spans(
     spans begin in a leaf. The events of an entity spread over the tree's nodes; for entities with over
     1/HOT_KEYS of all events the wide nodes are salted as well, by at most 64.
 
-    Events without id, entity or time give no row. Copies of an event give each value once.
+    Events without id, entity or time give no row. Copies of an event, equal in the three, count once.
     """
     ev = events.select(
         F.col(entity).alias("_entity"), F.col(event_id).alias("_id"), F.col(event_time).alias("_t")
@@ -99,7 +99,8 @@ def match_spans(
 
     hot = hot_keys(ev, ["_entity"], total).select("_entity", F.ceil(F.col("_share") * _MAX_SALTS).cast("int").alias("_salts"))
     wide = (F.col("_node") < 2 ** (bits - _SALTED_LEVEL)) & F.col("_salts").isNotNull()
-    ev = ev.join(F.broadcast(hot), "_entity", "left").select("_entity", F.explode(above).alias("_node"), "_id", "_t", "_salts")
+    # Without copies a result is unique as it is: a span's nodes are disjoint, so an event meets one of them.
+    ev = ev.distinct().join(F.broadcast(hot), "_entity", "left").select("_entity", F.explode(above).alias("_node"), "_id", "_t", "_salts")
     ev = ev.withColumn("_salt", F.when(wide, F.pmod(F.hash("_id"), F.col("_salts"))).otherwise(0)).drop("_salts")
     s = s.join(F.broadcast(hot), "_entity", "left")
     s = s.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(wide, F.col("_salts") - 1).otherwise(0)))).drop("_salts")
@@ -108,7 +109,6 @@ def match_spans(
         ev.join(s, ["_entity", "_node", "_salt"])
         .filter((F.col("_t") >= F.col("start")) & (F.col("_t") < F.col("end")))
         .select(F.col("_id").alias(event_id), F.col("_v").alias(value))
-        .distinct()
     )
 
 
