@@ -51,7 +51,7 @@ def validity(versions: DataFrame, entity: str, time: str, value: str, step: int)
 
 
 def match_spans(
-    events: DataFrame, spans: DataFrame, *, entity: str, event_id: str, event_time: str, value: str, longest: int, spread: int = 8
+    events: DataFrame, spans: DataFrame, *, entity: str, event_id: str, event_time: str, value: str, longest: int, spread: int = 16
 ) -> DataFrame:
     """(event_id, value): for each event the values of its entity whose span holds the event's time.
 
