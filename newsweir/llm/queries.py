@@ -39,8 +39,9 @@ def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rare_repeated_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms the mixture says an article is about that hold the exact bounds of the case."""
-    found = term_scores(spark, sf_dir).filter(F.col("p_elite") >= 0.5)
+    """Terms of the mixture's rows that hold the exact bounds of the case, whatever their posterior: where one
+    record repeats a term heavily, the mixture takes the other holders for the base component."""
+    found = term_scores(spark, sf_dir)
     return found.filter((F.col("tf") >= 3) & F.col("df").between(2, 6)).select("article_id", "term")
 
 
