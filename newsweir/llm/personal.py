@@ -16,7 +16,7 @@ from newsweir.operators.partitions import spread
 _LABELS = 1 + 2 * len(KINDS)
 _OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|[^\w\s]|_|\s")
-_REACH = 10  # tokens around one with evidence that the chain is decoded over
+_SLACK = 1e-2  # more than single precision loses of a bound
 _CACHE = 400_000
 _ROWS = 512
 
@@ -90,7 +90,7 @@ class Recogniser:
 
     def _train(self, examples, steps: int = 150, ridge: float = 2e-2) -> None:
         types: dict[tuple[str, bool], int] = {}
-        rows, golds, entities = [], [], []
+        rows, golds = [], []
         slot_words: dict[str, int] = {}
         for text, spans in examples:
             tokens = self._tokens(text)
@@ -99,7 +99,6 @@ class Recogniser:
                 inside = [i for i, t in enumerate(tokens) if a <= t[2] < b]
                 gold[inside] = 2 + 2 * KINDS.index(kind)
                 gold[inside[0]] -= 1
-                entities.append((len(rows), inside))
             for t, y in zip(tokens, gold):
                 if y == 0:
                     slot_words[t[0].lower()] = slot_words.get(t[0].lower(), 0) + 1
@@ -192,11 +191,6 @@ class Recogniser:
                 params[i] -= single(rate) * (first[i] / single(1 - 0.9**step)) / (np.sqrt(second[i] / single(1 - 0.99**step)) + single(1e-9))
             w[0] = 0
         self.weights, self.trans = w.astype(np.float32), trans.astype(np.float32)
-        # A token is evidence if its own features speak for a label at least as they do for the weakest
-        # of the examples' strongest tokens.
-        table = w[idx].sum(1).reshape(len(types), n_off, _LABELS)[:, _OFFSETS.index(0)]
-        margin = table[:, 1:].max(1) - table[:, 0]
-        self.bar = float(np.quantile([margin[rows[i][inside]].max() for i, inside in entities], 0.0005)) - 1.0
 
     def _ids(self, token: str, glued: bool, grow: bool = False) -> list[int]:
         names = token_features(token, glued, self.given, self.family)
@@ -224,7 +218,6 @@ class Finder:
 
         self.types: dict[tuple[str, bool], int] = {}
         self.table = np.zeros((1024, len(_OFFSETS), _LABELS), np.float32)
-        self.evidence = np.zeros(1024, bool)
         self.chunks = Chunks()
 
     def _type(self, token: str, glued: bool) -> int:
@@ -233,29 +226,59 @@ class Finder:
             n = self.types[(token, glued)] = len(self.types)
             if n == len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.evidence = np.concatenate([self.evidence, np.zeros_like(self.evidence)])
             row = self.model.weights[self.model._ids(token, glued)].sum(0).reshape(len(_OFFSETS), _LABELS)
             self.table[n] = row
-            own = row[_OFFSETS.index(0)]
-            self.evidence[n] = own[1:].max() - own[0] >= self.model.bar
         return n
 
-    def _windows(self, token: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of the stretches around tokens with evidence, none across texts."""
-        hit = np.flatnonzero(self.evidence[token])
-        if not len(hit):
-            return hit, hit
-        edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
-        text = np.searchsorted(edge, hit, side="right") - 1
-        lo = np.maximum(hit - _REACH, edge[text])
-        hi = np.minimum(hit + _REACH + 1, edge[text + 1])
-        new = np.r_[True, (lo[1:] >= hi[:-1]) | (text[1:] != text[:-1])]
-        return lo[new], hi[np.r_[np.flatnonzero(new)[1:] - 1, len(hit) - 1]]
+    def _emissions(self, token: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """The scores of each token's labels by the features of all tokens at the offsets in its text."""
+        e = np.zeros((len(token), _LABELS), np.float32)
+        for o, off in enumerate(_OFFSETS):
+            n = len(token) - abs(off)
+            if n <= 0:
+                continue
+            at, other = slice(max(-off, 0), max(-off, 0) + n), slice(max(off, 0), max(off, 0) + n)
+            x = self.table[:, o][token[other]]
+            x[owner[at] != owner[other]] = 0
+            e[at] += x
+        return e
+
+    def _windows(self, e: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the stretches outside of which the best labels of the whole texts are 0.
+
+        A run of labels a..b in place of zeros gains at most the sum of its tokens' best gains, each with
+        the best transition that leads there, and that of the transition after it. A token is left out
+        only if no run of its text that holds it can gain anything.
+        """
+        over = self.model.trans - self.model.trans[0, 0]
+        # At a text's ends there is no transition.
+        enter, leave = np.maximum(over[:, 1:].max(0), 0), max(float(over[1:, 0].max()), 0.0)
+        gain = (e[:, 1:] - e[:, :1] + enter).max(1).astype(np.float64)
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        most = np.zeros(len(gain))
+        for a, b in zip(first, np.r_[first[1:], len(gain)]):
+            upto = np.cumsum(gain[a:b])
+            start = np.minimum.accumulate(np.r_[0.0, upto[:-1]])
+            most[a:b] = np.maximum.accumulate(upto[::-1])[::-1] - start
+        open_ = most + leave > -_SLACK
+        edge = np.r_[False, open_[1:] & open_[:-1] & (owner[1:] == owner[:-1])]
+        lo = np.flatnonzero(open_ & ~edge)
+        hi = np.flatnonzero(open_ & ~np.r_[edge[1:], False]) + 1
+        return lo, hi
 
     def labels(self, token: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """The best labels; 0 outside of windows around evidence."""
+        """The best labels of each whole text, by Viterbi over the stretches that may hold any but 0."""
         out = np.zeros(len(token), np.int8)
-        lo, hi = self._windows(token, owner)
+        # Whole texts of some 500,000 tokens at a time, or one that is longer.
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        cuts = first[np.r_[True, np.diff(first // 500_000) > 0]]
+        for a, b in zip(cuts, np.r_[cuts[1:], len(token)]):
+            self._label(token[a:b], owner[a:b], out[a:b])
+        return out
+
+    def _label(self, token: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+        e = self._emissions(token, owner)
+        lo, hi = self._windows(e, owner)
         length = hi - lo
         order = np.argsort(length, kind="stable")
         at = 0
@@ -265,28 +288,27 @@ class Finder:
             while at + n < len(order) and length[order[at + n]] <= size * 1.25 + 4 and (n + 1) * length[order[at + n]] <= 200_000:
                 n += 1
             own = order[at : at + n]
-            self._decode(token, owner, lo[own], hi[own], out)
+            self._decode(e, owner, lo[own], hi[own], out)
             at += n
-        return out
 
-    def _decode(self, token, owner, lo, hi, out) -> None:
+    def _decode(self, emissions, owner, lo, hi, out) -> None:
         longest = int((hi - lo).max())
         pos = lo[:, None] + np.arange(longest)[None, :]
         real = pos < hi[:, None]
         pos = np.where(real, pos, lo[:, None])
-        e = np.zeros((*pos.shape, _LABELS), np.float32)
-        for o, off in enumerate(_OFFSETS):
-            other = np.clip(pos + off, 0, len(token) - 1)
-            ok = real & (owner[other] == owner[pos]) & (other == pos + off)
-            e += self.table[token[other], o] * ok[:, :, None]
+        e = emissions[pos] * real[:, :, None]
         back = np.zeros((longest, len(lo), _LABELS), np.int8)
         score, trans = e[:, 0].copy(), self.model.trans
+        # The tokens beside a window are 0, unless it lies at its text's end.
+        before, after = np.maximum(lo - 1, 0), np.minimum(hi, len(owner) - 1)
+        score += np.where(((lo > 0) & (owner[before] == owner[lo]))[:, None], trans[0], np.float32(0))
         for t in range(1, longest):
             x = score[:, :, None] + trans[None]
             back[t] = x.argmax(1)
             new = np.take_along_axis(x, back[t].astype(int)[:, None, :], 1)[:, 0] + e[:, t]
             score = np.where(real[:, t, None], new, score)
             back[t] = np.where(real[:, t, None], back[t], np.arange(_LABELS)[None, :])
+        score += np.where(((hi < len(owner)) & (owner[after] == owner[lo]))[:, None], trans[:, 0], np.float32(0))
         best = score.argmax(1)
         for t in range(longest - 1, -1, -1):
             r = real[:, t]
@@ -443,10 +465,10 @@ def find_personal(df: DataFrame, doc: str, text: str, names: DataFrame) -> DataF
 
     A conditional random field over word-shape features labels the tokens; it is trained here on a small
     labelled table with the names of `names` (name, name_kind), a reference list that the driver reads.
-    Texts are decoded whole, by Viterbi, in batches; stretches further than 10 tokens from any token
-    whose own features speak for a label as much as in the examples are outside by definition. What was
-    found is then trimmed and checked by form. Null and empty texts give no rows; a text of any length is
-    one chain. Documents that occur twice give their rows for each, so ids should be unique.
+    A text of any length is one chain with the labels of its best path. Viterbi runs, in batches, over the
+    stretches that may hold a label at all: bounds on the tokens' scores and the transitions prove that the
+    best path is outside everywhere else. What was found is then trimmed and checked by form. Null and
+    empty texts give no rows. Documents that occur twice give their rows for each, so ids should be unique.
     """
 
     def emit(ids, texts, found):
