@@ -13,6 +13,8 @@ from newsweir.operators.durable import stored
 
 # Rows the partitions and the classifier are learned from, and how many vectors a partition should hold.
 SAMPLE = 8192
+# Vectors held out from the sample, whose true neighbours set the probes of a search for the nearest.
+HELD = 1024
 PARTITION = 1000
 _NEIGHBOURS = 10
 # A partition is searched in blocks of at most about this many vectors; its queries are spread in shares.
@@ -157,15 +159,50 @@ def probes_for_cosine(router: Router, x: np.ndarray, least: float, cover: float
     return int(np.quantile(place, cover)) + 1
 
 
+def true_nearest(vectors: DataFrame, ids: list[str], x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, vector): the k nearest among all of `vectors` (id, vector) of each row of x, itself left out.
+
+    Each task compares its vectors with all of x and hands on the k best of each row it has seen.
+    """
+    dims = x.shape[1]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {i: n for n, i in enumerate(ids)}
+        best, near = np.full((len(x), k), -np.inf), np.zeros((len(x), k, dims))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y = unit(b["vector"].flatten().to_numpy().reshape(-1, dims).astype(np.float64))
+            own = [(number[i], j) for j, i in enumerate(b["id"].to_pylist()) if i in number]
+            cosine = x @ y.T
+            for n, j in own:
+                cosine[n, j] = -np.inf
+            some = min(k, len(y))
+            at = np.argpartition(-cosine, some - 1, axis=1)[:, :some]
+            score = np.concatenate([best, np.take_along_axis(cosine, at, 1)], 1)
+            keep = np.argpartition(-score, k - 1, axis=1)[:, :k]
+            best = np.take_along_axis(score, keep, 1)
+            near = np.take_along_axis(np.concatenate([near, y[at]], 1), keep[:, :, None], 1)
+        row, col = np.nonzero(best > -np.inf)
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(near[row, col].ravel()), dims).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), flat, pa.array(best[row, col])], ["row", "vector", "cosine"])
+
+    found = vectors.select("id", "vector").mapInArrow(scan, "row int, vector array<double>, cosine double")
+    top = found.withColumn("_n", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("cosine")))).filter(F.col("_n") <= k)
+    got = top.select("row", "vector").toArrow().combine_chunks()
+    return got["row"].to_numpy(), got["vector"].combine_chunks().flatten().to_numpy().reshape(-1, dims)
+
+
+def probes_for_neighbours(router: Router, x: np.ndarray, row: np.ndarray, near: np.ndarray, recall: float) -> int:
+    """How many partitions to search so that the neighbours `near` of x's rows `row` are found with that recall."""
+    place = np.argsort(router.route(x, router.weights[3].shape[0]), axis=1)
+    return int(np.quantile(place[row, router.route(near, 1)[:, 0]], recall)) + 1
+
+
 def probes_for_recall(router: Router, x: np.ndarray, k: int, recall: float) -> int:
     """How many partitions to search so that the sample's k nearest are found with that recall."""
     graph = neighbour_graph(x, min(k, len(x) - 1))
-    parts = router.weights[3].shape[0]
-    home = router.route(x, 1)[:, 0]
-    order = router.route(x, parts)
-    place = np.argsort(order, axis=1)
-    needed = np.take_along_axis(place, home[graph], 1).ravel()
-    return int(np.quantile(needed, recall)) + 1
+    return probes_for_neighbours(router, x, np.repeat(np.arange(len(x)), graph.shape[1]), x[graph.ravel()], recall)
 
 
 def vector_classes(df: DataFrame, item: str, vector: str, dims: int) -> DataFrame:
@@ -186,21 +223,29 @@ class Index:
 
     The partitions and the router are fitted on at most SAMPLE vectors, those of the least hashes; every
     vector is indexed. The number of partitions grows with the vectors, one per PARTITION of them, up to
-    one per 16 of the sample. `least` sets the probes by cosine, `k` and `recall` by the nearest neighbours.
+    one per 16 of the sample. `least` sets the probes by cosine, `k` and `recall` by the nearest neighbours:
+    by those among all vectors of up to HELD vectors that the router was not trained on, and by the sample's.
     """
 
     def __init__(self, classes: DataFrame, dims: int, least: float | None = None, k: int | None = None, recall: float = 0.97):
         self.vectors = classes.filter(F.col("item") == F.col("class")).select(F.col("class").alias("id"), "vector")
         count = self.vectors.count()
         # The order of the hashes takes a bounded number of rows from each task.
-        rows = self.vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
-        x = rows.flatten().to_numpy().astype(np.float64).reshape(-1, dims)
+        held = 0 if least is not None else min(HELD, count // 9)
+        rows = self.vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + held).select("id", "vector").toArrow()
+        x = rows["vector"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dims)
+        ids, apart, x = rows["id"].to_pylist()[len(x) - held :], x[len(x) - held :], x[: len(x) - held]
         self.dims, self.parts = dims, max(1, min(-(-count // PARTITION), len(x) // 16))
         self.router, self.probes = None, 1
         if self.parts > 1:
             x = unit(x)
             self.router = learn_router(x, self.parts)
-            self.probes = probes_for_cosine(self.router, x, least) if least is not None else probes_for_recall(self.router, x, k, recall)
+            if least is not None:
+                self.probes = probes_for_cosine(self.router, x, least)
+            else:
+                apart = unit(apart)
+                unseen = probes_for_neighbours(self.router, apart, *true_nearest(self.vectors, ids, apart, k), recall)
+                self.probes = max(unseen, probes_for_recall(self.router, x, k, recall))
 
     def _routed(self, vectors: DataFrame, first: int, last: int) -> DataFrame:
         """(id, vector, floor, part): each of `vectors` with its most probable partitions from `first` to before `last`."""
@@ -327,7 +372,8 @@ def nearest(df: DataFrame, item: str, vector: str, dims: int, k: int, recall: fl
 
     The search is over distinct vectors; an item's neighbours are the items of its own class, cosine 1,
     then those of the nearest classes, ordered by cosine and id. Only the k + 1 least ids of a class can
-    be neighbours. The probes are set for the given recall on the sample; ties are ordered by id.
+    be neighbours. The probes are set for the given recall on vectors held out from
+    training and on the sample; ties are ordered by id.
     """
     classes = stored(vector_classes(df, item, vector, dims))
     some = Window.partitionBy("class").orderBy("item")
