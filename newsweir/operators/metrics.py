@@ -120,27 +120,34 @@ def bootstrap_means(values: DataFrame, by: list[str], key: str, value: str, repl
     return whole.join(spread, by)
 
 
-def bootstrap_coverage(
+def coverage_interval(
     impressions: DataFrame, lists: DataFrame, by: str, key: str, query: str, catalog: DataFrame, replicates: int = 50, alpha: float = 0.05
 ) -> DataFrame:
     """(by, mean, boot_mean, ci_low, ci_high, n): catalogue coverage and its bootstrap interval.
 
     `impressions` has by, key and query, `lists` query and article_id, `catalog` by and articles, the
     catalogue's size. Impressions are drawn, not articles. Which replicates draw a query's impressions is
-    one number of `replicates` bits (62 at most), a bitwise or; so is which of them cover an article. Each
-    row is read once for all replicates. The point may lie above the interval, as drawing with repeats
+    a bit each in as many longs as they need, 62 in one, by a bitwise or; so is which of them cover an
+    article. Each row is read once for all replicates. The point may lie above the interval, as drawing with repeats
     never adds articles. Only impressions with a list count in n.
     """
-    if replicates > 62:
-        raise ValueError("at most 62 replicates")
-    drawn = F.array(*[F.shiftleft((poisson_weight(F.col(key), F.lit(b)) > 0).cast("long"), b) for b in range(replicates)])
-    bits = F.aggregate(drawn, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
-    asked = impressions.withColumn("_bits", bits).groupBy(by, query).agg(F.bit_or("_bits").alias("_bits"), F.count_distinct(key).alias("_n"))
+    words = {f"_bits{at}": range(at, min(at + 62, replicates)) for at in range(0, replicates, 62)}
+
+    def drawn(of: range) -> Column:
+        def add(bits: Column, b: Column) -> Column:
+            on = (poisson_weight(F.col(key), b) > 0).cast("long")
+            return bits.bitwiseOR(F.call_function("shiftleft", on, b - of.start))
+
+        return F.aggregate(F.sequence(F.lit(of.start), F.lit(of.stop - 1)), F.lit(0).cast("long"), add)
+
+    either = [F.bit_or(c).alias(c) for c in words]
+    asked = impressions.withColumns({c: drawn(of) for c, of in words.items()})
+    asked = asked.groupBy(by, query).agg(*either, F.count_distinct(key).alias("_n"))
     found = asked.join(lists.select(query, "article_id"), query)
     n = asked.join(lists.select(query).distinct(), query, "left_semi").groupBy(by).agg(F.sum("_n").alias("n"))
-    covered = found.groupBy(by, "article_id").agg(F.bit_or("_bits").alias("_bits"))
-    at = covered.select(by, "_bits", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))).alias("_b"))
-    on = F.when(F.col("_b") < 0, 1).otherwise(F.expr("shiftright(_bits, greatest(_b, 0)) & 1"))
+    covered = found.groupBy(by, "article_id").agg(*either)
+    at = covered.select(by, F.array(*words).alias("_words"), F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))).alias("_b"))
+    on = F.when(F.col("_b") < 0, 1).otherwise(F.expr("shiftright(_words[greatest(_b, 0) div 62], greatest(_b, 0) % 62) & 1"))
     counts = at.groupBy(by, "_b").agg(F.sum(on).alias("_covered")).join(F.broadcast(catalog), by)
     share = F.when(F.col("articles") > 0, F.col("_covered") / F.col("articles")).otherwise(0.0)
     boot = F.when(F.col("_b") >= 0, F.col("_share"))
@@ -157,6 +164,15 @@ def bootstrap_coverage(
     )
 
 
+def bootstrap_coverage(
+    impressions: DataFrame, lists: DataFrame, by: str, key: str, query: str, catalog: DataFrame, replicates: int = 50, alpha: float = 0.05
+) -> DataFrame:
+    """coverage_interval by one long of replicates, 62 at most."""
+    if replicates > 62:
+        raise ValueError("at most 62 replicates; coverage_interval takes any number")
+    return coverage_interval(impressions, lists, by, key, query, catalog, replicates, alpha)
+
+
 def bootstrap_ci(values, n_boot: int = 1000, alpha: float = 0.05, seed: int = 42) -> dict:
     """The mean of local values and its interval by resampling with NumPy's generator; NaN if there are none."""
     x = np.asarray(values, float)

@@ -304,7 +304,7 @@ def bootstrap_coverage_ci(spark: SparkSession, d: str) -> DataFrame:
     impressions = spread(v.recent(spark, d).filter(F.size("recent") > 0).select("dataset", "impression_id", "query"))
     lists = v.bm25_top(spark, d).select("query", "article_id")
     catalog = v.articles(spark, d).groupBy("dataset").agg(F.count(F.lit(1)).alias("articles"))
-    found = metrics.bootstrap_coverage(impressions, lists, "dataset", "impression_id", "query", catalog, REPLICATES)
+    found = metrics.coverage_interval(impressions, lists, "dataset", "impression_id", "query", catalog, REPLICATES)
     return found.withColumns({c: F.round(c, 5) for c in ("mean", "boot_mean", "ci_low", "ci_high")})
 
 
