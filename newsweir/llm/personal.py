@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import base64
+import functools
+import io
 import re
+from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from newsweir.llm.pii_examples import KINDS, filled
+from newsweir.llm.pii_examples import KINDS, filled, invented_names, wording_words
+from newsweir.llm.tokens import VOCABULARY
 from newsweir.operators.partitions import spread
 
 # Label 0 is outside; kind k begins with 1 + 2k and goes on with 2 + 2k.
@@ -31,31 +37,76 @@ def _shape(w: str) -> str:
     return "Xx" if w[0].isupper() and w[1:].islower() else "xX"
 
 
-def token_features(token: str, glued: bool, given: frozenset, family: frozenset) -> list[str]:
-    """What the recogniser sees of a token: its shape, ends and list membership, not which name it is."""
+# Assigned international calling codes, with and without the prefix 00.
+_CALLING = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "350 351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 378 380 381 382 385 386 387 389 420 421 423".split()
+)
+
+
+_EDGES = ".,;:!?\"'<>»«“”„’]["
+
+
+@functools.lru_cache(100_000)
+def chunk_shapes(chunk: str) -> tuple[str, ...]:
+    """How a blank-free chunk with digits or an at sign is written: exactly, and with its runs made one sign.
+
+    Digits are 9, letters alone A or a, words W; chunks of letters alone have no shapes.
+    """
+    if not any(c.isdigit() or c == "@" for c in chunk):
+        return ()
+    s = re.sub(r"<[^>]*>", "", chunk.strip(_EDGES)).strip(_EDGES)
+    s = re.sub(r"\d", "9", re.sub(r"[^\W\d_]{2,}", "W", s)).replace("\xa0", " ")
+    s = re.sub(r"[^\W\d_](?<!W)", lambda m: "A" if m.group().isupper() else "a", s)
+    return ("c" + s[:24], "k" + re.sub(r"9+", "9", s)[:16])
+
+
+class NameLists:
+    """Given and family names, and the beginnings and ends that at least three of the families share."""
+
+    def __init__(self, given: list[str], family: list[str]):
+        self.given = frozenset(p for x in given for p in x.lower().split("-"))
+        self.family = frozenset(x.lower() for x in family)
+        heads, tails = (Counter(p for x in self.family for p in {cut(x, n) for n in (3, 4, 5)} if len(p) < len(x)) for cut in (lambda x, n: x[:n], lambda x, n: x[-n:]))
+        self.heads, self.tails = (frozenset(p for p, n in c.items() if n >= 3) for c in (heads, tails))
+
+    def like_family(self, w: str) -> str:
+        """Whether a word begins ("h") and ends ("t") as listed families do."""
+        h = any(w[:n] in self.heads for n in (3, 4, 5) if len(w) > n)
+        t = any(w[-n:] in self.tails for n in (3, 4, 5) if len(w) > n)
+        return "h" * h + "t" * t
+
+
+def token_features(token: str, glued: bool, shapes: tuple[str, ...], lists: NameLists) -> list[str]:
+    """What the recogniser sees of a token: its shape and its chunk's, ends and list membership, not which name it is."""
     g = "g" if glued else "s"
     if token.isdigit():
         n = len(token)
-        f = [f"d{n}", f"d{n}{g}", f"d{n}^{token[0]}", f"d{n}^{token[:2]}"]
-        if token in ("45", "46", "49", "44", "1", "0", "00", "666", "555"):
-            f.append("n=" + token)
+        f = [*shapes, f"d{n}", f"d{n}{g}", f"d{n}^{token[0]}"]
+        if token.removeprefix("00") in _CALLING:
+            f.append("calling")
+        if n == 4:
+            f.append(f"year{token[:2] in ('19', '20')}")
         if n >= 6:
             # A number that starts like a date: day and month, or year and month.
             day, month, year = int(token[:2]), int(token[2:4]), token[:2]
             f.append(f"date{1 <= day <= 31 and 1 <= month <= 12}{n}")
+            f.append(f"born{1 <= month <= 12 and 1 <= int(token[4:6]) <= 31}{n}")
             f.append(f"year{year in ('19', '20')}{n}")
         return f
     if token[0].isalpha():
         w, s = token.lower(), _shape(token)
-        f = ["w=" + w, s, s + g, "e2" + w[-2:]]
+        f = ["w=" + w, *shapes, s, s + g, "e2" + w[-2:]]
         if len(w) >= 5:
             f += ["e3" + w[-3:], "e4" + w[-4:]]
-        if w in given:
+        if w in lists.given:
             f += ["G", "G" + s]
-        if w in family:
+        if w in lists.family:
             f += ["F", "F" + s]
+        elif like := lists.like_family(w):
+            f += ["L" + like, "L" + like + s]
         return f
-    return ["p" + token, "p" + token + g]
+    return [*shapes[1:], "p" + token, "p" + token + g]
 
 
 def _pieces(chunk: str) -> list[tuple[str, bool, int, int]]:
@@ -69,132 +120,185 @@ def _pieces(chunk: str) -> list[tuple[str, bool, int, int]]:
     return out
 
 
+_WEIGHTS = Path(__file__).with_name("personal_weights.npz")
+# Words that are context however rarely the examples have them: of disguised addresses and of streets.
+_ALWAYS = "at dot nr no str st rd ave street road lane avenue drive close row rise terrace mews court way square grove crescent gardens place walk hill parade wharf vej gade väg gata weg platz".split()
+
+
+def _whole_words(vocabulary: str) -> list[str]:
+    with open(vocabulary, "rb") as f:
+        tokens = [base64.b64decode(line.split()[0]).decode(errors="ignore") for line in f]
+    return sorted({t[1:].lower() for t in tokens if re.fullmatch(r" [a-zæøåäöüßéA-ZÆØÅÄÖÜ]{4,}", t)})
+
+
+def _by_length(rows: list, buckets: int = 4) -> list[list]:
+    rows = sorted(rows, key=lambda r: len(r[0]))
+    return [x for k in range(buckets) if (x := rows[len(rows) * k // buckets : len(rows) * (k + 1) // buckets])]
+
+
+class _Bucket:
+    """Examples of similar length, padded to the longest, and their part of the likelihood's gradient."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], idx: np.ndarray):
+        longest, count = max(len(r) for r, _ in rows), len(rows)
+        used, where = np.unique(np.concatenate([r for r, _ in rows]), return_inverse=True)
+        self.types, self.idx = len(used), idx[used]
+        tok, self.gold = np.full((count, longest), -1), np.zeros((count, longest), int)
+        at = 0
+        for i, (r, y) in enumerate(rows):
+            tok[i, : len(r)], self.gold[i, : len(r)] = where[at : at + len(r)], y
+            at += len(r)
+        self.real, self.n = tok >= 0, at
+        # For each offset: the type seen there by each token (the last, empty one past an end), and the
+        # tokens in the order of what they see, to sum gradients by type.
+        self.seen, self.sums = [], []
+        for o in _OFFSETS:
+            s = np.full_like(tok, -1)
+            if o < 0:
+                s[:, -o:] = tok[:, :o]
+            elif o > 0:
+                s[:, :-o] = tok[:, o:]
+            else:
+                s = tok
+            self.seen.append(s[self.real])
+            self.sums.append(self._runs(s[self.real]))
+        self.columns = [self._runs(c) for c in self.idx.T]
+        self.target = np.eye(_LABELS, dtype=np.float32)[self.gold[self.real]]
+        self.pairs = np.zeros((_LABELS, _LABELS), np.float32)
+        both = self.real[:, 1:]
+        np.add.at(self.pairs, (self.gold[:, :-1][both], self.gold[:, 1:][both]), 1)
+
+    @staticmethod
+    def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(x, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
+        return order, starts, x[order][starts]
+
+    def add_gradients(self, w: np.ndarray, trans: np.ndarray, gw: np.ndarray, gt: np.ndarray) -> None:
+        """Forward and backward over all texts at once; expected less observed features go to gw and gt."""
+        single, (count, longest) = np.float32, self.real.shape
+        table = np.zeros((self.types + 1, len(_OFFSETS), _LABELS), single)
+        table[:-1] = w[self.idx].sum(1).reshape(self.types, len(_OFFSETS), _LABELS)
+        flat = sum(table[x, o] for o, x in enumerate(self.seen))
+        e = np.full((count, longest, _LABELS), 1 / _LABELS, single)
+        e[self.real] = np.exp(flat - flat.max(-1, keepdims=True)) + single(1e-20)
+        m = np.exp(trans)
+        a, b = np.zeros_like(e), np.zeros_like(e)
+        a[:, 0] = e[:, 0] / e[:, 0].sum(-1, keepdims=True)
+        for t in range(1, longest):
+            x = (a[:, t - 1] @ m) * e[:, t]
+            a[:, t] = np.where(self.real[:, t, None], x / x.sum(-1, keepdims=True), a[:, t - 1])
+        b[:, -1] = 1.0
+        pair = np.zeros((_LABELS, _LABELS), single)
+        for t in range(longest - 2, -1, -1):
+            nxt = e[:, t + 1] * b[:, t + 1]
+            x = nxt @ m.T
+            on = self.real[:, t + 1, None]
+            b[:, t] = np.where(on, x / x.sum(-1, keepdims=True), single(1))
+            z = ((a[:, t] @ m) * nxt).sum(-1, keepdims=True)
+            pair += (np.where(on, a[:, t] / z, single(0)).T @ nxt) * m
+        p = (a * b)[self.real]
+        d = p / p.sum(-1, keepdims=True) - self.target
+        g = np.zeros((self.types + 1, len(_OFFSETS), _LABELS), single)
+        for o, (order, starts, keys) in enumerate(self.sums):
+            g[keys, o] = np.add.reduceat(d[order], starts)
+        g = g[:-1].reshape(self.types, -1)
+        for order, starts, keys in self.columns:
+            gw[keys] += np.add.reduceat(g[order], starts)
+        gt += pair - self.pairs
+
+
 class Recogniser:
-    """The field: weights of features at offsets from -3 to 3, and of label pairs.
+    """The field: weights of features at offsets from -3 to 3, and of label pairs, and lists of names.
 
-    Trained on pii_examples.filled with names from the given lists, by full-batch gradients of the
-    likelihood; a run takes some seconds and always gives the same weights.
+    The weights don't depend on which names are listed, only on whether a token is: they are trained once
+    on invented people, two thirds of them listed, and kept in a file beside this module.
     """
 
     def __init__(self, given: list[str], family: list[str]):
-        parts = {p for x in given for p in x.lower().split("-")}
-        self.given, self.family = frozenset(parts), frozenset(x.lower() for x in family)
-        self._train(filled(given, family))
+        self.lists = NameLists(given, family)
+        with np.load(_WEIGHTS) as kept:
+            self.features = {x: i for i, x in enumerate(bytes(kept["features"]).decode().split("\0"))}
+            self.words = frozenset(bytes(kept["words"]).decode().split("\0"))
+            self.weights, self.trans = kept["weights"].astype(np.float32), kept["trans"]
+
+    @property
+    def given(self) -> frozenset:
+        return self.lists.given
 
-    def _tokens(self, text: str) -> list[tuple[str, bool, int, int]]:
+    @classmethod
+    def trained(cls, rounds: int = 18, steps: int = 500, vocabulary: str = VOCABULARY) -> Recogniser:
+        """A model trained on pii_examples.filled by full-batch gradients of the likelihood.
+
+        The neutral lines among the wordings are of words that a public tokenizer has as one token.
+        """
+        self = cls.__new__(cls)
+        self.lists = NameLists(*invented_names()[2:])
+        self._train(filled(rounds, ordinary=_whole_words(vocabulary)), steps)
+        return self
+
+    def save(self, path: Path = _WEIGHTS) -> None:
+        """Features whose weights all round to nothing are left out; single precision is halved."""
+        kept = np.flatnonzero((np.abs(self.weights).max(1) > 0.01) | (np.arange(len(self.weights)) == 0))
+        names = list(self.features)
+        text = lambda some: np.frombuffer("\0".join(some).encode(), np.uint8)
+        out = io.BytesIO()
+        np.savez_compressed(out, features=text(names[i] for i in kept), words=text(sorted(self.words)), weights=self.weights[kept].astype(np.float16), trans=self.trans)
+        path.write_bytes(out.getvalue())
+
+    def _tokens(self, text: str) -> list[tuple[str, bool, tuple, int, int]]:
         out, at = [], 0
         for chunk in text.split(" "):
-            out += [(t, g, at + a, at + b) for t, g, a, b in _pieces(chunk)]
+            out += [(t, g, chunk_shapes(chunk), at + a, at + b) for t, g, a, b in _pieces(chunk)]
             at += len(chunk) + 1
         return out
 
-    def _train(self, examples, steps: int = 150, ridge: float = 2e-2) -> None:
-        types: dict[tuple[str, bool], int] = {}
-        rows, golds = [], []
-        slot_words: dict[str, int] = {}
+    def _train(self, examples, steps: int, ridge: float = 3e-3, hidden: float = 0.08, parts: int = 4) -> None:
+        """Weights of a great likelihood, by Adam; each step sees one of `parts` random parts of the examples."""
+        # A token's word is hidden from its features now and then: the surroundings of a value vary.
+        types: dict[tuple[str, bool, tuple, bool], int] = {}
+        rng = np.random.default_rng(3)
+        rows = []
         for text, spans in examples:
             tokens = self._tokens(text)
             gold = np.zeros(len(tokens), int)
             for a, b, kind in spans:
-                inside = [i for i, t in enumerate(tokens) if a <= t[2] < b]
+                inside = [i for i, t in enumerate(tokens) if a <= t[3] < b]
                 gold[inside] = 2 + 2 * KINDS.index(kind)
                 gold[inside[0]] -= 1
-            for t, y in zip(tokens, gold):
-                if y == 0:
-                    slot_words[t[0].lower()] = slot_words.get(t[0].lower(), 0) + 1
-            rows.append(np.array([types.setdefault((t, g), len(types)) for t, g, _, _ in tokens]))
-            golds.append(gold)
-        # Words are features if they stand outside of slots, often, and aren't names: the context.
-        self.words = frozenset(w for w, n in slot_words.items() if n >= 5 and w not in self.given) | frozenset(
-            "at dot nr str st rd ave street road lane avenue close row rise terrace mews court vej gade tips news qq saint old upper north norra".split()
-        )
+            hide = (rng.random(len(tokens)) < hidden).tolist()
+            rows.append((np.array([types.setdefault((t, g, c, h), len(types)) for (t, g, c, _, _), h in zip(tokens, hide)]), gold))
+        # Words are features if the wordings have them outside of slots and they aren't names: the context.
+        self.words = (wording_words() - self.given) | frozenset(_ALWAYS)
         self.features: dict[str, int] = {"": 0}
-        lists = [self._ids(t, g, grow=True) for t, g in types]
-        width = max(map(len, lists))
-        idx = np.zeros((len(types), width), int)
+        lists = [self._ids(t, g, c, grow=True, hide=h) for t, g, c, h in types]
+        idx = np.zeros((len(types), max(map(len, lists))), int)
         for i, x in enumerate(lists):
             idx[i, : len(x)] = x
-        n_features, n_off = len(self.features), len(_OFFSETS)
-        longest, count = max(map(len, rows)), len(rows)
-        tok = np.full((count, longest), -1)
-        gold = np.zeros((count, longest), int)
-        for i, (r, y) in enumerate(zip(rows, golds)):
-            tok[i, : len(r)], gold[i, : len(r)] = r, y
-        real = tok >= 0
-        n_tokens = int(real.sum())
-        # For each offset: the type seen there by each token (the last, empty one past an end), and the
-        # tokens in the order of what they see, to sum gradients by type.
-        seen, sums = [], []
-        for o in _OFFSETS:
-            s = np.full_like(tok, -1)
-            if o < 0:
-                s[:, -o:] = tok[:, :o]
-            elif o > 0:
-                s[:, :-o] = tok[:, o:]
-            else:
-                s = tok
-            x = s[real]
-            seen.append(x)
-            order = np.argsort(x, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(x[order]) != 0])
-            sums.append((order, starts, x[order][starts]))
-        columns = []
-        for c in range(width):
-            order = np.argsort(idx[:, c], kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(idx[order, c]) != 0])
-            columns.append((order, starts, idx[order, c][starts]))
+        rng.shuffle(rows)
+        # Texts of about the same length lie in one bucket, as a bucket is padded to its longest.
+        batches = [[_Bucket(x, idx) for x in _by_length(rows[k::parts])] for k in range(parts)]
         single = np.float32
-        w = np.zeros((n_features, n_off * _LABELS), single)
-        trans = np.zeros((_LABELS, _LABELS), single)
-        params, first, second = [w, trans], [0.0, 0.0], [0.0, 0.0]
-        target = np.eye(_LABELS, dtype=single)[gold[real]]
-        pair_gold = np.zeros((_LABELS, _LABELS), single)
-        both = real[:, 1:]
-        np.add.at(pair_gold, (gold[:, :-1][both], gold[:, 1:][both]), 1)
+        params = [np.zeros((len(self.features), len(_OFFSETS) * _LABELS), single), np.zeros((_LABELS, _LABELS), single)]
+        first, second = ([np.zeros_like(x) for x in params] for _ in range(2))
         for step in range(1, steps + 1):
-            table = np.zeros((len(types) + 1, n_off, _LABELS), single)
-            table[:-1] = w[idx].sum(1).reshape(len(types), n_off, _LABELS)
-            flat = sum(table[x, o] for o, x in enumerate(seen))
-            e = np.full((count, longest, _LABELS), 1 / _LABELS, single)
-            e[real] = np.exp(flat - flat.max(-1, keepdims=True)) + single(1e-20)
-            m = np.exp(trans)
-            a = np.zeros_like(e)
-            b = np.zeros_like(e)
-            a[:, 0] = e[:, 0] / e[:, 0].sum(-1, keepdims=True)
-            for t in range(1, longest):
-                x = (a[:, t - 1] @ m) * e[:, t]
-                a[:, t] = np.where(real[:, t, None], x / x.sum(-1, keepdims=True), a[:, t - 1])
-            b[:, -1] = 1.0
-            pair = np.zeros((_LABELS, _LABELS), single)
-            for t in range(longest - 2, -1, -1):
-                nxt = e[:, t + 1] * b[:, t + 1]
-                x = nxt @ m.T
-                on = real[:, t + 1, None]
-                b[:, t] = np.where(on, x / x.sum(-1, keepdims=True), single(1))
-                z = ((a[:, t] @ m) * nxt).sum(-1, keepdims=True)
-                pair += (np.where(on, a[:, t] / z, single(0)).T @ nxt) * m
-            p = (a * b)[real]
-            d = p / p.sum(-1, keepdims=True) - target
-            g = np.zeros((len(types) + 1, n_off, _LABELS), single)
-            for o, (order, starts, keys) in enumerate(sums):
-                g[keys, o] = np.add.reduceat(d[order], starts)
-            g = g[:-1].reshape(len(types), -1)
-            gw = np.zeros_like(w)
-            for order, starts, keys in columns:
-                gw[keys] += np.add.reduceat(g[order], starts)
-            gw[0] = 0
-            rate = 0.15 * min(1.0, 2 * (1 - step / steps) + 0.02)
-            for i, (x, gx) in enumerate(((w, gw + single(ridge) * w), (trans, pair - pair_gold + single(ridge) * trans))):
-                gx = gx / single(n_tokens)
-                first[i] = single(0.9) * first[i] + single(0.1) * gx
-                second[i] = single(0.99) * second[i] + single(0.01) * gx * gx
-                params[i] -= single(rate) * (first[i] / single(1 - 0.9**step)) / (np.sqrt(second[i] / single(1 - 0.99**step)) + single(1e-9))
-            w[0] = 0
-        self.weights, self.trans = w.astype(np.float32), trans.astype(np.float32)
-
-    def _ids(self, token: str, glued: bool, grow: bool = False) -> list[int]:
-        names = token_features(token, glued, self.given, self.family)
-        if names[0].startswith("w=") and names[0][2:] not in self.words:
+            batch = batches[step % parts]
+            n_tokens = sum(b.n for b in batch)
+            grads = [single(ridge / parts) * x for x in params]
+            for bucket in batch:
+                bucket.add_gradients(*params, *grads)
+            grads[0][0] = 0
+            rate = single(0.1 * min(1.0, 1.6 * (1 - step / steps) + 0.01))
+            for x, g, m, v in zip(params, grads, first, second):
+                g /= single(n_tokens)
+                m += single(0.1) * (g - m)
+                v += single(0.01) * (g * g - v)
+                x -= rate * (m / single(1 - 0.9**step)) / (np.sqrt(v / single(1 - 0.99**step)) + single(1e-9))
+        self.weights, self.trans = params
+
+    def _ids(self, token: str, glued: bool, shapes: tuple[str, ...], grow: bool = False, hide: bool = False) -> list[int]:
+        names = token_features(token, glued, shapes, self.lists)
+        if names[0].startswith("w=") and (hide and names[0][2:] not in _ALWAYS or names[0][2:] not in self.words):
             names = names[1:]
         if grow:
             return [self.features.setdefault(x, len(self.features)) for x in names]
@@ -213,20 +317,20 @@ class Finder:
 
         class Chunks(dict):
             def __missing__(self, chunk: str) -> tuple[int, ...]:
-                v = self[chunk] = tuple(outer._type(t, g) for t, g, _, _ in _pieces(chunk))
+                v = self[chunk] = tuple(outer._type(t, g, chunk_shapes(chunk)) for t, g, _, _ in _pieces(chunk))
                 return v
 
-        self.types: dict[tuple[str, bool], int] = {}
+        self.types: dict[tuple[str, bool, tuple], int] = {}
         self.table = np.zeros((1024, len(_OFFSETS), _LABELS), np.float32)
         self.chunks = Chunks()
 
-    def _type(self, token: str, glued: bool) -> int:
-        n = self.types.get((token, glued))
+    def _type(self, token: str, glued: bool, shapes: tuple[str, ...]) -> int:
+        n = self.types.get((token, glued, shapes))
         if n is None:
-            n = self.types[(token, glued)] = len(self.types)
+            n = self.types[(token, glued, shapes)] = len(self.types)
             if n == len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            row = self.model.weights[self.model._ids(token, glued)].sum(0).reshape(len(_OFFSETS), _LABELS)
+            row = self.model.weights[self.model._ids(token, glued, shapes)].sum(0).reshape(len(_OFFSETS), _LABELS)
             self.table[n] = row
         return n
 
@@ -382,7 +486,7 @@ _NUMBER = re.compile(r"\+?(?:\(\+?\d+\)|\d)[\d \xa0()./\-]*\d|\d{7,}")
 _MORE_DIGITS = re.compile(r"([ \xa0.\-/])\d{2,}\b")
 # Titles and words before a name that are no part of it.
 _TITLE = re.compile(
-    r"(?:(?:mrs?|ms|miss|dr|fru|frøken|fröken|hr|herr|frau|prof)\b\.?|(?:in|i|the|by|from|to|af|fra|til|ifølge|nabo|av|från|till|enligt|grannen|laut|nachbar|von|vom)\b(?!\.))[ \xa0]+",
+    r"(?:(?:mrs?|ms|miss|dr|fru|frøken|fröken|frk|hr|herr|frau|prof)\b\.?|(?:in|i|the|by|from|to|and|af|fra|til|og|av|från|till|och|von|vom|und)\b(?!\.))[ \xa0]+",
     re.I,
 )
 _HOUSE_FIRST = re.compile(r"\d+\s?[a-z]?\b,?\s+[^\W\d_]{2,}", re.I)
@@ -432,21 +536,9 @@ def settle(text: str, a: int, b: int, kind: str) -> tuple[int, int, str] | None:
     return a, b + (len(words[-1]) == 1 and text[b : b + 1] == "."), kind
 
 
-_MODELS: dict[tuple, Recogniser] = {}
-
-
-def recogniser(given: list[str], family: list[str]) -> Recogniser:
-    """The model for these lists, trained once in a process."""
-    key = (tuple(sorted(given)), tuple(sorted(family)))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Recogniser(given, family)
-    return _MODELS[key]
-
-
 def _over_texts(df: DataFrame, text: str, names: DataFrame, schema, emit) -> DataFrame:
     listed = names.filter("name is not null").select("name", "name_kind").distinct().collect()
-    model = recogniser([r["name"] for r in listed if r["name_kind"] == "given"], [r["name"] for r in listed if r["name_kind"] == "family"])
+    model = Recogniser([r["name"] for r in listed if r["name_kind"] == "given"], [r["name"] for r in listed if r["name_kind"] == "family"])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,8 +555,8 @@ def _over_texts(df: DataFrame, text: str, names: DataFrame, schema, emit) -> Dat
 def find_personal(df: DataFrame, doc: str, text: str, names: DataFrame) -> DataFrame:
     """(doc, pii_kind, pii_text): distinct strings of personal information in each text, exactly as written.
 
-    A conditional random field over word-shape features labels the tokens; it is trained here on a small
-    labelled table with the names of `names` (name, name_kind), a reference list that the driver reads.
+    A conditional random field over word-shape features labels the tokens; it was trained on the small
+    labelled table of pii_examples. `names` (name, name_kind) is a reference list that the driver reads.
     A text of any length is one chain with the labels of its best path. Viterbi runs, in batches, over the
     stretches that may hold a label at all: bounds on the tokens' scores and the transitions prove that the
     best path is outside everywhere else. What was found is then trimmed and checked by form. Null and
@@ -496,3 +588,7 @@ def redact_personal(df: DataFrame, doc: str, text: str, names: DataFrame) -> Dat
 
     rows = df.select(doc, text)
     return _over_texts(rows, text, names, f"`{doc}` {rows.schema[doc].dataType.simpleString()}, `{text}` string", emit)
+
+
+if __name__ == "__main__":
+    Recogniser.trained().save()

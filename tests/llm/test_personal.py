@@ -1,7 +1,7 @@
 import pytest
 
-from newsweir.llm.personal import Finder, find_personal, recogniser, redact_personal, settle
-from newsweir.llm.pii_examples import filled
+from newsweir.llm.personal import Finder, Recogniser, find_personal, redact_personal, settle
+from newsweir.llm.pii_examples import filled, invented_names, wordings
 
 GIVEN = "Edith Kwame Rosa Viggo Sten Lone Mark Hope Basil Karen Storm Freja Silke Hugo Åsa Anne-Liv".split()
 FAMILY = [a + b for a in ("Bren", "Cradel", "Tal", "Ulv", "Mossel", "Kvis", "Rav", "Yar", "Holen", "Dal", "Egg", "Pil") for b in ("worth", "mund", "skær", "qvist", "holt", "dahl", "garth", "kamp")]
@@ -10,7 +10,7 @@ NAMES = [(n, "given", None) for n in GIVEN] + [(n, "family", None) for n in FAMI
 
 @pytest.fixture(scope="module")
 def model():
-    return recogniser(GIVEN, FAMILY)
+    return Recogniser(GIVEN, FAMILY)
 
 
 @pytest.fixture(scope="module")
@@ -18,16 +18,28 @@ def names(spark):
     return spark.createDataFrame(NAMES, "name string, name_kind string, lang string")
 
 
-def test_held_out_examples(model):
-    """Other values in the table's sentences: nearly all are found exactly, nearly nothing else is."""
-    examples = filled(GIVEN, FAMILY, rounds=3, seed=99)
-    found = Finder(model).find([t for t, _ in examples])
+def test_wordings_set_aside():
+    """Other wordings than those trained on, with other values: a third of all, none of them among the others."""
+    trained, held = (set(sum(wordings(h), [])) for h in (False, True))
+    assert not trained & held and len(held) > 0.3 * len(trained | held)
+    examples = filled(6, seed=77, held=True, neutral=0)
+    found = Finder(Recogniser(*invented_names()[2:])).find([t for t, _ in examples])
     hit = sum(len(set(s) & set(f)) for (_, s), f in zip(examples, found))
-    assert hit / sum(len(s) for _, s in examples) > 0.95
-    assert hit / sum(map(len, found)) > 0.95
+    assert hit / sum(len(s) for _, s in examples) > 0.85
+    assert hit / sum(map(len, found)) > 0.9
 
 
-def test_training_always_gives_the_same(model):
+def test_training_lowers_loss():
+    """A short training on some rounds finds most of what it was shown, and always the same."""
+    models = [Recogniser.trained(rounds=1, steps=60) for _ in range(2)]
+    assert (models[0].weights == models[1].weights).all()
+    examples = filled(1, neutral=0)
+    found = Finder(models[0]).find([t for t, _ in examples])
+    hit = sum(len(set(s) & set(f)) for (_, s), f in zip(examples, found))
+    assert hit > 0.5 * sum(len(s) for _, s in examples)
+
+
+def test_the_same_among_others(model):
     text = ["Ring me on 020 7946 0123! Photo: Edith Brenworth"]
     assert Finder(model).find(text) == Finder(model).find(text * 3)[:1]
 

@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from newsweir.llm.personal import _LABELS, _OFFSETS, Finder, recogniser
+from newsweir.llm.personal import _LABELS, _OFFSETS, Finder, Recogniser
 from newsweir.llm.pii_examples import filled
 
 DATA = "/root/testdata/sf0.001"
@@ -52,7 +52,7 @@ def listed(spark):
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_stretches_are_whole_decoding(spark, listed):
-    finder = Finder(recogniser(*listed))
+    finder = Finder(Recogniser(*listed))
     texts = [r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
     assert agree(finder, texts) > 10
     # Many texts at once are the same chains as each alone.
@@ -62,12 +62,12 @@ def test_stretches_are_whole_decoding(spark, listed):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 def test_labels_by_context_alone(listed):
     """Transitions that make labels cheap: where no token speaks for itself, the best path must still be found."""
-    model = recogniser(*listed)
+    model = Recogniser(*listed)
     finder = Finder(model)
     kept, rng = model.trans, np.random.default_rng(1)
     try:
         for strength in (1.0, 4.0):
             model.trans = kept + rng.normal(0, strength, kept.shape).astype(np.float32)
-            assert agree(finder, [t for t, _ in filled(*listed, rounds=1, seed=5)][:150]) > 10
+            assert agree(finder, [t for t, _ in filled(1, seed=5)][:150]) > 10
     finally:
         model.trans = kept
