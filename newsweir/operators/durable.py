@@ -2,27 +2,62 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths made by this process, by application, until they are released.
+_MADE: dict[str, list[str]] = {}
+
+
+@functools.cache
+def _own_folder() -> str:
+    """A temporary folder of this machine, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="newsweir-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the session names in spark.checkpoint.dir and all executors share.
 
-    Where none is named, as in tests on one machine, it is in a temporary folder.
+    A session on one machine that names none gets a temporary folder; one on a cluster must name it, as
+    what one executor writes to its own disk no other can read.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="newsweir-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _own_folder()
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
     """`df`, written once as a Parquet table to the shared folder and read back.
 
-    As a reliable checkpoint, but compressed and open to column pruning. The table stays until the folder
-    is cleared.
+    As a reliable checkpoint, but compressed and open to column pruning. The table stays until it is
+    released or the folder is cleared.
     """
     path = shared_path(df.sparkSession, "stored")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path there)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that were stored for this application; what is still to be read from them fails."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        fs, at = file_system(spark, path)
+        fs.delete(at, True)

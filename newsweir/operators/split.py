@@ -56,15 +56,16 @@ def positional_cuts(df: DataFrame, group: str, time: str, positions) -> dict[str
     return out
 
 
-def temporal_split(df: DataFrame, time: str, group: str, test_frac: float = 0.15, val_frac: float = 0.15) -> DataFrame:
+def temporal_split(df: DataFrame, time: str, group: str, test_frac: float = 0.15, val_frac: float = 0.15, check: bool = True) -> DataFrame:
     """`df` with `split`: train, val or test by cuts at positions of each group's sorted times.
 
     The test cut is the time at place int(n * (1 - test_frac)), the validation cut that at int(n * (1 -
     test_frac - val_frac)); times equal to a cut fall into the later part. Rows without time or group are
-    left out. Fractions must lie in (0, 1) and add up to less than 1.
+    left out. Fractions must lie in (0, 1) and add up to less than 1. With `check` the parts are read
+    once more, times and groups alone, and a part that reaches into a later one raises.
     """
-    if not 0 < test_frac < 1 or not 0 < val_frac < 1 or test_frac + val_frac >= 1:
-        raise ValueError("each fraction must lie in (0, 1), and their sum below 1")
+    if min(test_frac, val_frac) <= 0 or test_frac + val_frac >= 1:
+        raise ValueError(f"no room for all parts with test {test_frac} and validation {val_frac} of the rows")
     cuts = positional_cuts(df, group, time, lambda n: [int(n * (1 - test_frac - val_frac)), int(n * (1 - test_frac))])
     t, split = micros(time), None
     for g, (val, test) in cuts.items():
@@ -72,7 +73,10 @@ def temporal_split(df: DataFrame, time: str, group: str, test_frac: float = 0.15
         case = F.col(group) == g
         split = F.when(case, part) if split is None else split.when(case, part)
     known = df.filter(F.col(time).isNotNull() & F.col(group).isNotNull())
-    return known.withColumn("split", split if split is not None else F.lit(None).cast("string"))
+    out = known.withColumn("split", split if split is not None else F.lit(None).cast("string"))
+    if check:
+        assert_no_leakage(out, time, group)
+    return out
 
 
 def assert_no_leakage(split: DataFrame, time: str, group: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from newsweir.operators import bm25, vectors
 from newsweir.operators.dedupe import keep_first, one_per_id
-from newsweir.operators.durable import stored
+from newsweir.operators.durable import file_system, release, stored
 from newsweir.operators.history import recent_history
 from newsweir.operators.partitions import spread
 from newsweir.operators.split import temporal_split
@@ -17,15 +17,28 @@ from newsweir.sources.tables import clean_ids, filled, table
 
 N_RECENT = 10
 TOP = 200
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of each table, a file or folder, under a folder: a table written anew is another one."""
+    fs, at = file_system(spark, sf_dir)
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets go of all stages kept for this application and deletes them."""
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        del _KEPT[key]
+    release(spark)
 
 
 def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """What `build` gives, written once per application and directory, as the reference's stages write files."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _KEPT:
-        _KEPT[key] = stored(build(spark, sf_dir))
-    return _KEPT[key]
+    """What `build` gives, written once per application and state of a directory, as the reference's stages write files."""
+    key, files = (spark.sparkContext.applicationId, sf_dir, name), _files(spark, sf_dir)
+    if key not in _KEPT or _KEPT[key][0] != files:
+        _KEPT[key] = files, stored(build(spark, sf_dir))
+    return _KEPT[key][1]
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +50,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def impressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Impressions with an id, copies once."""
     columns = ["dataset", "impression_id", "user_id", "timestamp", "candidates", "clicked"]
-    return table(spark, sf_dir, "impressions").select(*columns).filter(F.col("impression_id").isNotNull()).distinct()
+
+    def build(s: SparkSession, d: str) -> DataFrame:
+        return table(s, d, "impressions").select(*columns).filter(F.col("impression_id").isNotNull()).distinct()
+
+    return kept(spark, sf_dir, "impressions", build)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +72,11 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Impressions with time and dataset, and their part of the dataset's split."""
-    return kept(spark, sf_dir, "split", lambda s, d: temporal_split(impressions(s, d), "timestamp", "dataset"))
+    """Impressions with time and dataset, and their part of the dataset's split: an expression over the stored rows."""
+    key, rows = (spark.sparkContext.applicationId, sf_dir, "split"), impressions(spark, sf_dir)
+    if key not in _KEPT or _KEPT[key][0] is not rows:
+        _KEPT[key] = rows, temporal_split(rows, "timestamp", "dataset")
+    return _KEPT[key][1]
 
 
 def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
