@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import newsweir.operators.asof as asof
 from newsweir.operators.asof import ALWAYS, all_known, last_known
 from newsweir.plans.general import history_entries, history_versions
 
@@ -39,6 +40,16 @@ def test_against_brute_force_with_a_hot_user_and_ties(spark):
     check(spark, events + events[:50], versions + versions[:20])
 
 
+def test_salted_nodes_and_leaves(spark, monkeypatch):
+    """A third of all events at one moment of one user, and few events a node allowed."""
+    monkeypatch.setattr(asof, "_EVENTS", 10)
+    rng = random.Random(4)
+    events = [(f"e{i}", "hot", 5_000, "") for i in range(150)]
+    events += [(f"f{i}", rng.choice(["hot", "u", "w"]), rng.randrange(10_000), "") for i in range(300)]
+    versions = [(rng.choice(["hot", "hot", "u", "w"]), rng.randrange(10_000), f"a{rng.randrange(9)}", 0) for _ in range(250)]
+    check(spark, events, versions)
+
+
 def test_nothing_at_the_moment_itself_or_later(spark):
     check(spark, [("e", "u", 100, "")], [("u", 100, "now", 0), ("u", 99, "before", 0), ("u", 101, "later", 0)])
 
