@@ -120,22 +120,19 @@ def match_spans(
     def above(c):
         return F.explode(F.array(*[F.shiftright(c, k) for k in range(top + 1)]))
 
-    # Without copies a result is unique as it is: a span's nodes are disjoint, so an event meets one of them.
-    ev = ev.distinct()
+    spark, keys, salts = events.sparkSession, ["_entity", "_node", "_salt"], F.coalesce("_salts", F.lit(1))
+    hot, shape = [], f"_entity {ev.schema['_entity'].dataType.simpleString()}, _node long, _salts int"
     if busiest > most:
-        big = per.filter(F.col("n") > most).select("_entity")
-        leaves = ev.join(F.broadcast(big), "_entity", "left_semi").groupBy("_entity", home.alias("_leaf")).agg(F.count(F.lit(1)).alias("n"))
-        hot = leaves.select("_entity", above(F.col("_leaf")).alias("_node"), "n").groupBy("_entity", "_node").agg(F.sum("n").alias("n"))
-        hot = hot.filter(F.col("n") > most).select("_entity", "_node", F.ceil(F.col("n") / most).cast("int").alias("_salts"))
+        big = F.broadcast(per.filter(F.col("n") > most).select("_entity"))
+        leaves = ev.join(big, "_entity", "left_semi").groupBy("_entity", home.alias("_leaf")).agg(F.count(F.lit(1)).alias("n"))
+        nodes = leaves.select("_entity", above(F.col("_leaf")).alias("_node"), "n").groupBy("_entity", "_node").agg(F.sum("n").alias("n"))
         # Under (top + 1) * _PART rows, whatever the data.
-        hot = F.broadcast(events.sparkSession.createDataFrame(hot.collect(), hot.schema))
-        keys, salts = ["_entity", "_node", "_salt"], F.coalesce("_salts", F.lit(1))
-        ev = ev.select("_entity", above(home).alias("_node"), "_id", "_t").join(hot, keys[:2], "left")
-        ev = ev.withColumn("_salt", F.pmod(F.hash("_id"), salts)).drop("_salts")
-        s = s.join(hot, keys[:2], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    else:
-        keys = ["_entity", "_node"]
-        ev = ev.select("_entity", above(home).alias("_node"), "_id", "_t")
+        hot = nodes.filter(F.col("n") > most).select("_entity", "_node", F.ceil(F.col("n") / most).cast("int")).collect()
+    hot = F.broadcast(spark.createDataFrame(hot, shape))
+    # Without copies a result is unique as it is: a span's nodes are disjoint, so an event meets one of them.
+    ev = ev.distinct().select("_entity", above(home).alias("_node"), "_id", "_t").join(hot, keys[:2], "left")
+    ev = ev.withColumn("_salt", F.pmod(F.hash("_id"), salts)).drop("_salts")
+    s = s.join(hot, keys[:2], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return (
         ev.join(s, keys)
         .filter((F.col("_t") >= F.col("start")) & (F.col("_t") < F.col("end")))
