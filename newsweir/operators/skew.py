@@ -69,12 +69,18 @@ def skew_join(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame,
     return out
 
 
-def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = 20_000) -> DataFrame:
-    """`big` joined with `small`, unique on `keys`: by broadcast up to `most` rows, else by skew_join.
+def _plan_bytes(df: DataFrame) -> int:
+    """What the optimizer takes a plan's result for; the size of its files for a stored table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
-    The size of `small` is checked each time; pass a stored table, whose rows are counted from footers.
+
+def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = 20_000, megabytes: int = 32) -> DataFrame:
+    """`big` joined with `small`, unique on `keys`: by broadcast up to `most` rows and `megabytes`, else by skew_join.
+
+    The size of `small` is checked each time, in rows and bytes; pass a stored table, whose rows are counted
+    from footers and whose bytes are those of its files.
     """
-    if small.limit(most + 1).count() <= most:
+    if _plan_bytes(small) <= megabytes << 20 and small.limit(most + 1).count() <= most:
         return big.join(F.broadcast(small), keys, how)
     return skew_join(big, small, keys, hot_keys(big, keys, big.count()), how)
 
