@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsweir.functions.text import terms
+from newsweir.operators.durable import stored
 from newsweir.operators.skew import hot_keys, skew_join
 
 _STEPS = 60
@@ -66,7 +67,8 @@ def distinctive_terms(records: DataFrame, record_id: str, text: Column) -> DataF
     histograms are shuffled to the fit. Terms held by so many records that they make up over 1/512 of all
     (record, term) rows, of which there are under 512, get their parameters by broadcast.
     """
-    tf = term_counts(records, record_id, text)
+    # Read by the fit, for the hot terms and for the result: made and shuffled once.
+    tf = stored(term_counts(records, record_id, text))
     n_records = records.select(record_id).filter(F.col(record_id).isNotNull()).distinct().count()
     histogram = tf.groupBy("term", "tf").agg(F.count(F.lit(1)).alias("n"))
     per_term = histogram.groupBy("term").agg(
@@ -81,9 +83,10 @@ def distinctive_terms(records: DataFrame, record_id: str, text: Column) -> DataF
             yield pd.DataFrame({"term": f["term"], "df": f["df"], "weight": weight, "elite": elite, "base": base})
 
     fitted = per_term.mapInPandas(fit, "term string, df long, weight double, elite double, base double")
-    rows = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_rows"))
-    total = rows.agg(F.sum("_rows")).first()[0] or 0
-    hot = hot_keys(rows, ["term"], total, weight=F.col("_rows"))
+    fitted = stored(fitted)
+    total = tf.count()
+    # As many terms as hold over 1/512 of the rows: fewer than 512, each with its number of rows among the fitted.
+    hot = hot_keys(fitted, ["term"], total, weight=F.col("df"))
     joined = skew_join(tf, fitted, ["term"], hot)
     odds = F.ln("weight") - F.ln(1 - F.col("weight")) - F.col("elite") + F.col("base")
     logit = odds + F.col("tf") * (F.ln("elite") - F.ln("base"))
