@@ -45,34 +45,58 @@ def squash(score: np.ndarray, seg: np.ndarray) -> np.ndarray:
     return _LEAST + (1 - _LEAST) / (1 + np.exp(-z))
 
 
-def majority_winner(values: np.ndarray, order: np.ndarray) -> int:
-    """The row that has the higher value in more columns than the lower, against every other row; -1 if none.
+def majority_winners(values: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The row of each segment that has the higher value in more columns than the lower, against every other row; -1 if none.
 
-    Rows are tried in the fused order: a winner beats the row tried last, so only rows that do remain.
+    Rows of a segment lie in fused order. A candidate goes down the order and gives way to the row that
+    isn't below it; only the last one left can be a winner, which a second pass tests. Where two bounded
+    values meet by rounding the raw ones decide, so the result is exact. All segments take a step at once.
     """
-    left = order
-    while len(left):
-        at = left[0]
-        votes = (values[at] > values).sum(1) - (values[at] < values).sum(1)
-        if (np.delete(votes, at) > 0).all():
-            return int(at)
-        left = left[votes[left] < 0]
-    return -1
+
+    def votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        s = np.sign(values[a] - values[b])
+        return np.where(s != 0, s, (raw[a] > raw[b]).astype(int) - (raw[a] < raw[b])).sum(1)
+
+    left, steps = np.arange(len(starts)), int(lengths.max(initial=0))
+    best = starts.copy()
+    for step in range(1, steps):
+        left = left[lengths[left] > step]
+        row = starts[left] + step
+        best[left] = np.where(votes(best[left], row) > 0, best[left], row)
+    won, left = np.ones(len(starts), bool), np.arange(len(starts))
+    for step in range(steps):
+        left = left[lengths[left] > step]
+        row = starts[left] + step
+        won[left] &= (votes(best[left], row) > 0) | (row == best[left])
+    return np.where(won, best, -1)
 
 
 def fused_ranking(lists: DataFrame, record: str, method: str, items: str, scores: str, weights: dict | None = None) -> DataFrame:
-    """(record, item, score, rank, methods, majority) of all scored items of each record; items are strings.
+    """(record, item, score, rank, methods) of all scored items of each record; items are strings.
 
     Within a method an item has its highest non-null score. Scores are standardised within their record
     and method by median and median absolute deviation, squashed by the logistic function, and combined
     by the geometric mean weighted by `weights` (1 for a method not named). A method of the record that
     lacks the item gives it less than it gives any item it scored. Ties of score are ordered by item id.
-    methods counts the record's methods; majority marks the item that more methods put above than below
-    each other item, if there is one.
+    methods counts the record's methods.
 
     Null and blank ids, null or NaN scores, and rows without record or method are left out; repeated rows
     change nothing. A record of one method is ranked by it. Records without a scored item give no rows.
     """
+    return _fused(lists, record, method, items, scores, weights).select("record", "item", "score", "rank", "methods")
+
+
+def majority_items(lists: DataFrame, record: str, method: str, items: str, scores: str) -> DataFrame:
+    """(record, item, rank, methods): the item that more methods put above than below each other item of its record.
+
+    A walk down the fused ranking by the methods' bounded values finds the only candidate, see
+    majority_winners; rank is its place in that ranking. Records without such an item give no row. Nulls,
+    repeats and ties as in fused_ranking.
+    """
+    return _fused(lists, record, method, items, scores, None).filter("majority").select("record", "item", "rank", "methods")
+
+
+def _fused(lists: DataFrame, record: str, method: str, items: str, scores: str, weights: dict | None) -> DataFrame:
     weights = weights or {}
     known = lists.filter(F.col(record).isNotNull() & F.col(method).isNotNull())
     long = known.select(
@@ -120,13 +144,14 @@ def fused_ranking(lists: DataFrame, record: str, method: str, items: str, scores
             of, item = owner[first], item[first]
             w = np.array([weights.get(x, 1.0) for x in names])[None, :] * n_methods[of]
             fused = np.exp((w * np.log(table)).sum(1) / np.maximum(w.sum(1), 1e-12))
-            rank, winner = np.zeros(len(key), int), np.zeros(len(key), bool)
             starts, lengths = _segments(of)
-            for a, n in zip(starts, lengths):
-                by = np.argsort(-fused[a : a + n], kind="stable")
-                rank[a + by] = np.arange(1, n + 1)
-                if (top := majority_winner(raw[a : a + n], by)) >= 0:
-                    winner[a + top] = True
+            # Each record's rows from the highest score down, equal ones by id.
+            order = np.lexsort((np.arange(len(of)), -fused, of))
+            rank = np.zeros(len(of), int)
+            rank[order] = np.arange(len(of)) - np.repeat(starts, lengths) + 1
+            top = majority_winners(table[order], raw[order], starts, lengths)
+            winner = np.zeros(len(of), bool)
+            winner[order[top[top >= 0]]] = True
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["record"].take(pa.array(of)),

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from newsweir.functions.text import title_and_abstract
 from newsweir.llm.distinctive import distinctive_terms
 from newsweir.llm.frequent import frequent_items, misra_gries
-from newsweir.llm.fusion import fused_ranking
+from newsweir.llm.fusion import fused_ranking, majority_items
 from newsweir.llm.mixing import mix
 from newsweir.llm.packing import pack
 from newsweir.llm.personal import find_personal, redact_personal
-from newsweir.llm.similar import nearest, similar_pairs
+from newsweir.llm.similar import class_links, measured_recall, nearest, similar_classes, similar_pairs
 from newsweir.llm.together import together
 from newsweir.llm.tokens import with_tokens
 from newsweir.operators.durable import stored
@@ -33,6 +33,21 @@ def similar_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(articles, "article_id", "embedding", DIMS, 0.9).withColumnsRenamed({"a": "article_id_a", "b": "article_id_b"})
 
 
+def article_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every article with a usable embedding, the class of its copies and how many classes are linked to that."""
+    articles = table(spark, sf_dir, "articles").select("article_id", "embedding")
+    found = class_links(*similar_classes(articles, "article_id", "embedding", DIMS, 0.9))
+    return found.select(F.col("item").alias("article_id"), F.col("class").alias("class_id"), "links")
+
+
+def nearest_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the 10 most similar articles against brute force, for the articles whose number is divisible by 20."""
+    articles = table(spark, sf_dir, "articles").select("article_id", "embedding")
+    asked = F.regexp_extract("item", r"(\d+)$", 1).cast("long") % 20 == 0
+    found = measured_recall(articles, "article_id", "embedding", DIMS, 10, asked)
+    return found.select("queries", (F.col("recall") >= 0.9).alias("recall_of_at_least_09"))
+
+
 def term_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = table(spark, sf_dir, "articles")
     return distinctive_terms(articles, "article_id", title_and_abstract())
@@ -62,8 +77,9 @@ def article_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surprising_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = together(reading_records(spark, sf_dir), "record", "article_id", min_count=5, min_lift=30.0)
-    found = pairs.filter((F.col("n") >= 5) & (F.col("lift") >= 30.0 - 1e-9) & F.col("log10_p").isNotNull())
+    """Pairs that are surprising at a false-discovery rate of 5 % under the fitted null, within the case's exact bounds."""
+    pairs = together(reading_records(spark, sf_dir), "record", "article_id", min_count=5, min_lift=30.0, rate=0.05)
+    found = pairs.filter(F.col("surprising") & (F.col("n") >= 5) & (F.col("lift") >= 30.0 - 1e-9))
     return found.select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b"))
 
 
@@ -122,8 +138,9 @@ def fused_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def majority_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fused_candidates(spark, sf_dir).filter((F.col("methods") >= 2) & F.col("majority"))
-    return found.select("impression_id", "article_id")
+    c = table(spark, sf_dir, "candidates")
+    found = majority_items(c, "impression_id", "method", "retrieved_article_ids", "retrieved_scores").filter(F.col("methods") >= 2)
+    return found.select(F.col("record").alias("impression_id"), F.col("item").alias("article_id"))
 
 
 def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,6 +208,8 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_nearest": nearest_articles,
     "p2_found": similar_articles,
+    "p2_classes": article_classes,
+    "p2_recall": nearest_recall,
     "p3_term_scores": term_scores,
     "p3_found": rare_repeated_terms,
     "p4_article_pairs": article_pairs,
@@ -214,7 +233,15 @@ _CLICKS = """clicks AS (SELECT DISTINCT impression_id, article_id
     FROM (SELECT impression_id, unnest(clicked) AS article_id FROM impressions)
     WHERE impression_id IS NOT NULL AND length(trim(article_id)) > 0)"""
 
+_VECTORS = """v AS (SELECT article_id, max(embedding)::DOUBLE[] AS v FROM articles
+            WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY article_id)"""
+
 ORACLE = {
+    "p2_classes": f"""WITH {_VECTORS}, c AS (SELECT v, min(article_id) AS class_id FROM v GROUP BY v),
+        n AS (SELECT x.class_id, count(*) AS links FROM c x JOIN c y ON x.class_id <> y.class_id AND list_cosine_similarity(x.v, y.v) >= 0.9 GROUP BY ALL)
+        SELECT article_id, class_id, coalesce(links, 0) AS links FROM v JOIN c USING (v) LEFT JOIN n USING (class_id)""",
+    "p2_recall": f"""WITH {_VECTORS} SELECT count(*) AS queries, true AS recall_of_at_least_09 FROM v
+        WHERE regexp_extract(article_id, '[0-9]+$')::BIGINT % 20 = 0""",
     "p2_found": """WITH v AS (SELECT article_id, max(embedding)::DOUBLE[] AS v FROM articles
             WHERE len(embedding) = 64 AND list_max(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY article_id)
         SELECT x.article_id AS article_id_a, y.article_id AS article_id_b FROM v x JOIN v y ON x.article_id < y.article_id

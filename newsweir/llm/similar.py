@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsweir.operators.blocks import blocked_top
 from newsweir.operators.durable import stored
+from newsweir.operators.skew import hot_keys, lookup, skew_join
 
-# Rows the partitions and the classifier are learned from, and how many vectors a partition should hold.
+# Rows the partitions and a classifier are learned from, and how many vectors a partition should hold.
 SAMPLE = 8192
 # Vectors held out from the sample, whose true neighbours set the probes of a search for the nearest.
 HELD = 1024
@@ -19,6 +23,8 @@ PARTITION = 1000
 _NEIGHBOURS = 10
 # A partition is searched in blocks of at most about this many vectors; its queries are spread in shares.
 _BLOCK, _SHARE = 4096, 32768
+# Items of a class in one list when pairs are written out.
+_LIST = 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -218,37 +224,87 @@ def vector_classes(df: DataFrame, item: str, vector: str, dims: int) -> DataFram
     return one.join(classes, "vector").select("item", "class", "vector")
 
 
+def _packed(router: Router, probes: int) -> bytes:
+    return pickle.dumps((router.weights, probes))
+
+
+def _unpacked(data: bytes) -> tuple[Router, int]:
+    router = Router.__new__(Router)
+    router.weights, probes = pickle.loads(data)
+    return router, probes
+
+
+_CHILDREN = 1 << 12  # more than a router has partitions
+_ROUTED = "id string, vector array<float>, floor double, part int, rank int"
+
+
 class Index:
-    """Learned partitions over the distinct vectors of a table of vector_classes.
+    """Learned partitions over the distinct vectors of a table of vector_classes, in one level or two.
 
-    The partitions and the router are fitted on at most SAMPLE vectors, those of the least hashes; every
-    vector is indexed. The number of partitions grows with the vectors, one per PARTITION of them, up to
-    one per 16 of the sample. `least` sets the probes by cosine, `k` and `recall` by the nearest neighbours:
-    by those among all vectors of up to HELD vectors that the router was not trained on, and by the sample's.
+    The partitions and the router are fitted on at most `sample` vectors, those of the least hashes; every
+    vector is indexed. There is a partition for each `partition` vectors, up to one per 16 of the sample.
+    Where that leaves more than twice as many vectors in a partition, each gets partitions and a router of
+    its own, fitted where it lies on as large a sample of it: (sample / 16)^2 partitions in all.
+
+    `least` sets the probes by cosine, `k` and `recall` by the nearest neighbours: by those among all
+    vectors of up to HELD vectors that the router was not trained on, and by the sample's.
     """
 
-    def __init__(self, classes: DataFrame, dims: int, least: float | None = None, k: int | None = None, recall: float = 0.97):
+    def __init__(
+        self, classes: DataFrame, dims: int, least: float | None = None, k: int | None = None, recall: float = 0.97, sample: int | None = None, partition: int | None = None
+    ):
+        sample, partition = sample or SAMPLE, partition or PARTITION
         self.vectors = classes.filter(F.col("item") == F.col("class")).select(F.col("class").alias("id"), "vector")
         count = self.vectors.count()
         # The order of the hashes takes a bounded number of rows from each task.
         held = 0 if least is not None else min(HELD, count // 9)
-        rows = self.vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE + held).select("id", "vector").toArrow()
+        rows = self.vectors.orderBy(F.xxhash64("id"), "id").limit(sample + held).select("id", "vector").toArrow()
         x = rows["vector"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dims)
         ids, apart, x = rows["id"].to_pylist()[len(x) - held :], x[len(x) - held :], x[: len(x) - held]
-        self.dims, self.parts = dims, max(1, min(-(-count // PARTITION), len(x) // 16))
-        self.router, self.probes = None, 1
-        if self.parts > 1:
+        self.dims, parts = dims, max(1, min(-(-count // partition), len(x) // 16))
+        two = parts > 1 and count > 2 * partition * parts
+        # What two levels may miss, half each.
+        recall, cover = (1 - (1 - recall) / 2, 0.9995) if two else (recall, 0.999)
+        self.router, self.probes, self.below = None, 1, None
+        if parts > 1:
             x = unit(x)
-            self.router = learn_router(x, self.parts)
+            self.router = learn_router(x, parts)
             if least is not None:
-                self.probes = probes_for_cosine(self.router, x, least)
+                self.probes = probes_for_cosine(self.router, x, least, cover)
             else:
                 apart = unit(apart)
                 unseen = probes_for_neighbours(self.router, apart, *true_nearest(self.vectors, ids, apart, k), recall)
                 self.probes = max(unseen, probes_for_recall(self.router, x, k, recall))
+        homes = self._routed(self.vectors.withColumn("floor", F.lit(-2.0)), 1)
+        if two:
+            homes = stored(homes)
+            # At most sample / 16 partitions: their sizes go to the driver.
+            self.sizes = {r["part"]: r["n"] for r in homes.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+            self.below = stored(self._fit_below(homes, least, k, recall, cover, sample, partition))
+            homes = self._routed_below(homes, True)
+        #: Each vector with its partition.
+        self.homes = stored(homes.drop("rank"))
+
+    def _fit_below(self, homes: DataFrame, least, k, recall, cover, sample: int, partition: int) -> DataFrame:
+        """(part, router): a router of its own for each partition, fitted on about `sample` of its vectors."""
+        spark = self.vectors.sparkSession
+        shares = F.broadcast(spark.createDataFrame([(p, n, min(1.0, sample / n)) for p, n in self.sizes.items()], "part int, n long, share double"))
+        some = homes.join(shares, "part").filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+
+        def fit(f: pd.DataFrame) -> pd.DataFrame:
+            x = unit(np.stack(f["vector"].to_numpy()).astype(np.float64))
+            parts = max(1, min(-(-int(f["n"].iloc[0]) // partition), len(x) // 16))
+            if parts == 1:
+                data = None
+            else:
+                router = learn_router(x, parts)
+                data = _packed(router, probes_for_cosine(router, x, least, cover) if least is not None else probes_for_recall(router, x, k, recall))
+            return pd.DataFrame({"part": f["part"].iloc[:1], "router": [data]})
+
+        return some.select("part", "n", "vector").groupBy("part").applyInPandas(fit, "part int, router binary")
 
-    def _routed(self, vectors: DataFrame, first: int, last: int) -> DataFrame:
-        """(id, vector, floor, part): each of `vectors` with its most probable partitions from `first` to before `last`."""
+    def _routed(self, vectors: DataFrame, last: int) -> DataFrame:
+        """(id, vector, floor, part, rank): each of `vectors` with its `last` most probable partitions."""
         router = self.router
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,12 +312,56 @@ class Index:
                 if not b.num_rows:
                     continue
                 x = b["vector"].flatten().to_numpy().reshape(b.num_rows, -1)
-                at = router.route(unit(x.astype(np.float64)), last)[:, first:last] if router else np.zeros((b.num_rows, 1), int)
+                at = router.route(unit(x.astype(np.float64)), last)[:, :last] if router else np.zeros((b.num_rows, 1), int)
                 row = pa.array(np.repeat(np.arange(b.num_rows), at.shape[1]))
+                rank = np.tile(np.arange(at.shape[1], dtype=np.int32), b.num_rows)
                 cols = [b[c].take(row) for c in ("id", "vector", "floor")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(at.ravel().astype(np.int32))], ["id", "vector", "floor", "part"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(at.ravel().astype(np.int32)), pa.array(rank)], ["id", "vector", "floor", "part", "rank"])
+
+        return vectors.select("id", "vector", "floor").mapInArrow(route, _ROUTED)
+
+    def _routed_below(self, rows: DataFrame, home: bool) -> DataFrame:
+        """The routed rows with partitions of the second level, the most probable one or all that are to be searched.
 
-        return vectors.select("id", "vector", "floor").mapInArrow(route, "id string, vector array<float>, floor double, part int")
+        The rows of a partition go to several tasks, each behind a copy of the partition's router.
+        """
+        spark, dims = self.vectors.sparkSession, self.dims
+        salts = F.broadcast(spark.createDataFrame([(p, -(-n // 100_000)) for p, n in self.sizes.items()], "part int, salts int"))
+        cols = ["part", "salt", "router", "id", "vector", "floor", "rank"]
+        a = self.below.join(salts, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        a = a.select("part", "salt", "router", *[F.lit(None).cast(t).alias(c) for c, t in (("id", "string"), ("vector", "array<float>"), ("floor", "double"), ("rank", "int"))])
+        b = rows.join(salts, "part").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).withColumn("router", F.lit(None).cast("binary"))
+        both = a.unionByName(b.select(*cols)).repartition("part", "salt").sortWithinPartitions("part", "salt", F.col("id").isNotNull())
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            router, probes = None, 1
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                lead = b["id"].is_null().to_numpy(zero_copy_only=False)
+                cut = np.flatnonzero(np.r_[True, lead[1:] | lead[:-1]])
+                for lo, hi in zip(cut, np.r_[cut[1:], b.num_rows]):
+                    c = b.slice(lo, hi - lo)
+                    if lead[lo]:
+                        data = c["router"][0].as_py()
+                        router, probes = _unpacked(data) if data else (None, 1)
+                        continue
+                    x = unit(c["vector"].flatten().to_numpy().reshape(-1, dims).astype(np.float64))
+                    at = router.route(x, 1 if home else probes) if router else np.zeros((len(x), 1), int)
+                    at = at[:, : 1 if home else probes]
+                    row = pa.array(np.repeat(np.arange(len(x)), at.shape[1]))
+                    part = (c["part"].to_numpy()[:, None] * _CHILDREN + at).ravel().astype(np.int32)
+                    # Of all partitions only the most probable one of the most probable one has rank 0.
+                    rank = (c["rank"].to_numpy()[:, None] * _CHILDREN + np.arange(at.shape[1])).ravel().astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*(c[n].take(row) for n in ("id", "vector", "floor")), pa.array(part), pa.array(rank)], ["id", "vector", "floor", "part", "rank"])
+
+        return both.mapInArrow(route, _ROUTED)
+
+    def _asking(self, vectors: DataFrame) -> DataFrame:
+        """(id, vector, floor, part): each of `vectors` with the partitions to search other than its own."""
+        rows = self._routed(vectors, self.probes)
+        rows = self._routed_below(rows, False) if self.below is not None else rows
+        return rows.filter(F.col("rank") > 0).drop("rank")
 
     def _scan(self, asking: DataFrame, k: int | None) -> DataFrame:
         """(id, other, cosine): for each of `asking` (id, vector, floor, part) the vectors stored in that
@@ -270,11 +370,10 @@ class Index:
         Stored vectors of a partition are cut into blocks and its queries into shares; each task holds one
         block and streams a share of queries past it, whatever the partition's size.
         """
-        homes = self._routed(self.vectors.withColumn("floor", F.lit(-2.0)), 0, 1)
-        # At most SAMPLE/16 partitions: their sizes go to the driver.
+        homes = self.homes
+        # At most (sample / 16)^2 partitions, an integer or two each. As parts are balanced, so are the asking.
         sizes = {r["part"]: r["n"] for r in homes.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        asks = {r["part"]: r["n"] for r in asking.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-        cuts = [(p, -(-n // _BLOCK), -(-asks.get(p, 1) // _SHARE)) for p, n in sizes.items()]
+        cuts = [(p, -(-n // _BLOCK), -(-n * self.probes // _SHARE)) for p, n in sizes.items()]
         spark = self.vectors.sparkSession
         cuts = F.broadcast(spark.createDataFrame(cuts, "part int, blocks int, shares int"))
         number = F.xxhash64("id")
@@ -331,9 +430,12 @@ class Index:
     def pairs(self, least: float) -> DataFrame:
         """(id, other, cosine) of distinct vectors found with cosine >= least; a pair may come both ways.
 
-        Each vector is stored in its most probable partition and asks in its `probes` most probable ones.
+        Each vector is stored in its most probable partition and asks there and in its other probes.
         """
-        return self._scan(self._routed(self.vectors.withColumn("floor", F.lit(least)), 0, self.probes), None)
+        own = self.homes.withColumn("floor", F.lit(least))
+        if self.probes == 1 and self.below is None:
+            return self._scan(own, None)
+        return self._scan(own.unionByName(self._asking(self.vectors.withColumn("floor", F.lit(least)))), None)
 
     def nearest(self, k: int) -> DataFrame:
         """(id, other, cosine, rank): the k nearest of each distinct vector that its probes find.
@@ -341,50 +443,110 @@ class Index:
         The home partition is searched first. Its k-th cosine is a floor for the other probes, so that they
         return little more than what will be kept.
         """
-        found = stored(self._scan(self._routed(self.vectors.withColumn("floor", F.lit(-2.0)), 0, 1), k))
+        found = stored(self._scan(self.homes, k))
         best = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-        if self.probes > 1:
+        if self.probes > 1 or self.below is not None:
             top = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
             floor = F.when(F.count(F.lit(1)) >= k, F.min("cosine")).otherwise(F.lit(-1.5))
             asking = self.vectors.join(top.groupBy("id").agg(floor.alias("floor")), "id", "left").fillna(-1.5, ["floor"])
-            found = top.unionByName(self._scan(self._routed(asking, 1, self.probes), k))
+            found = top.unionByName(self._scan(self._asking(asking), k))
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def similar_pairs(df: DataFrame, item: str, vector: str, dims: int, least: float) -> DataFrame:
+def similar_classes(df: DataFrame, item: str, vector: str, dims: int, least: float, **more) -> tuple[DataFrame, DataFrame]:
+    """(links, members): (a, b) of linked classes, a < b, and (item, class, vector) of every item with a usable vector.
+
+    Items of equal vectors are one class, named by its least item; classes are linked at a cosine of at
+    least `least`, missing few. Copies are never compared with each other. Items without a usable vector
+    have no rows, see vector_classes. `more` goes to the Index.
+    """
+    members = stored(vector_classes(df, item, vector, dims))
+    found = Index(members, dims, least=least, **more).pairs(least)
+    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), members
+
+
+def class_links(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(item, class, links): each item with its class and the number of classes linked to that."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    hot = hot_keys(members, ["class"], members.count())
+    return skew_join(members.select("item", "class"), ends, ["class"], hot, "left").fillna(0, ["links"])
+
+
+def expanded_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of items of linked classes and of one class, a < b as strings.
+
+    Only classes of several items are joined; their items lie in lists of some 256, so that neither a large
+    class nor one with many links gathers in a task.
+    """
+    crowd = members.select("item", "class").join(members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "class")
+    crowd = crowd.withColumn("lists", F.ceil(F.col("n") / _LIST).cast("int")).withColumn("list", F.pmod(F.xxhash64("item"), F.col("lists")).cast("int"))
+    crowd = stored(crowd.groupBy("class", "lists", "list").agg(F.collect_list("item").alias("items")))
+    sizes = stored(crowd.select("class", "lists").distinct())
+    rows = links.select("a", "b", F.lit(False).alias("_own"))
+    rows = rows.unionByName(sizes.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(True).alias("_own")))
+    for c in "ab":
+        rows = lookup(rows, sizes.withColumnRenamed("class", c), [c], "left")
+        rows = rows.withColumn("list", F.explode(F.sequence(F.lit(0), F.coalesce("lists", F.lit(1)) - 1))).drop("lists")
+        rows = lookup(rows, crowd.select(F.col("class").alias(c), "list", F.col("items").alias(f"{c}_items")), [c, "list"], "left").drop("list")
+    rows = rows.withColumn("a", F.explode(F.coalesce("a_items", F.array("a")))).withColumn("b", F.explode(F.coalesce("b_items", F.array("b"))))
+    own = F.col("_own")
+    # A class meets itself in both orders, two classes meet once.
+    return rows.filter(~own | (F.col("a") < F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def similar_pairs(df: DataFrame, item: str, vector: str, dims: int, least: float, **more) -> DataFrame:
     """(a, b): items with a cosine of at least `least`, a < b as strings, missing few of them.
 
-    Searched over distinct vectors, then handed on to all items that share them; items of equal vectors
-    are pairs too. Items without a usable vector have no rows, see vector_classes.
+    Searched over distinct vectors, see similar_classes, then handed on to all items that share them.
     """
-    classes = stored(vector_classes(df, item, vector, dims))
-    found = Index(classes, dims, least=least).pairs(least)
-    pairs = found.select(F.least("id", "other").alias("_x"), F.greatest("id", "other").alias("_y")).distinct()
-    members = classes.select("item", "class")
-    x, y = (members.select(F.col("item").alias(n), F.col("class").alias(f"_{n}")) for n in "xy")
-    apart = pairs.join(x, "_x").join(y, "_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    alike = x.join(y, F.col("_x") == F.col("_y")).filter(F.col("x") < F.col("y")).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return apart.unionByName(alike)
+    return expanded_pairs(*similar_classes(df, item, vector, dims, least, **more))
 
 
-def nearest(df: DataFrame, item: str, vector: str, dims: int, k: int, recall: float = 0.97) -> DataFrame:
+def nearest(df: DataFrame, item: str, vector: str, dims: int, k: int, recall: float = 0.97, **more) -> DataFrame:
     """(item, neighbour, cosine, rank): the k most similar others of every item with a usable vector.
 
     The search is over distinct vectors; an item's neighbours are the items of its own class, cosine 1,
     then those of the nearest classes, ordered by cosine and id. Only the k + 1 least ids of a class can
     be neighbours. The probes are set for the given recall on vectors held out from
-    training and on the sample; ties are ordered by id.
+    training and on the sample; ties are ordered by id. `more` goes to the Index.
     """
     classes = stored(vector_classes(df, item, vector, dims))
     some = Window.partitionBy("class").orderBy("item")
     few = classes.select("item", "class").withColumn("_n", F.row_number().over(some)).filter(F.col("_n") <= k + 1)
     few = few.select(F.col("item").alias("neighbour"), F.col("class").alias("other"))
-    found = Index(classes, dims, k=k, recall=recall).nearest(k).select(F.col("id").alias("class"), "other", "cosine")
+    found = Index(classes, dims, k=k, recall=recall, **more).nearest(k).select(F.col("id").alias("class"), "other", "cosine")
     own = classes.filter(F.col("item") == F.col("class")).select("class", F.col("class").alias("other"), F.lit(1.0).alias("cosine"))
     near = found.unionByName(own).join(few, "other")
-    # The k + 1 best of a class, itself among them, serve all its items.
+    # The k + 1 best of a class, itself among them, serve all its items: a list on the class, which may be hot.
     top = Window.partitionBy("class").orderBy(F.desc("cosine"), "neighbour")
-    near = near.withColumn("_n", F.row_number().over(top)).filter(F.col("_n") <= k + 1).drop("_n", "other")
-    rows = classes.select("item", "class").join(near, "class").filter(F.col("item") != F.col("neighbour"))
-    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("cosine"), "neighbour"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= k).select("item", "neighbour", "cosine", "rank")
+    near = near.withColumn("_n", F.row_number().over(top)).filter(F.col("_n") <= k + 1)
+    near = near.groupBy("class").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("away"), "neighbour"))).alias("_near"))
+    rows = skew_join(classes.select("item", "class"), near, ["class"], hot_keys(classes, ["class"], classes.count()))
+    others = F.slice(F.filter("_near", lambda x: x["neighbour"] != F.col("item")), 1, k)
+    rows = rows.select("item", F.posexplode(others).alias("_at", "_x"))
+    return rows.select("item", F.col("_x.neighbour").alias("neighbour"), (-F.col("_x.away")).alias("cosine"), (F.col("_at") + 1).alias("rank"))
+
+
+def measured_recall(df: DataFrame, item: str, vector: str, dims: int, k: int, asked: Column, **more) -> DataFrame:
+    """(queries, recall): the share of the true k nearest of the items `asked` for that `nearest` finds.
+
+    `asked` is a condition on the column item. All items are compared with those asked for, in blocks; an
+    item as near as the k-th true one is a true one. Without neighbours the recall is 1.
+    """
+    found = nearest(df, item, vector, dims, k, **more)
+    members = stored(vector_classes(df, item, vector, dims))
+    asked_for = stored(members.filter(asked).select("item"))
+    rows = members.select(F.lit("all").alias("realm"), F.col("item").alias("id"), F.col("vector").cast("array<double>").alias("v"))
+    asks = rows.join(asked_for.withColumnRenamed("item", "id"), "id", "left_semi").select(*rows.columns)
+
+    def load(block):
+        return unit(block["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims))
+
+    true = blocked_top(rows, asks, k + 1, load, lambda base, q: load(q) @ base.T)
+    true = true.filter(F.col("query") != F.col("item")).withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"))))
+    true = true.filter(F.col("_n") <= k).groupBy("query").agg(F.min("score").alias("_least"), F.count(F.lit(1)).alias("_all"))
+    near = found.join(true.select(F.col("query").alias("item"), "_least"), "item").filter(F.col("cosine") >= F.col("_least") - 1e-9)
+    hits = near.groupBy("item").agg(F.count(F.lit(1)).alias("_hits"))
+    each = asked_for.join(true.withColumnRenamed("query", "item"), "item", "left").join(hits, "item", "left")
+    share = F.coalesce(F.sum("_hits"), F.lit(0)) / F.sum("_all")
+    return each.agg(F.count(F.lit(1)).alias("queries"), F.coalesce(share, F.lit(1.0)).alias("recall"))

@@ -15,19 +15,22 @@ from newsweir.operators.skew import hot_keys, skew_join
 
 # A record of more items is cut into blocks of about this many, and its pairs are made by pairs of blocks.
 _BLOCK = 128
-# Degree classes beyond this many are joined with their neighbours before the null is fitted.
-_CLASSES = 3000
+# Degrees up to _EXACT have a class each in the null, greater ones share one when they are within _NEAR.
+_EXACT, _NEAR = 200, 1.005
 _BIN = 0.02
 
 
-def _merge_classes(degree: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(degree)
-    degree, n = degree[order].astype(float), n[order].astype(float)
-    if len(degree) <= _CLASSES:
-        return degree, n
-    group = np.floor(np.arange(len(degree)) * _CLASSES / len(degree)).astype(int)
-    whole = np.bincount(group, n)
-    return np.bincount(group, n * degree) / whole, whole
+def degree_classes(counts: DataFrame, degree: str) -> tuple[np.ndarray, np.ndarray]:
+    """(degree, how many have it) of the rows of `counts`, by classes: the mean degree of a class stands for it.
+
+    The rule is the same at every size. Classes grow with the logarithm of the degrees, 200 and some 460 for
+    each tenfold, so the driver gets few rows whatever the data.
+    """
+    d = F.col(degree)
+    near = F.floor(F.log(d / float(_EXACT)) / math.log(_NEAR)) + _EXACT + 1
+    rows = counts.groupBy(F.when(d <= _EXACT, d).otherwise(near).alias("class")).agg(F.avg(d).alias("degree"), F.count(F.lit(1)).alias("n"))
+    got = sorted((r["degree"], r["n"]) for r in rows.collect())
+    return np.array([x for x, _ in got], float), np.array([n for _, n in got], float)
 
 
 def fit_configuration(item_degree, items, record_size, records, steps: int = 300):
@@ -152,7 +155,8 @@ def together(
     configuration model fitted to all item frequencies and record sizes; expected is the null's mean
     number of common records and log10_p the logarithm of the chance of n or more (a Poisson-binomial
     tail). With `rate`, surprising says whether the pair is found at that false-discovery rate among all
-    pairs of the counted items (Benjamini-Hochberg, with p rounded up to a bin of 0.02 in log10).
+    observed pairs of at least min_count common records (Benjamini-Hochberg, with p rounded up to a bin of
+    0.02 in log10; pairs below min_lift are tested as if their p were 1).
 
     Pairs with n < min_count or lift < min_lift are left out. Both bounds also prune items exactly: an
     item of a pair with n >= c is in c records, and n <= n_a gives lift <= records/n_b. Repeated items of
@@ -161,21 +165,18 @@ def together(
     one = records.select(F.col(record).alias("record"), F.col(item).alias("item")).dropna().distinct()
     members = stored(one)
     counts = members.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    degrees = counts.groupBy("n_item").count().collect()
-    sizes = members.groupBy("record").agg(F.count(F.lit(1)).alias("size")).groupBy("size").count().collect()
-    # Distinct degrees of E memberships are fewer than sqrt(2E): small enough for the driver.
-    n_records = sum(r["count"] for r in sizes)
-    total = sum(r["size"] * r["count"] for r in sizes)
+    k, m = degree_classes(counts, "n_item")
+    s, r = degree_classes(members.groupBy("record").agg(F.count(F.lit(1)).alias("size")), "size")
+    n_records, total = int(r.sum()), members.count()
     most = n_records / min_lift if min_lift > 0 else total
     kept = counts.filter((F.col("n_item") >= min_count) & (F.col("n_item") <= most))
-    n_kept = sum(r["count"] for r in degrees if min_count <= r["n_item"] <= most)
-
-    k, m = _merge_classes(np.array([r["n_item"] for r in degrees]), np.array([r["count"] for r in degrees]))
-    s, r = _merge_classes(np.array([x["size"] for x in sizes]), np.array([x["count"] for x in sizes]))
     x, y = fit_configuration(k, m, s, r)
 
     hot = hot_keys(members, ["item"], total)
     pairs = pair_counts(members, kept, hot, total).filter(F.col("n") >= min_count)
+    if rate is not None and min_lift > 0:
+        pairs = stored(pairs)
+        tested = pairs.count()
     lift = F.col("n") * F.lit(float(n_records)) / (F.col("n_a") * F.col("n_b"))
     pairs = pairs.withColumn("lift", lift).filter(F.col("n") * F.lit(float(n_records)) >= min_lift * F.col("n_a") * F.col("n_b"))
 
@@ -197,10 +198,11 @@ def together(
     if rate is None:
         return scored
     scored = stored(scored)
-    # Bins of -log10 p, at most 300/0.02 or so of them.
+    # Bins of -log10 p; those beyond 400 pass at any rate.
     strength = F.floor(F.least(-F.col("log10_p"), F.lit(400.0)) / _BIN)
     bins = sorted(scored.groupBy(strength.alias("bin")).count().collect(), key=lambda b: -b["bin"])
-    tested, seen, cut = n_kept * (n_kept - 1) / 2, 0, float("inf")
+    tested = tested if min_lift > 0 else sum(b["count"] for b in bins)
+    seen, cut = 0, float("inf")
     for b in bins:
         seen += b["count"]
         if 10.0 ** (-b["bin"] * _BIN) <= rate * seen / tested:

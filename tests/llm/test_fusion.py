@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from newsweir.llm.fusion import fused_ranking, majority_winner, squash
+from newsweir.llm.fusion import fused_ranking, majority_items, majority_winners, squash
 
 C = "record string, method string, ids array<string>, scores array<double>, score string"
 
@@ -13,6 +13,10 @@ def fuse(spark, rows, **more):
     return fused_ranking(df, "record", "method", "ids", "scores", **more)
 
 
+def majority(spark, rows):
+    return majority_items(spark.createDataFrame([(*r, "x") for r in rows], C), "record", "method", "ids", "scores")
+
+
 def test_squash_keeps_order_and_bounds():
     score = np.array([1.0, 2, 3, 4, 1e9, 5, 5, 5, 7])
     seg = np.array([0, 0, 0, 0, 0, 1, 1, 1, 2])
@@ -24,8 +28,8 @@ def test_squash_keeps_order_and_bounds():
 
 def test_no_method_rules_by_its_range(spark):
     rows = [("i", "m1", ["a", "b", "c"], [0.3, 0.2, 0.1]), ("i", "m2", ["a", "b", "c"], [0.9, 0.8, 0.7]), ("i", "big", ["c", "b", "a"], [9e9, 8e9, 7e9])]
-    got = [(r["item"], r["majority"]) for r in fuse(spark, rows).orderBy("rank").collect()]
-    assert got == [("a", True), ("b", False), ("c", False)]
+    assert [r["item"] for r in fuse(spark, rows).orderBy("rank").collect()] == ["a", "b", "c"]
+    assert [tuple(r) for r in majority(spark, rows).collect()] == [("i", "a", 1, 3)]
     assert fuse(spark, rows, weights={"big": 9.0}).orderBy("rank").first()["item"] == "c"
 
 
@@ -54,9 +58,10 @@ def test_majority_against_brute_force(spark):
     got = {}
     for r in fuse(spark, rows).collect():
         got.setdefault(r["record"], []).append(r)
+    won = {r["record"]: r["item"] for r in majority(spark, rows).collect()}
     for k, lists in records.items():
         mine = got.get(k, [])
-        assert {r["item"] for r in mine if r["majority"]} == brute_winner(lists)
+        assert ({won[k]} if k in won else set()) == brute_winner(lists)
         assert sorted(r["rank"] for r in mine) == list(range(1, len(mine) + 1))
         assert all(r["methods"] == len({m for m, _, _ in lists}) for r in mine)
 
@@ -67,8 +72,13 @@ def test_ties_nulls_and_nothing(spark):
     assert fuse(spark, []).count() == 0
 
 
+def winners(*tables):
+    v = np.concatenate([np.array(t, float) for t in tables])
+    lengths = np.array([len(t) for t in tables])
+    return majority_winners(v, v, np.r_[0, np.cumsum(lengths)[:-1]], lengths).tolist()
+
+
 def test_winner_by_elimination():
-    v = np.array([[1.0, 3], [2, 2], [3, 1]])
-    assert majority_winner(v, np.array([0, 1, 2])) == -1
-    assert majority_winner(np.array([[1.0, 1], [2, 2]]), np.array([0, 1])) == 1
-    assert majority_winner(np.array([[1.0]]), np.array([0])) == 0
+    assert winners([[1, 3], [2, 2], [3, 1]], [[1, 1], [2, 2]], [[1, 1]], [[5, 5], [1, 1], [1, 1]]) == [-1, 4, 5, 6]
+    # Where rounding makes bounded values equal the raw scores decide.
+    assert majority_winners(np.array([[0.5], [0.5]]), np.array([[1.0], [1.0 + 1e-15]]), np.array([0]), np.array([2])).tolist() == [1]

@@ -68,3 +68,34 @@ def test_a_class_of_copies_has_k_neighbours_each(spark):
 def test_nothing(spark):
     df = table(spark, np.zeros((0, 2), np.float32))
     assert s.similar_pairs(df, "item", "v", 2, 0.9).count() == 0 and s.nearest(df, "item", "v", 2, 3).count() == 0
+
+
+def test_two_levels(spark, monkeypatch):
+    """So few vectors to learn from that each partition gets partitions of its own."""
+    rng = np.random.default_rng(4)
+    x = clustered(4000, 16, rng)
+    x[3900:] = x[:100] + 0.02 * rng.standard_normal((100, 16))
+    df = table(spark, x).repartition(4)
+    index = s.Index(s.vector_classes(df, "item", "v", 16), 16, k=10, sample=256, partition=60)
+    sizes = [r["count"] for r in index.homes.groupBy("part").count().collect()]
+    assert index.below is not None and sum(sizes) == 4000 and len(sizes) > 30 and max(sizes) < 600
+    u = s.unit(x.astype(np.float64))
+    cosine = u @ u.T
+    np.fill_diagonal(cosine, -2)
+    got = s.measured_recall(df, "item", "v", 16, 10, F.col("item").endswith("0"), sample=256, partition=60).first()
+    assert got["queries"] == 400 and got["recall"] > 0.9
+    want = {(f"a{i:05d}", f"a{j:05d}") for i, j in zip(*np.nonzero(np.triu(cosine >= 0.9)))}
+    pairs = [(r["a"], r["b"]) for r in s.similar_pairs(df, "item", "v", 16, 0.9, sample=256, partition=60).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) <= want and len(pairs) >= 0.99 * len(want)
+
+
+def test_classes_and_a_crowd_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(s, "_LIST", 7)
+    x = np.array([[1.0, 0]] * 40 + [[1, 0.1]] * 3 + [[0, 1]] + [[0.9, 0.05]], np.float32)
+    df = table(spark, x)
+    links, members = s.similar_classes(df, "item", "v", 2, 0.9)
+    got = {r["item"]: (r["class"], r["links"]) for r in s.class_links(links, members).collect()}
+    assert len(got) == 45 and got["a00039"] == ("a00000", 2) and got["a00042"] == ("a00040", 2) and got["a00043"] == ("a00043", 0)
+    pairs = [(r["a"], r["b"]) for r in s.similar_pairs(df, "item", "v", 2, 0.9).collect()]
+    near = [f"a{i:05d}" for i in (*range(43), 44)]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(p, q) for p in near for q in near if p < q}
