@@ -13,13 +13,16 @@ _BLOCK, _SHARE = 4096, 4096
 _OUT = "query string, item string, score double"
 
 
-def _first(scores: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k greatest of a row, the leftmost first among equals."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-        return some[np.argsort(-scores[some], kind="stable")][:k]
-    return np.argsort(-scores, kind="stable")
+def first_of_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest of each row, greatest and leftmost first; NaN is no score."""
+    worth = np.where(np.isnan(scores), -np.inf, scores)
+    least = np.partition(worth, worth.shape[1] - k, axis=1)[:, worth.shape[1] - k] if worth.shape[1] > k else np.full(len(worth), -np.inf)
+    row, col = np.nonzero((worth >= least[:, None]) & (worth > -np.inf))
+    order = np.lexsort((col, -worth[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(worth)))
+    keep = np.arange(len(row)) - first[row] < k
+    return row[keep], col[keep]
 
 
 def blocked_top(items: DataFrame, queries: DataFrame, k: int, load: Callable, score: Callable) -> DataFrame:
@@ -75,16 +78,9 @@ def blocked_top(items: DataFrame, queries: DataFrame, k: int, load: Callable, sc
                 for at in range(lo, hi, 256):
                     q = t.slice(at, min(256, hi - at))
                     s = score(index, q)
-                    rows, hits, values = [], [], []
-                    for i, one in enumerate(s):
-                        ok = np.flatnonzero(~np.isnan(one))
-                        best = ok[_first(one[ok], k)]
-                        rows.append(np.full(len(best), i))
-                        hits.append(best)
-                        values.append(one[best])
-                    rows, hits = np.concatenate(rows), np.concatenate(hits)
+                    rows, hits = first_of_rows(s, k)
                     yield pa.RecordBatch.from_arrays(
-                        [q["id"].combine_chunks().take(pa.array(rows)), ids.take(pa.array(hits)), pa.array(np.concatenate(values), pa.float64())],
+                        [q["id"].combine_chunks().take(pa.array(rows)), ids.take(pa.array(hits)), pa.array(s[rows, hits], pa.float64())],
                         ["query", "item", "score"],
                     )
 

@@ -85,20 +85,21 @@ class _Postings:
         order = np.argsort(term, kind="stable")
         self.doc = np.repeat(np.arange(self.n), sizes)[order]
         self.weight = block["weights"].combine_chunks().flatten().to_numpy()[order]
-        names = codes.dictionary.to_pylist()
-        ends = np.cumsum(np.bincount(term, minlength=len(names)))
-        self.place = {t: (int(a), int(b)) for t, a, b in zip(names, np.r_[0, ends[:-1]] if len(ends) else [], ends)}
+        self.place = {t: i for i, t in enumerate(codes.dictionary.to_pylist())}
+        ends = np.cumsum(np.bincount(term, minlength=len(self.place)))
+        self.start, self.size = np.r_[0, ends[:-1]].astype(int) if len(ends) else ends, np.diff(np.r_[0, ends]).astype(int)
 
     def score(self, queries) -> np.ndarray:
-        out = np.full((queries.num_rows, self.n), np.nan)
-        for i, words in enumerate(queries["terms"].to_pylist()):
-            spans = [self.place[t] for t in words if t in self.place]
-            if spans:
-                doc = np.concatenate([self.doc[a:b] for a, b in spans])
-                weight = np.concatenate([self.weight[a:b] for a, b in spans])
-                sums = np.bincount(doc, weight, self.n)
-                out[i] = np.where(sums > 0, np.round(sums, PLACES), np.nan)
-        return out
+        """All queries of a batch at once: their terms' postings laid end to end and summed by query and article."""
+        lists = queries["terms"].combine_chunks()
+        query = np.repeat(np.arange(queries.num_rows), np.diff(lists.offsets.to_numpy()))
+        term = np.fromiter((self.place.get(t, -1) for t in lists.flatten().to_pylist()), int, len(query))
+        query, term = query[term >= 0], term[term >= 0]
+        size = self.size[term]
+        at = np.repeat(self.start[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(query, size) * self.n + self.doc[at]
+        sums = np.bincount(cell, self.weight[at], queries.num_rows * self.n).reshape(queries.num_rows, self.n)
+        return np.where(sums > 0, np.round(sums, PLACES), np.nan)
 
 
 def top_articles(queries: DataFrame, docs: DataFrame, k: int = 200) -> DataFrame:

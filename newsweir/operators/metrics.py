@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsweir.operators.skew import lookup
+
 _DISCOUNTS = [0.0]
 for _r in range(1, 11):
     _DISCOUNTS.append(_DISCOUNTS[-1] + 1 / math.log2(_r + 1))
@@ -79,7 +83,7 @@ def diversity(lists: DataFrame, categories: DataFrame, by: str) -> DataFrame:
 
 def novelty(lists: DataFrame, popularity: DataFrame, clicks: int, by: str) -> DataFrame:
     """(by, novelty): the mean of -log2 of the smoothed share of clicks of each list's articles."""
-    counted = lists.join(popularity, "article_id", "left")
+    counted = lookup(lists, popularity, ["article_id"], "left")
     return counted.groupBy(by).agg(F.avg(-F.log2((F.coalesce("n", F.lit(0)) + 1) / F.lit(clicks + 1.0))).alias("novelty"))
 
 
@@ -90,64 +94,121 @@ def popularity(clicked: DataFrame) -> DataFrame:
 
 # Shares of 2^32 below which a Poisson variable of mean 1 is at most 0, 1, 2, ...
 _POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
+# Odd multipliers that spread the bits of 32-bit numbers.
+_STEP, _MIX = 0x9E3779B1, (0x7FEB352D, 0x846CA68B)
+_WORD = 62  # replicates in a long
+# A draw in Arrow works on some rows times all replicates at once, and holds the sums of some groups.
+_CELLS, _GROUPS = 1 << 21, 512
 
 
-def hashed(text: Column) -> Column:
-    """The first 8 hexadecimal digits of the text's md5, as a number."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+def seeds(key: Column) -> Column:
+    """The first 8 hexadecimal digits of a key's md5, as a number: a row's seed of all its draws."""
+    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
 
 
-def poisson_weight(key: Column, replicate: Column) -> Column:
-    """How often a row is drawn in a replicate: a Poisson variable of mean 1 from the hash of both."""
-    u = hashed(F.concat(key, F.lit("-"), replicate.cast("string")))
-    return sum(((u >= int(c * 2**32)).cast("int") for c in _POISSON[1:]), (u >= int(_POISSON[0] * 2**32)).cast("int"))
+def poisson_weights(seed: np.ndarray, replicates: int) -> np.ndarray:
+    """How often each row is drawn in each replicate: Poisson variables of mean 1 from a mix of seed and replicate."""
+    x = seed.astype(np.uint32)[:, None] ^ (np.arange(1, replicates + 1, dtype=np.uint32) * np.uint32(_STEP))[None, :]
+    for shift, by in ((16, _MIX[0]), (15, _MIX[1])):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(by)
+    x ^= x >> np.uint32(16)
+    w = np.zeros(x.shape, np.int8)
+    for c in _POISSON:
+        w += x >= np.uint32(int(c * 2**32))
+    return w
 
 
-def bootstrap_means(values: DataFrame, by: list[str], key: str, value: str, replicates: int = 50, alpha: float = 0.05) -> DataFrame:
+def bootstrap_means(values: DataFrame, by: list[str], key: str, value: str, replicates: int = 1000, alpha: float = 0.05) -> DataFrame:
     """(by, mean, ci_low, ci_high, n): the mean and its bootstrap interval.
 
     Each row is drawn a Poisson number of times in each replicate, by a hash of its key: the resampling
-    for data in many partitions, with neither row numbers nor a shuffle of rows; partial sums per replicate
-    are combined map-side. Null values are left out; a group without values has no row.
+    for data in many partitions, with neither row numbers nor a shuffle of rows. A partition's rows of a
+    group meet all replicates' weights in one matrix product, and a vector of sums a group and partition
+    is all that is shuffled. Any number of replicates will do. Null values are left out; a group without
+    values has no row, a replicate that draws none of a group's rows no mean.
     """
-    v = values.filter(F.col(value).isNotNull()).select(*by, key, F.col(value).alias("_v"))
-    drawn = v.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    w = poisson_weight(F.col(key), F.col("_b"))
-    means = drawn.groupBy(*by, "_b").agg((F.sum(w * F.col("_v")) / F.sum(w)).alias("_m"))
+    v = values.filter(F.col(value).isNotNull()).select(*by, seeds(F.col(key)).alias("_seed"), F.col(value).cast("double").alias("_v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple, np.ndarray] = {}
+
+        def sums() -> pa.RecordBatch:
+            keys = list(zip(*groups)) if groups else [[] for _ in by]
+            held = np.stack(list(groups.values())) if groups else np.zeros((0, 2, replicates))
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(held[:, i].ravel()), replicates).cast(pa.list_(pa.float64())) for i in (0, 1)]
+            groups.clear()
+            return pa.RecordBatch.from_arrays([*(pa.array(k, t) for k, t in zip(keys, types)), *lists], [*by, "_w", "_x"])
+
+        types = [pa.string()] * len(by)
+        for b in batches:
+            types = [b.schema.field(c).type for c in by]
+            names = list(zip(*(b[c].to_pylist() for c in by)))
+            code = {k: i for i, k in enumerate(dict.fromkeys(names))}
+            of = np.fromiter(map(code.__getitem__, names), int, len(names))
+            order = np.argsort(of, kind="stable")
+            seed, x = b["_seed"].to_numpy()[order], b["_v"].to_numpy()[order]
+            ends = np.searchsorted(of[order], np.arange(len(code) + 1))
+            some = max(1, _CELLS // replicates)
+            for k, lo, hi in zip(code, ends, ends[1:]):
+                for at in range(lo, hi, some):
+                    w = poisson_weights(seed[at : min(at + some, hi)], replicates).astype(np.float64)
+                    got = np.stack([w.sum(0), x[at : min(at + some, hi)] @ w])
+                    groups[k] = groups[k] + got if k in groups else got
+                if len(groups) >= _GROUPS:
+                    yield sums()
+        yield sums()
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in v.select(*by).schema]
+    drawn = v.mapInArrow(run, ", ".join([*fields, "_w array<double>, _x array<double>"]))
+    pairs = F.posexplode(F.arrays_zip("_w", "_x")).alias("_b", "_s")
+    means = drawn.select(*by, pairs).groupBy(*by, "_b").agg(F.try_divide(F.sum("_s._x"), F.sum("_s._w")).alias("_m"))
     low, high = (F.percentile("_m", F.lit(q)) for q in (alpha / 2, 1 - alpha / 2))
     spread = means.groupBy(*by).agg(low.alias("ci_low"), high.alias("ci_high"))
     whole = v.groupBy(*by).agg(F.avg("_v").alias("mean"), F.count(F.lit(1)).alias("n"))
     return whole.join(spread, by)
 
 
+def drawn_bits(rows: DataFrame, key: str, replicates: int) -> tuple[DataFrame, list[str]]:
+    """`rows` with longs that have a bit for each replicate that draws the row at all, 62 a long, and the longs' names."""
+    words = [f"_bits{at}" for at in range(-(-replicates // _WORD))]
+    columns = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seed = b["_seed"].to_numpy()
+            out = np.zeros((len(words), len(seed)), np.int64)
+            some = max(1, _CELLS // replicates)
+            for at in range(0, len(seed), some):
+                on = poisson_weights(seed[at : at + some], replicates) > 0
+                for r in range(replicates):
+                    out[r // _WORD, at : at + some] |= on[:, r].astype(np.int64) << (r % _WORD)
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in columns), *map(pa.array, out)], [*columns, *words])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + [f"{w} long" for w in words]
+    return rows.withColumn("_seed", seeds(F.col(key))).mapInArrow(run, ", ".join(fields)), words
+
+
 def coverage_interval(
-    impressions: DataFrame, lists: DataFrame, by: str, key: str, query: str, catalog: DataFrame, replicates: int = 50, alpha: float = 0.05
+    impressions: DataFrame, lists: DataFrame, by: str, key: str, query: str, catalog: DataFrame, replicates: int = 1000, alpha: float = 0.05
 ) -> DataFrame:
     """(by, mean, boot_mean, ci_low, ci_high, n): catalogue coverage and its bootstrap interval.
 
     `impressions` has by, key and query, `lists` query and article_id, `catalog` by and articles, the
     catalogue's size. Impressions are drawn, not articles. Which replicates draw a query's impressions is
-    a bit each in as many longs as they need, 62 in one, by a bitwise or; so is which of them cover an
-    article. Each row is read once for all replicates. The point may lie above the interval, as drawing with repeats
+    a bit each in as many longs as they need by a bitwise or; so is which of them cover an article. Each
+    row is read once for all replicates. The point may lie above the interval, as drawing with repeats
     never adds articles. Only impressions with a list count in n.
     """
-    words = {f"_bits{at}": range(at, min(at + 62, replicates)) for at in range(0, replicates, 62)}
-
-    def drawn(of: range) -> Column:
-        def add(bits: Column, b: Column) -> Column:
-            on = (poisson_weight(F.col(key), b) > 0).cast("long")
-            return bits.bitwiseOR(F.call_function("shiftleft", on, b - of.start))
-
-        return F.aggregate(F.sequence(F.lit(of.start), F.lit(of.stop - 1)), F.lit(0).cast("long"), add)
-
+    asked, words = drawn_bits(impressions.select(by, key, query), key, replicates)
     either = [F.bit_or(c).alias(c) for c in words]
-    asked = impressions.withColumns({c: drawn(of) for c, of in words.items()})
     asked = asked.groupBy(by, query).agg(*either, F.count_distinct(key).alias("_n"))
     found = asked.join(lists.select(query, "article_id"), query)
     n = asked.join(lists.select(query).distinct(), query, "left_semi").groupBy(by).agg(F.sum("_n").alias("n"))
     covered = found.groupBy(by, "article_id").agg(*either)
     at = covered.select(by, F.array(*words).alias("_words"), F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))).alias("_b"))
-    on = F.when(F.col("_b") < 0, 1).otherwise(F.expr("shiftright(_words[greatest(_b, 0) div 62], greatest(_b, 0) % 62) & 1"))
+    on = F.when(F.col("_b") < 0, 1).otherwise(F.expr(f"shiftright(_words[greatest(_b, 0) div {_WORD}], greatest(_b, 0) % {_WORD}) & 1"))
+    # A catalogue has a row per value of `by`, a label.
     counts = at.groupBy(by, "_b").agg(F.sum(on).alias("_covered")).join(F.broadcast(catalog), by)
     share = F.when(F.col("articles") > 0, F.col("_covered") / F.col("articles")).otherwise(0.0)
     boot = F.when(F.col("_b") >= 0, F.col("_share"))
@@ -164,15 +225,6 @@ def coverage_interval(
     )
 
 
-def bootstrap_coverage(
-    impressions: DataFrame, lists: DataFrame, by: str, key: str, query: str, catalog: DataFrame, replicates: int = 50, alpha: float = 0.05
-) -> DataFrame:
-    """coverage_interval by one long of replicates, 62 at most."""
-    if replicates > 62:
-        raise ValueError("at most 62 replicates; coverage_interval takes any number")
-    return coverage_interval(impressions, lists, by, key, query, catalog, replicates, alpha)
-
-
 def bootstrap_ci(values, n_boot: int = 1000, alpha: float = 0.05, seed: int = 42) -> dict:
     """The mean of local values and its interval by resampling with NumPy's generator; NaN if there are none."""
     x = np.asarray(values, float)

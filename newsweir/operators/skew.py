@@ -86,16 +86,18 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner"
 
 
 def salted_prefix(
-    df: DataFrame, keys: list[str], order: str, tie: str, size: Column, before: str, buckets: int = 64
+    df: DataFrame, keys: list[str], order: str, tie: str, size: Column, before: str, buckets: int | None = None
 ) -> DataFrame:
     """Adds `before`: the sum of `size` over the rows of the same keys that come earlier.
 
     `order` is a column of longs spread evenly over [0, 2^32), `tie` a unique column that orders rows
     equal in it. A window over a key that holds a third of all rows would run in one task. Here the order
     is cut into `buckets` ranges: sums per (key, range) are combined map-side, running sums over at most
-    `buckets` ranges give each range its start, and the window inside a range sees 1/buckets of a key.
-    Null keys form a key of their own.
+    `buckets` ranges give each range its start, and the window inside a range sees 1/buckets of a key. As
+    many ranges are made as leave at most some 500,000 rows in one if all rows are of one key, but 64 at
+    least; pass rows that are cheap to count. Null keys form a key of their own.
     """
+    buckets = buckets or max(64, -(-df.count() // 500_000))
     rows = df.withColumn("_size", size.cast("long")).withColumn("_bucket", F.floor(F.col(order) * buckets / F.lit(2**32)).cast("int"))
     sums = rows.groupBy(*keys, "_bucket").agg(F.sum("_size").alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

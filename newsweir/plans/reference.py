@@ -10,14 +10,15 @@ from newsweir.operators import bm25, metrics
 from newsweir.operators.dedupe import keep_first
 from newsweir.operators.history import history_asof
 from newsweir.operators.partitions import spread
+from newsweir.operators.skew import hot_keys, lookup, skew_join
 from newsweir.plans import views as v
 from newsweir.plans.views import sql
 from newsweir.sources.raw import labelled_impressions, entity_labels
 from newsweir.sources.tables import clean_ids, filled, table
-from newsweir.streaming.popularity import hourly_clicks
+from newsweir.streaming.popularity import closed_hours, hourly_clicks
 
 KS = [50, 100, 200]
-REPLICATES = 50
+REPLICATES = 1000
 METRICS = ["auc", "mrr", "ndcg5", "ndcg10"]
 QUERIES, ORACLE = {}, {}
 
@@ -61,8 +62,6 @@ def recent_history_asof(spark: SparkSession, d: str) -> DataFrame:
 )
 def history_asof_counts(spark: SparkSession, d: str) -> DataFrame:
     """How many clicks of the user are known before each impression of any part."""
-    from newsweir.operators.skew import hot_keys, skew_join
-
     imp = v.impressions(spark, d).filter(F.col("timestamp").isNotNull()).select("impression_id", "user_id", "timestamp")
     h = v.kept(spark, d, "history", v.history)
     joined = skew_join(imp, h.select("user_id", "ids", "times"), ["user_id"], hot_keys(imp, ["user_id"], imp.count()))
@@ -112,11 +111,14 @@ def embedding_recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query("popularity_counts", sql("pop", "SELECT article_id, n FROM pop"))
 def popularity_counts(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.popularity(v.clicked(spark, d, v.split(spark, d).filter(F.col("split") == "train").select("clicked")))
+    def build(s: SparkSession, at: str) -> DataFrame:
+        return metrics.popularity(v.clicked(s, at, v.split(s, at).filter(F.col("split") == "train").select("clicked")))
+
+    return v.kept(spark, d, "popularity", build)
 
 
 def _all_popularity(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.popularity(v.clicked(spark, d, v.split(spark, d).select("clicked")))
+    return v.kept(spark, d, "all_popularity", lambda s, at: metrics.popularity(v.clicked(s, at, v.split(s, at).select("clicked"))))
 
 
 @query(
@@ -129,7 +131,7 @@ def _all_popularity(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def popularity_rank_baseline(spark: SparkSession, d: str) -> DataFrame:
-    shown = v.candidates(spark, d).join(popularity_counts(spark, d), "article_id", "left")
+    shown = lookup(v.candidates(spark, d), popularity_counts(spark, d), ["article_id"], "left")
     rank = F.row_number().over(W.partitionBy("impression_id").orderBy(F.desc(F.coalesce("n", F.lit(0))), "pos"))
     return _rank_lists(shown.withColumn("rank", rank), "ranks")
 
@@ -247,8 +249,6 @@ _MEANS = ", ".join(f"round(avg({m}), 5) AS {m}" for m in METRICS)
 )
 def metrics_by_slice(spark: SparkSession, d: str) -> DataFrame:
     """Mean ranking metrics of cold, warm and all impressions."""
-    from newsweir.operators.skew import lookup
-
     history = v.kept(spark, d, "history", v.history)
     threshold = metrics.cold_threshold(history, "dataset", "n")
     lengths = v.recent(spark, d).select("impression_id", "user_id")
@@ -261,9 +261,14 @@ def metrics_by_slice(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _weight_sql(key: str, replicate: str) -> str:
-    """metrics.poisson_weight in SQL."""
-    u = f"('0x' || substr(md5({key} || '-' || {replicate}::VARCHAR), 1, 8))::BIGINT"
-    return "(" + " + ".join(f"({u} >= {int(c * 2**32)})::INT" for c in metrics._POISSON) + ")"
+    """metrics.poisson_weights in SQL."""
+    step, (one, two) = metrics._STEP, metrics._MIX
+    seed = f"('0x' || substr(md5({key}::VARCHAR), 1, 8))::UBIGINT"
+    x = f"xor({seed}, ((({replicate} + 1)::UBIGINT * {step}) & 4294967295))"
+    for shift, by in ((16, one), (15, two)):
+        x = f"list_transform([{x}], lambda z: (xor(z, z >> {shift}) * {by}) & 4294967295)[1]"
+    u = f"list_transform([{x}], lambda z: xor(z, z >> 16))[1]"
+    return f"list_transform([{u}], lambda z: " + " + ".join(f"(z >= {int(c * 2**32)})::INT" for c in metrics._POISSON) + ")[1]"
 
 
 @query(
@@ -272,7 +277,7 @@ def _weight_sql(key: str, replicate: str) -> str:
         "bs disc",
         f"""SELECT dataset, metric, round(any_value(mean), 5) AS mean, round(quantile_cont(boot, 0.025), 5) AS ci_low,
             round(quantile_cont(boot, 0.975), 5) AS ci_high, any_value(n) AS n
-        FROM (SELECT dataset, metric, b, sum(w * x) / sum(w) AS boot FROM (
+        FROM (SELECT dataset, metric, b, sum(w * x) / nullif(sum(w), 0) AS boot FROM (
                 SELECT dataset, metric, b, x, {_weight_sql("impression_id", "b")} AS w
                 FROM (UNPIVOT {_metrics_cte('bs')} ON {", ".join(METRICS)} INTO NAME metric VALUE x), range({REPLICATES}) r(b)) GROUP BY ALL)
         JOIN (SELECT dataset, metric, avg(x) AS mean, count(*) AS n
@@ -326,7 +331,7 @@ def leakage_ablation(spark: SparkSession, d: str) -> DataFrame:
     """Ranking metrics of BM25 alone, with clicks of the training part, and with clicks of the test part too."""
     safe = popularity_counts(spark, d).withColumnRenamed("n", "_safe")
     leaky = _all_popularity(spark, d).withColumnRenamed("n", "_leaky")
-    rows = v.bm25_scored(spark, d).join(safe, "article_id", "left").join(leaky, "article_id", "left")
+    rows = lookup(lookup(v.bm25_scored(spark, d), safe, ["article_id"], "left"), leaky, ["article_id"], "left")
 
     def plus(name: str):
         return F.round(F.col("score") + F.log1p(F.coalesce(name, F.lit(0))), 6)
@@ -390,8 +395,6 @@ def method_comparison(spark: SparkSession, d: str) -> DataFrame:
     ),
 )
 def cold_start_counts(spark: SparkSession, d: str) -> DataFrame:
-    from newsweir.operators.skew import lookup
-
     known = v.query_vectors(spark, d).select("query", F.lit(1).alias("_known"))
     rows = lookup(v.recent(spark, d).select("dataset", "query", "recent"), known, ["query"], "left")
     return rows.groupBy("dataset").agg(
@@ -533,3 +536,14 @@ def two_stage_rerank(spark: SparkSession, d: str) -> DataFrame:
 def streaming_hourly_clicks(spark: SparkSession, d: str) -> DataFrame:
     """Click counts by hour and article, from the impressions as a stream."""
     return hourly_clicks(spark, f"{d}/impressions.parquet")
+
+
+@query(
+    "streaming_closed_hours",
+    """WITH c AS (SELECT date_trunc('hour', timestamp) AS hour, timestamp, article_id FROM (SELECT timestamp, unnest(clicked) AS article_id FROM impressions)
+        WHERE timestamp IS NOT NULL AND length(trim(article_id)) > 0)
+    SELECT hour, article_id, count(*) AS clicks FROM c WHERE hour + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 10 MINUTE FROM c) GROUP BY ALL""",
+)
+def streaming_closed_hours(spark: SparkSession, d: str) -> DataFrame:
+    """Click counts of the hours that a watermark has closed, each emitted once, with bounded state."""
+    return closed_hours(spark, f"{d}/impressions.parquet")

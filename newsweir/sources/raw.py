@@ -29,8 +29,29 @@ def _conform(df: DataFrame, schema: str) -> DataFrame:
 
 
 def in_file_order(df: DataFrame, source: int) -> DataFrame:
-    """`df`, read straight from files, with `source_rank` and `row_idx`, which rises in the files' order."""
-    return df.withColumn("source_rank", F.lit(source)).withColumn("row_idx", F.monotonically_increasing_id())
+    """`df`, read straight from files, with `source_rank` and `row_idx`, which rises in the files' order.
+
+    Files follow each other by path, splits of a file by their start, rows of a split as they are read; a
+    scan may take files and splits in any order.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    return df.withColumn("source_rank", F.lit(source)).withColumn("row_idx", at)
+
+
+def first_rows(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of in_file_order: the head of the files, wherever they are read."""
+    return df.orderBy("source_rank", "row_idx").limit(n)
+
+
+def line_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lines, bytes) of text files, their lines counted where they lie."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return rows.groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("lines")).select("file", "lines", "bytes")
+
+
+def metric_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Reports of metrics written by sinks.write_report, read back: a row per object."""
+    return spark.read.option("multiLine", True).json(path)
 
 
 def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -59,6 +80,20 @@ def labelled_impressions(text: Column) -> tuple[Column, Column]:
     return ids, F.transform(clicked, lambda x: F.regexp_replace(x, "-1$", ""))
 
 
+def latest_history(rows: DataFrame) -> DataFrame:
+    """The unified history of raw rows in file order: of a user's rows the last counts."""
+    h = keep_first(rows, ["user_id"], [F.desc("source_rank"), F.desc("row_idx")])
+    ids, times = F.col("article_id_fixed"), F.col("impression_time_fixed")
+    return h.select(
+        F.lit("ebnerd").alias("dataset"),
+        "user_id",
+        ids.alias("history_article_ids"),
+        times.alias("history_timestamps"),
+        F.size(ids).alias("history_length"),
+        F.array_max(times).alias("last_history_time"),
+    )
+
+
 def read_parquet_logs(spark: SparkSession, articles: str, behaviors: list[str], histories: list[str]) -> dict[str, DataFrame]:
     """The Parquet dataset: articles, and behaviors and histories of several snapshots in order.
 
@@ -92,16 +127,7 @@ def read_parquet_logs(spark: SparkSession, articles: str, behaviors: list[str],
     for k, path in enumerate(histories):
         one = in_file_order(spark.read.parquet(path).select("user_id", "article_id_fixed", "impression_time_fixed"), k)
         h = one if h is None else h.unionByName(one)
-    h = keep_first(h, ["user_id"], [F.desc("source_rank"), F.desc("row_idx")])
-    ids, times = F.col("article_id_fixed"), F.col("impression_time_fixed")
-    h = h.select(
-        F.lit("ebnerd").alias("dataset"),
-        "user_id",
-        ids.alias("history_article_ids"),
-        times.alias("history_timestamps"),
-        F.size(ids).alias("history_length"),
-        F.array_max(times).alias("last_history_time"),
-    )
+    h = latest_history(h)
     return {"articles": _conform(a, ARTICLES), "impressions": _conform(b, IMPRESSIONS), "history": _conform(h, HISTORY)}
 
 

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import json
-import os
-import zipfile
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsweir.operators.durable import file_system
+
 
 def write_feature_store(tables: dict[str, DataFrame], split: DataFrame, out: str) -> None:
     """articles and user_history, and impressions in a folder per part of the split, so that parts prune."""
@@ -44,19 +44,35 @@ def is_permutation(rank_list):
 def write_submission(lines: DataFrame, order: str, out: str, inner: str = "predictions.txt") -> str:
     """Lines in the order of a column, as text files in one folder, then as one zip with a fixed inner name.
 
-    The files are sorted by range, so the order holds across them; the zip is filled from them file by file.
+    The files are sorted by range, so the order holds across them; the zip is filled from them file by file
+    by the driver's JVM, through the file system of the folder.
     """
     lines.repartitionByRange(order).sortWithinPartitions(order).select("line").write.mode("overwrite").text(out)
-    path = f"{out.rstrip('/')}.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, z.open(inner, "w") as to:
-        for name in sorted(n for n in os.listdir(out) if n.startswith("part-")):
-            with open(f"{out}/{name}", "rb") as part:
-                for chunk in iter(lambda: part.read(1 << 20), b""):
-                    to.write(chunk)
+    spark, path = lines.sparkSession, f"{out.rstrip('/')}.zip"
+    fs, at = file_system(spark, out)
+    parts = sorted((f.getPath().getName(), f.getPath()) for f in fs.listStatus(at))
+    jvm, target = spark._jvm, file_system(spark, path)[1]
+    z = jvm.java.util.zip.ZipOutputStream(fs.create(target, True))
+    z.putNextEntry(jvm.java.util.zip.ZipEntry(inner))
+    for name, part in parts:
+        if name.startswith("part-"):
+            source = fs.open(part)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, z, 1 << 20, False)
+            source.close()
+    z.closeEntry()
+    z.close()
     return path
 
 
+def write_embeddings(vectors: DataFrame, out: str) -> None:
+    """(article_id, embedding) as Parquet, sorted by id within files so that readers can skip row groups."""
+    vectors.select("article_id", F.col("embedding").cast("array<float>").alias("embedding")).sortWithinPartitions("article_id").write.mode("overwrite").parquet(out)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
-    """A small table of metrics as a JSON list of objects."""
-    with open(path, "w") as f:
-        json.dump([r.asDict(recursive=True) for r in rows.collect()], f, indent=2, default=str)
+    """A small table of metrics, a row per dataset, method, slice and metric, as a JSON list of objects."""
+    text = json.dumps([r.asDict(recursive=True) for r in rows.collect()], indent=2, default=str)
+    fs, at = file_system(rows.sparkSession, path)
+    to = fs.create(at, True)
+    to.write(bytearray(text.encode()))
+    to.close()

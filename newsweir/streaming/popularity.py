@@ -36,6 +36,11 @@ def windowed_popularity(clicks: DataFrame, window: str = "1 hour", lateness: str
     return counted.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "article_id", "clicks")
 
 
+def _run(counted: DataFrame, mode: str, out: str, keep) -> None:
+    run = counted.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(keep)
+    run.trigger(availableNow=True).start().awaitTermination()
+
+
 def hourly_clicks(spark: SparkSession, path: str) -> DataFrame:
     """What a stream over the files at `path` has counted once all are read, every late click included."""
     out = shared_path(spark, "stream")
@@ -44,6 +49,22 @@ def hourly_clicks(spark: SparkSession, path: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/counts")
 
-    run = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(keep)
-    run.trigger(availableNow=True).start().awaitTermination()
+    _run(counted, "complete", out, keep)
     return spark.read.parquet(f"{out}/counts")
+
+
+def closed_hours(spark: SparkSession, path: str, lateness: str = "10 minutes") -> DataFrame:
+    """The hours that the watermark has closed once all files at `path` are read, each written once.
+
+    State is dropped as the watermark passes, so it is bounded by the hours within `lateness` of the
+    latest click. An hour is written by the batch that closes it, into a folder of the batch's number, so
+    that a batch that runs again replaces its own.
+    """
+    out = shared_path(spark, "stream")
+    counted = windowed_popularity(click_stream(spark, path), lateness=lateness)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/hours/batch={number}")
+
+    _run(counted, "append", out, keep)
+    return spark.read.parquet(f"{out}/hours").drop("batch")

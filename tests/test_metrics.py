@@ -79,10 +79,8 @@ def test_bootstrap_coverage(spark):
     imp = spark.createDataFrame([("g", f"i{i}", f"q{i % 30}") for i in range(60)] + [("g", "cold", "none")], "g string, k string, q string")
     lists = spark.createDataFrame([(f"q{i}", f"a{j}") for i in range(30) for j in (i, i + 1)], "q string, article_id string")
     catalog = spark.createDataFrame([("g", 62)], "g string, articles long")
-    got = metrics.bootstrap_coverage(imp, lists, "g", "k", "q", catalog, 40).first()
+    got = metrics.coverage_interval(imp, lists, "g", "k", "q", catalog, 40).first()
     assert got["mean"] == 0.5 and got["n"] == 60 and got["ci_low"] <= got["boot_mean"] <= got["ci_high"] <= got["mean"]
-    with pytest.raises(ValueError):
-        metrics.bootstrap_coverage(imp, lists, "g", "k", "q", catalog, 63)
 
 
 def test_cold_and_threshold(spark):

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
-PLANS = [importlib.import_module(f"newsweir.plans.{n}") for n in ("reference", "general")]
+PLANS = [importlib.import_module(f"newsweir.plans.{n}") for n in ("reference", "files", "general")]
 NAMES = [n for m in PLANS for n in m.ORACLE]
 
 
