@@ -35,16 +35,23 @@ def share_out(amount: float, weights: dict, limits: dict) -> dict:
     return given
 
 
-def tree_budgets(total: float, leaves: list[dict]) -> dict[str, float]:
-    """Tokens of each source: `total` down a tree of domains, languages and sources.
+_LEVELS = ("domain", "language", "source")
 
-    A leaf has source, domain, language, share and limit (its tokens times the repeats allowed). At each
-    node the amount is shared out among the children by the sum of their leaves' shares, none above what
-    its leaves can give. So what a source lacks goes to sources of its domain and language first, then
+
+def leaf_key(leaf: dict) -> tuple:
+    return tuple(leaf[x] for x in _LEVELS)
+
+
+def tree_budgets(total: float, leaves: list[dict]) -> dict[tuple, float]:
+    """Tokens of each leaf, by (domain, language, source): `total` down a tree of domains, languages and sources.
+
+    A leaf is what a source has of one domain and language, with share and limit (its tokens times the
+    repeats allowed). At each node the amount is shared out among the children by the sum of their leaves' shares, none above what
+    its leaves can give. So what a leaf lacks goes to sources of its domain and language first, then
     to the domain's other languages, then to other domains.
     """
 
-    def down(amount: float, some: list[dict], levels: list[str]) -> dict[str, float]:
+    def down(amount: float, some: list[dict], levels: tuple[str, ...], above: tuple) -> dict[tuple, float]:
         groups: dict[str, list[dict]] = defaultdict(list)
         for x in some:
             groups[x[levels[0]]].append(x)
@@ -52,20 +59,20 @@ def tree_budgets(total: float, leaves: list[dict]) -> dict[str, float]:
             amount, {k: sum(x["share"] for x in g) for k, g in groups.items()}, {k: sum(x["limit"] for x in g) for k, g in groups.items()}
         )
         if len(levels) == 1:
-            return given
-        return {s: n for k, g in groups.items() for s, n in down(given[k], g, levels[1:]).items()}
+            return {(*above, k): n for k, n in given.items()}
+        return {s: n for k, g in groups.items() for s, n in down(given[k], g, levels[1:], (*above, k)).items()}
 
-    return down(total, leaves, ["domain", "language", "source"])
+    return down(total, leaves, _LEVELS, ())
 
 
 def largest_exact_total(leaves: list[dict]) -> float:
-    """The largest total at which each source that has tokens gets what its share says.
+    """The largest total at which each leaf that has tokens gets what its share says.
 
-    Shares of sources without tokens are handed on by the tree first, whatever the total.
+    Shares of leaves without tokens are handed on by the tree first, whatever the total.
     """
     open_ = [{**x, "limit": 1e18 if x["limit"] > 0 else 0.0} for x in leaves]
     shares = tree_budgets(1e6, open_)
-    return min((x["limit"] / (shares[x["source"]] / 1e6) for x in leaves if shares[x["source"]] > 0), default=0.0)
+    return min((x["limit"] / (shares[leaf_key(x)] / 1e6) for x in leaves if shares[leaf_key(x)] > 0), default=0.0)
 
 
 def mix(
@@ -89,11 +96,14 @@ def mix(
     The size of a mix, `total`, is "exact": the largest at which each source present can have its share
     without more than max_repeats copies of a document; or "all": as much as the mix's sources hold once,
     where a source too small gives what it can and the tree redistributes its shortage, see tree_budgets.
-    A source's domain and language are those most of its tokens are in.
+    `domain` is any column; a leaf of the tree is a source's documents of one domain and language, and has
+    the part of the source's share that it has of the source's tokens. A source that is absent has a leaf of
+    no domain, so its share is handed on from the root.
 
-    A source's budget is met by whole epochs and a prefix of a last one; each epoch orders the source's
+    A leaf's budget is met by whole epochs and a prefix of a last one; each epoch orders the leaf's
     documents by a seeded hash, and the prefix ends at the document nearest to the budget. Running sums
-    never gather a source in a task. Sources are matched however they are spelled. Documents without id
+    never gather a leaf in a task. Leaves are counted on the driver: domains, languages and the sources of
+    `targets` are labels with few values. Sources are matched however they are spelled. Documents without id
     or source are in no mix; those of size 0 or null are in the epochs but change no share. A mix whose sources are all empty has
     no documents and a reached_share of 0. Shares are of the mix's sum.
     """
@@ -109,50 +119,54 @@ def mix(
     names = spark.createDataFrame([(s,) for s in sorted({w["source"] for w in wanted})], "source string")
     docs = docs.join(F.broadcast(names), "source", "left_semi")
 
-    held: dict[str, dict] = {}
+    cells: dict[str, list] = defaultdict(list)
     tokens: dict[str, int] = defaultdict(int)
     for r in docs.groupBy("source", "_domain", "_language").agg(F.sum(size).alias("n")).collect():
         tokens[r["source"]] += r["n"]
-        best = held.setdefault(r["source"], {"n": -1})
-        # The greatest pair decides between equals.
-        if (r["n"], r["_domain"], r["_language"]) > (best["n"], best.get("domain", ""), best.get("language", "")):
-            held[r["source"]] = {"n": r["n"], "domain": r["_domain"], "language": r["_language"]}
+        cells[r["source"]].append((r["_domain"], r["_language"], r["n"]))
 
-    plan = []
+    plan, sources = [], []
     for m in sorted({w["mix_name"] for w in wanted}):
         leaves = [
             {
                 "source": w["source"],
-                "share": w["target_share"],
+                "domain": domain_,
+                "language": language_,
+                "share": w["target_share"] * (n / tokens[w["source"]] if tokens[w["source"]] else 1.0),
                 "repeats": w["max_repeats"],
-                "limit": float(tokens[w["source"]] * w["max_repeats"]),
-                "domain": held.get(w["source"], {}).get("domain", ""),
-                "language": held.get(w["source"], {}).get("language", ""),
+                "n": n,
+                "limit": float(n * w["max_repeats"]),
             }
             for w in wanted
             if w["mix_name"] == m
+            for domain_, language_, n in sorted(cells[w["source"]]) or [("", "", 0)]
         ]
-        whole = largest_exact_total(leaves) if total == "exact" else float(sum(tokens[x["source"]] for x in leaves))
+        whole = largest_exact_total(leaves) if total == "exact" else float(sum(x["n"] for x in leaves))
         budgets = tree_budgets(whole, leaves)
         got = sum(budgets.values()) or 1.0
+        planned: dict[str, float] = defaultdict(float)
         for x in leaves:
-            n = tokens[x["source"]]
-            epochs = min(x["repeats"], int((budgets[x["source"]] + 0.5) // n)) if n else 0
-            rest = budgets[x["source"]] - epochs * n if epochs < x["repeats"] else 0.0
-            plan.append((m, x["source"], float(x["share"]), budgets[x["source"]] / got, epochs, max(rest, 0.0)))
-
-    schema = "mix_name string, source string, target_share double, planned_share double, _epochs int, _rest double"
-    settings = spark.createDataFrame(plan, schema)
-    rows = docs.join(F.broadcast(settings), "source").select(
+            n, budget = x["n"], budgets[leaf_key(x)]
+            planned[x["source"]] += budget / got
+            epochs = min(x["repeats"], int((budget + 0.5) // n)) if n else 0
+            rest = budget - epochs * n if epochs < x["repeats"] else 0.0
+            plan.append((m, x["source"], x["domain"], x["language"], epochs, max(rest, 0.0)))
+        sources += [(m, w["source"], float(w["target_share"]), planned[w["source"]]) for w in wanted if w["mix_name"] == m]
+
+    leaf = ["source", "_domain", "_language"]
+    budgeted = spark.createDataFrame(plan, "mix_name string, source string, _domain string, _language string, _epochs int, _rest double")
+    settings = spark.createDataFrame(sources, "mix_name string, source string, target_share double, planned_share double")
+    # As many rows as there are leaves in all mixes.
+    rows = docs.join(F.broadcast(budgeted), leaf).select(
         "mix_name",
-        "source",
+        *leaf,
         doc,
         size,
         "_epochs",
         "_rest",
         F.pmod(F.xxhash64(doc, F.lit(seed), "mix_name", "_epochs"), F.lit(2**32)).alias("_order"),
     )
-    ordered = salted_prefix(rows, ["mix_name", "source"], "_order", doc, F.col(size), "_before")
+    ordered = salted_prefix(rows, ["mix_name", *leaf], "_order", doc, F.col(size), "_before")
     last = (F.col("_before") + F.col(size) / 2 <= F.col("_rest")) & (F.col("_rest") > 0)
     chosen = ordered.withColumn("copies", F.col("_epochs") + last.cast("int")).filter(F.col("copies") > 0)
     chosen = chosen.select("mix_name", "source", doc, size, "copies")

@@ -180,7 +180,8 @@ def pack(sized: DataFrame, item: str, size: str, capacities: dict[str, int]) ->
 
     order = F.pmod(F.xxhash64(F.col(item), F.lit(8)), F.lit(2**32))
     rests = rows.filter(F.col("_rest") > 0).select("spec", item, "_full", "_rest", order.alias("_order"))
-    ranked = salted_prefix(rests, ["spec", "_rest"], "_order", item, F.lit(1), "_rank")
+    n_rests = sum(n for own in counts.values() for n in own.values())
+    ranked = salted_prefix(rests, ["spec", "_rest"], "_order", item, F.lit(1), "_rank", max(64, -(-n_rests // 500_000)))
 
     out = rows.select("spec", F.lit("").alias("container"), item, F.lit(0).alias("part"), F.lit(0).cast("long").alias(size)).schema
 

@@ -9,7 +9,7 @@ from newsweir.functions.text import title_and_abstract
 from newsweir.llm.distinctive import distinctive_terms
 from newsweir.llm.frequent import frequent_items, misra_gries
 from newsweir.llm.fusion import fused_ranking, majority_items
-from newsweir.llm.mixing import mix
+from newsweir.llm.mixing import mix, source_name
 from newsweir.llm.packing import pack
 from newsweir.llm.personal import find_personal, redact_personal
 from newsweir.llm.similar import class_links, measured_recall, nearest, similar_classes, similar_pairs
@@ -163,15 +163,14 @@ def packing_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _mix(spark: SparkSession, sf_dir: str, total: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "doc_kind", "text")
-    written = F.when(F.col("doc_kind").isin("article", "wire", "newsletter"), "news").otherwise("readers")
+def _mix(spark: SparkSession, sf_dir: str, total: str, domain: str = "doc_kind") -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", domain, "text")
     return mix(
         stored(with_tokens(docs, "text")),
         table(spark, sf_dir, "mix_targets"),
         doc="doc_id",
         source="source",
-        domain=written,
+        domain=F.col(domain),
         language="lang",
         size="tokens",
         total=total,
@@ -196,6 +195,61 @@ def mixed_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir, "all")[1]
 
 
+def frequent_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles with over 1/1001 of all clicks that most_clicked has, with a true count within its bounds."""
+    n = clicks(table(spark, sf_dir, "impressions")).groupBy("article_id").agg(F.count(F.lit(1)).alias("clicks"))
+    found = most_clicked(spark, sf_dir).join(n, "article_id")
+    found = found.filter(F.col("clicks").between(F.col("clicks_low"), F.col("clicks_high")) & (F.col("clicks") * 1001 > F.col("all_clicks")))
+    return found.select("article_id", "clicks")
+
+
+def term_counts_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts behind the term scores, of rows whose score and posterior are proper numbers."""
+    found = term_scores(spark, sf_dir).filter((F.col("score") >= 0) & F.col("p_elite").between(0, 1))
+    return found.select("article_id", "term", "tf", "df")
+
+
+def pair_lifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of at least 3 common records with their counts and lift, of those whose tail probability is one."""
+    found = together(reading_records(spark, sf_dir), "record", "article_id", min_count=3).filter((F.col("log10_p") <= 0) & (F.col("expected") > 0))
+    return found.select(F.col("a").alias("article_id_a"), F.col("b").alias("article_id_b"), "n", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
+def fused_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored articles and methods of each impression, of those that are ranked from 1 to their number by scores that fall."""
+    ranked = fused_candidates(spark, sf_dir)
+    lists = ranked.groupBy("impression_id").agg(F.array_sort(F.collect_list(F.struct("rank", "score"))).alias("_l"), F.max("methods").cast("long").alias("methods"))
+    n, scores = F.size("_l"), F.col("_l.score")
+    fair = (F.col("_l.rank") == F.sequence(F.lit(1), n)) & (F.reverse(F.array_sort(scores)) == scores)
+    return lists.filter(fair).select("impression_id", n.cast("long").alias("items"), "methods")
+
+
+def packing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents placed by each spec, how many of them were cut, and containers that hold more than they can."""
+    packed = packed_documents(spark, sf_dir)
+    specs = table(spark, sf_dir, "pack_specs").select("spec_name", "capacity_tokens")
+    over = packed.groupBy("spec_name", "container").agg(F.sum("tokens").alias("n")).join(specs, "spec_name")
+    over = over.groupBy("spec_name").agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+    docs = packed.groupBy("spec_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.count_distinct("part").alias("parts"), F.sum("tokens").alias("n")).join(specs, "spec_name")
+    needless = (F.col("pieces") != F.col("parts")) | (F.col("pieces") != F.greatest(F.ceil(F.col("n") / F.col("capacity_tokens")), F.lit(1)))
+    docs = docs.groupBy("spec_name").agg(F.count(F.lit(1)).alias("documents"), F.count_if(needless).alias("cut_needlessly"))
+    return docs.join(over, "spec_name")
+
+
+def mixing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source of each mix, as large as exact shares allow, has its planned share to a hundredth and no more copies than allowed."""
+    targets = table(spark, sf_dir, "mix_targets").select("mix_name", source_name(F.col("source")).alias("source"), "max_repeats")
+    rows = mixed_shares(spark, sf_dir).join(targets, ["mix_name", "source"])
+    near = F.abs(F.col("reached_share") - F.col("planned_share")) <= 0.01
+    return rows.select("mix_name", "source", near.alias("as_planned"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"))
+
+
+def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that come out redacted, and null texts that stay null."""
+    out = redacted_documents(spark, sf_dir)
+    return out.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("text").isNull()).alias("null_texts"))
+
+
 def personal_information(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "name_list"))
 
@@ -212,21 +266,28 @@ QUERIES = {
     "p2_recall": nearest_recall,
     "p3_term_scores": term_scores,
     "p3_found": rare_repeated_terms,
+    "p3_term_counts": term_counts_scored,
     "p4_article_pairs": article_pairs,
     "p4_found": surprising_pairs,
+    "p4_pair_lifts": pair_lifts,
     "p5_most_clicked": most_clicked,
     "p5_found": heavily_clicked,
+    "p5_bounds": frequent_bounds,
     "p7_fused_ranking": fused_candidates,
     "p7_fused_quality": fused_quality,
     "p7_found": majority_articles,
+    "p7_sizes": fused_sizes,
     "p8_packed": packed_documents,
     "p8_room": packing_room,
+    "p8_bounds": packing_bounds,
     "p9_mixed": mixed_documents,
     "p9_shares": mixed_shares,
     "p9_mixed_all": mixed_documents_all,
     "p9_shares_all": mixed_shares_all,
+    "p9_bounds": mixing_bounds,
     "p10_found": personal_information,
     "p10_redacted": redacted_documents,
+    "p10_redacted_counts": redaction_counts,
 }
 
 _CLICKS = """clicks AS (SELECT DISTINCT impression_id, article_id
@@ -262,6 +323,33 @@ ORACLE = {
             GROUP BY ALL HAVING count(*) >= 5)
         SELECT a AS article_id_a, b AS article_id_b FROM p JOIN f fa ON fa.item = a JOIN f fb ON fb.item = b
         WHERE p.n * (SELECT count(DISTINCT record) FROM m) >= 30 * fa.n * fb.n""",
+    "p3_term_counts": r"""WITH one AS (SELECT DISTINCT article_id, coalesce(title, '') || ' ' || coalesce(abstract, '') AS text
+            FROM articles WHERE article_id IS NOT NULL),
+        long AS (SELECT article_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nl}\p{No}]+')) AS term FROM one),
+        tf AS (SELECT article_id, term, count(*) AS tf FROM long GROUP BY ALL)
+        SELECT article_id, term, tf, count(*) OVER (PARTITION BY term) AS df FROM tf""",
+    "p4_pair_lifts": f"""WITH {_CLICKS},
+        m AS (SELECT DISTINCT * FROM (
+            SELECT 'u' || user_id AS record, unnest(history_article_ids) AS item FROM user_history
+            UNION ALL SELECT 'i' || impression_id, article_id FROM clicks)
+            WHERE record IS NOT NULL AND length(trim(item)) > 0),
+        f AS (SELECT item, count(*) AS n FROM m GROUP BY item),
+        p AS (SELECT x.item AS a, y.item AS b, count(*) AS n FROM m x JOIN m y ON x.record = y.record AND x.item < y.item
+            GROUP BY ALL HAVING count(*) >= 3)
+        SELECT a AS article_id_a, b AS article_id_b, p.n, fa.n AS n_a, fb.n AS n_b,
+            round(p.n * (SELECT count(DISTINCT record) FROM m)::DOUBLE / (fa.n * fb.n), 6) AS lift
+        FROM p JOIN f fa ON fa.item = a JOIN f fb ON fb.item = b""",
+    "p5_bounds": f"""WITH {_CLICKS}, n AS (SELECT article_id, count(*) AS clicks FROM clicks GROUP BY article_id)
+        SELECT article_id, clicks FROM n WHERE clicks * 1001 > (SELECT count(*) FROM clicks)""",
+    "p7_sizes": """WITH rows AS (SELECT impression_id, method, unnest(retrieved_article_ids) AS item, unnest(retrieved_scores) AS score
+            FROM candidates WHERE impression_id IS NOT NULL AND method IS NOT NULL)
+        SELECT impression_id, count(DISTINCT item) AS items, any_value(m.methods) AS methods FROM rows
+        JOIN (SELECT impression_id, count(DISTINCT method) AS methods FROM candidates WHERE method IS NOT NULL GROUP BY 1) m USING (impression_id)
+        WHERE length(trim(item)) > 0 AND score IS NOT NULL GROUP BY impression_id""",
+    "p8_bounds": "SELECT spec_name, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS cut_needlessly, 0::BIGINT AS overfull FROM pack_specs",
+    "p9_bounds": r"""SELECT mix_name, regexp_replace(lower(trim(source)), '[_\s]+', '-', 'g') AS source, true AS as_planned, true AS within_repeats
+        FROM mix_targets""",
+    "p10_redacted_counts": "SELECT count(*) AS documents, count_if(text IS NULL) AS null_texts FROM documents",
     "p5_found": f"""WITH {_CLICKS}, n AS (SELECT article_id, count(*) AS n FROM clicks GROUP BY article_id)
         SELECT article_id FROM n WHERE n >= 0.01 * (SELECT count(*) FROM clicks)""",
     "p7_found": """WITH rows AS (SELECT impression_id, method, unnest(retrieved_article_ids) AS item,

@@ -86,9 +86,13 @@ def leaf(source, domain, language, share, limit):
 
 def test_siblings_before_ancestors():
     leaves = [leaf("a", "news", "en", 0.25, 5), leaf("b", "news", "en", 0.25, 99), leaf("c", "news", "da", 0.25, 99), leaf("d", "mail", "en", 0.25, 99)]
-    assert tree_budgets(100, leaves) == pytest.approx({"a": 5, "b": 45, "c": 25, "d": 25})
+    got = {k[2]: n for k, n in tree_budgets(100, leaves).items()}
+    assert got == pytest.approx({"a": 5, "b": 45, "c": 25, "d": 25})
     leaves[1]["limit"] = 15
-    assert tree_budgets(100, leaves) == pytest.approx({"a": 5, "b": 15, "c": 55, "d": 25})
+    assert {k[2]: n for k, n in tree_budgets(100, leaves).items()} == pytest.approx({"a": 5, "b": 15, "c": 55, "d": 25})
+    # One source in two leaves: what its small one lacks goes to the sibling beside it, not to its other leaf.
+    two = [leaf("a", "news", "en", 0.25, 5), leaf("b", "news", "en", 0.25, 99), leaf("a", "news", "da", 0.5, 99)]
+    assert tree_budgets(100, two) == pytest.approx({("news", "en", "a"): 5, ("news", "en", "b"): 45, ("news", "da", "a"): 50})
     assert largest_exact_total(leaves) == pytest.approx(20)
 
 
@@ -131,6 +135,17 @@ def test_mix(spark, total):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixed(spark, rows, targets, total)[0].collect()))
 
 
+def test_siblings_run_short(spark):
+    """Small leaves give what they can; the rest comes from the same domain and language, and shares say so."""
+    rows = [(i, "small", "en", "news", 10, "x") for i in range(20)] + [(100 + i, "large", "en", "news", 10, "x") for i in range(400)]
+    rows += [(1000 + i, "other", "da", "mail", 10, "x") for i in range(400)]
+    targets = [("m", "small", 0.4, 2), ("m", "large", 0.1, 1), ("m", "other", 0.5, 1)]
+    told = {r["source"]: r for r in mixed(spark, rows, targets, "all")[1].collect()}
+    # 8,200 tokens in all: the small source has 400 to give, its domain 4,100 of which the large one gives the rest.
+    assert {s: r["tokens"] for s, r in told.items()} == {"small": 400, "large": 3700, "other": 4000 + 0}
+    assert told["small"]["most_copies"] == 2
+
+
 def test_mix_of_nothing(spark):
     chosen, shares = mixed(spark, [], [("m", "a", 1.0, 1)], "exact")
     assert chosen.count() == 0 and shares.first()["tokens"] == 0
