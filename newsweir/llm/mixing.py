@@ -7,6 +7,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsweir.operators.durable import stored
 from newsweir.operators.skew import salted_prefix
 
 
@@ -101,7 +102,8 @@ def mix(
     no domain, so its share is handed on from the root.
 
     A leaf's budget is met by whole epochs and a prefix of a last one; each epoch orders the leaf's
-    documents by a seeded hash, and the prefix ends at the document nearest to the budget. Running sums
+    documents by a seeded hash, and the prefix ends at the document nearest to the budget; what the prefixes of
+    a source's leaves are off by is made up in its largest leaf. Running sums
     never gather a leaf in a task. Leaves are counted on the driver: domains, languages and the sources of
     `targets` are labels with few values. Sources are matched however they are spelled. Documents without id
     or source are in no mix; those of size 0 or null are in the epochs but change no share. A mix whose sources are all empty has
@@ -150,11 +152,12 @@ def mix(
             planned[x["source"]] += budget / got
             epochs = min(x["repeats"], int((budget + 0.5) // n)) if n else 0
             rest = budget - epochs * n if epochs < x["repeats"] else 0.0
-            plan.append((m, x["source"], x["domain"], x["language"], epochs, max(rest, 0.0)))
+            plan.append((m, x, epochs, max(rest, 0.0)))
         sources += [(m, w["source"], float(w["target_share"]), planned[w["source"]]) for w in wanted if w["mix_name"] == m]
 
     leaf = ["source", "_domain", "_language"]
-    budgeted = spark.createDataFrame(plan, "mix_name string, source string, _domain string, _language string, _epochs int, _rest double")
+    budgeted = [(m, *(x[c] for c in ("source", "domain", "language")), epochs, rest) for m, x, epochs, rest in plan]
+    budgeted = spark.createDataFrame(budgeted, "mix_name string, source string, _domain string, _language string, _epochs int, _rest double")
     settings = spark.createDataFrame(sources, "mix_name string, source string, target_share double, planned_share double")
     # As many rows as there are leaves in all mixes.
     rows = docs.join(F.broadcast(budgeted), leaf).select(
@@ -166,8 +169,30 @@ def mix(
         "_rest",
         F.pmod(F.xxhash64(doc, F.lit(seed), "mix_name", "_epochs"), F.lit(2**32)).alias("_order"),
     )
-    ordered = salted_prefix(rows, ["mix_name", *leaf], "_order", doc, F.col(size), "_before")
-    last = (F.col("_before") + F.col(size) / 2 <= F.col("_rest")) & (F.col("_rest") > 0)
+    ordered = stored(salted_prefix(rows, ["mix_name", *leaf], "_order", doc, F.col(size), "_before").drop("_order"))
+
+    def last(rest):
+        return (F.col("_before") + F.col(size) / 2 <= rest) & (rest > 0)
+
+    # What the leaves' prefixes miss or exceed for want of a fitting document is made up in their source's
+    # largest leaf, so that a source is off by part of one document and not of one a leaf.
+    by = ["mix_name", *leaf]
+    took = {tuple(r[c] for c in by): r["n"] for r in ordered.filter(last(F.col("_rest"))).groupBy(*by).agg(F.sum(size).alias("n")).collect()}
+    whole_source: dict[tuple, list] = defaultdict(list)
+    for m, x, epochs, rest in plan:
+        whole_source[m, x["source"]].append((x, epochs, rest, took.get((m, x["source"], x["domain"], x["language"]), 0)))
+    rests = []
+    for (m, s), some in whole_source.items():
+        open_ = [x["n"] for x, epochs, _, _ in some if epochs < x["repeats"]]
+        anchor = max(open_, default=None)
+        off = sum(rest - n for _, _, rest, n in some)
+        for x, epochs, rest, n in some:
+            if anchor is not None and epochs < x["repeats"] and x["n"] == anchor:
+                rest, anchor = min(max(rest + off - (rest - n), 0.0), float(x["n"])), None
+            rests.append((m, s, x["domain"], x["language"], rest))
+    exact = spark.createDataFrame(rests, "mix_name string, source string, _domain string, _language string, _exact double")
+    ordered = ordered.join(F.broadcast(exact), by)
+    last = last(F.col("_exact"))
     chosen = ordered.withColumn("copies", F.col("_epochs") + last.cast("int")).filter(F.col("copies") > 0)
     chosen = chosen.select("mix_name", "source", doc, size, "copies")
     per = chosen.groupBy("mix_name", "source").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsweir.functions.text import title_and_abstract
@@ -163,14 +163,17 @@ def packing_room(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _mix(spark: SparkSession, sf_dir: str, total: str, domain: str = "doc_kind") -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", domain, "text")
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "doc_kind", "text"), "text"))
+
+
+def _mix(spark: SparkSession, sf_dir: str, total: str, sized: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     return mix(
-        stored(with_tokens(docs, "text")),
+        sized or _sized(spark, sf_dir),
         table(spark, sf_dir, "mix_targets"),
         doc="doc_id",
         source="source",
-        domain=F.col(domain),
+        domain=F.col("doc_kind"),
         language="lang",
         size="tokens",
         total=total,
@@ -237,10 +240,15 @@ def packing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each source of each mix, as large as exact shares allow, has its planned share to a hundredth and no more copies than allowed."""
+    """Whether each source of each mix, as large as exact shares allow, is off its planned share by less than the
+    largest document of the mix's sources, and has no more copies than allowed."""
+    sized = _sized(spark, sf_dir)
     targets = table(spark, sf_dir, "mix_targets").select("mix_name", source_name(F.col("source")).alias("source"), "max_repeats")
-    rows = mixed_shares(spark, sf_dir).join(targets, ["mix_name", "source"])
-    near = F.abs(F.col("reached_share") - F.col("planned_share")) <= 0.01
+    longest = sized.groupBy(source_name(F.col("source")).alias("source")).agg(F.max("tokens").alias("longest"))
+    longest = targets.join(longest, "source").groupBy("mix_name").agg(F.max("longest").alias("longest"))
+    rows = _mix(spark, sf_dir, "exact", sized)[1].join(targets, ["mix_name", "source"]).join(longest, "mix_name", "left")
+    whole = F.sum("tokens").over(Window.partitionBy("mix_name"))
+    near = F.abs(F.col("tokens") - F.col("planned_share") * whole) <= F.coalesce("longest", F.lit(0))
     return rows.select("mix_name", "source", near.alias("as_planned"), (F.col("most_copies") <= F.col("max_repeats")).alias("within_repeats"))
 
 
@@ -349,7 +357,7 @@ ORACLE = {
     "p8_bounds": "SELECT spec_name, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS cut_needlessly, 0::BIGINT AS overfull FROM pack_specs",
     "p9_bounds": r"""SELECT mix_name, regexp_replace(lower(trim(source)), '[_\s]+', '-', 'g') AS source, true AS as_planned, true AS within_repeats
         FROM mix_targets""",
-    "p10_redacted_counts": "SELECT count(*) AS documents, count_if(text IS NULL) AS null_texts FROM documents",
+    "p10_redacted_counts": "SELECT count(*) AS documents, count_if(text IS NULL)::BIGINT AS null_texts FROM documents",
     "p5_found": f"""WITH {_CLICKS}, n AS (SELECT article_id, count(*) AS n FROM clicks GROUP BY article_id)
         SELECT article_id FROM n WHERE n >= 0.01 * (SELECT count(*) FROM clicks)""",
     "p7_found": """WITH rows AS (SELECT impression_id, method, unnest(retrieved_article_ids) AS item,
