@@ -408,10 +408,11 @@ _NOUNS = (
 ).split()
 _LABELS = (
     "Route Platform Gate Table Page Volume Section Line Room Bus Hall Article Chapter Day Week Level Type Group Size Linje Spor Perron Side Tabel Bind Afsnit Kapitel Uge Hold Sida Tabell Spår Rad Vecka Grupp "
+    "Väg Länsväg Riksväg Landstraße Kreisstraße Bundesstraße Hovedvej Landevej Motorvej Road Highway Väg Landstraße Hovedvej "
     "Seite Tabelle Gleis Band Abschnitt Linie Zimmer Artikel Woche Gruppe Halle Stufe Flat Floor Etage Stock"
 ).split()
 _CODED = "no. number case order ref. nr. sag faktura ordre kunde ärende bilaga Vorgang Rechnung Kunde file reader booking invoice læser läsare Leser ticket account konto".split()
-_NEUTRAL = [x for x, n in dict(name=8, phone=3, id=1, address=4, email=1, place=5, org=3, num=2, code=3, date=3, given=1, big=1, time=2, counted=13, titled=8).items() for _ in range(n)]
+_NEUTRAL = [x for x, n in dict(name=8, phone=5, id=2, address=4, email=1, place=5, org=3, num=2, code=3, date=3, given=1, big=3, time=2, counted=13, titled=8).items() for _ in range(n)]
 _GIVEN = (
     "Adam Alice Alma Amir Anders Andrea Anna Anne Anton Arthur Asta Astrid Aisha Barbara Beate Benjamin Birgit Bjarne Bo Brigitte Bruno Camilla Carl Carla Caroline Charles Charlotte "
     "Christian Clara Claus Colin Connor Dagmar Daniel Dennis Dieter Dorthe Edith Eleanor Elias Elin Ellen Else Emil Emily Emma Erik Ernst Esther Eva Fatima Felix Finn Frank Freja Frida "
@@ -487,7 +488,8 @@ class _Values:
         return self.rng.random() < p
 
     def number(self, n: int) -> str:
-        return "".join(str(self.rng.randrange(10)) for _ in range(n))
+        """n digits, the first of them no 0, as numbers of things that were counted have it."""
+        return str(self.rng.randrange(1, 10)) + "".join(str(self.rng.randrange(10)) for _ in range(n - 1))
 
     def digits(self, form: str) -> str:
         """A written form with its 9 drawn, and 2 where it stands first in its group."""
@@ -631,7 +633,7 @@ class _Values:
         """A number beside a word, as streets and houses have them too."""
         n = str(self.rng.randrange(1, self.pick((20, 100, 2000))))
         word = self.pick(self.ordinary)
-        return self.pick((f"{n} {word}", f"{n} {word} {self.pick(self.ordinary)}", f"{n} {word.capitalize()}", f"{self.pick(_LABELS)} {n}", f"{self.pick(_LABELS).lower()} {n}{self.pick('abc')}", f"{word.capitalize()} {n}", f"{word.capitalize()} {n}", f"{word.capitalize()} {n}", f"{self.pick(_NOUNS)} {n}", f"{n} {self.pick(_NOUNS)}", f"{n}. {self.pick(_NOUNS)} {n}", f"{word} {n}", f"{word} {n}", f"{n} {word}", f"{n} %", f"{n}-{word}"))
+        return self.pick((f"{n} {word}", f"{n} {word} {self.pick(self.ordinary)}", f"{n} {word.capitalize()}", f"{self.pick(_LABELS)} {n}", f"{self.pick(_LABELS)} {n}", f"{self.pick(_LABELS)} {n}", f"{self.pick(_LABELS).lower()} {n}{self.pick('abc')}", f"{word.capitalize()} {n}", f"{word.capitalize()} {n}", f"{word.capitalize()} {n}", f"{self.pick(_NOUNS)} {n}", f"{n} {self.pick(_NOUNS)}", f"{n}. {self.pick(_NOUNS)} {n}", f"{word} {n}", f"{word} {n}", f"{n} {word}", f"{n} %", f"{n}-{word}"))
 
     def titled(self) -> str:
         """Capitalised words that are no person."""
@@ -668,7 +670,7 @@ def wording_words() -> frozenset[str]:
     return frozenset(x.lower() for x in re.findall(r"[^\W\d_]+", text)) | frozenset(_COMMON)
 
 
-def filled(rounds: int = 18, seed: int = 10, held: bool = False, neutral: float = 1.0, ordinary: list[str] = _COMMON) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def filled(rounds: int = 18, seed: int = 10, held: bool = False, neutral: float = 2.0, ordinary: list[str] = _COMMON) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """[(text, [(start, end, kind)])]: the wordings with values, `rounds` times over, in threes.
 
     With `held` those set aside, else those to train on, each time with `neutral` times as many neutral

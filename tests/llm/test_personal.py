@@ -86,6 +86,8 @@ def test_find_and_redact(spark, names):
         ("In Saltwick", "name", None),
         ("Edith", "name", None),
         ("Brenworth, E.", "name", "Brenworth, E."),
+        ("I heard", "name", None),
+        ("i. brenworth", "name", "i. brenworth"),
     ],
 )
 def test_settling(text, kind, want):
