@@ -23,12 +23,12 @@ def _own_folder() -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session names in spark.checkpoint.dir and all executors share.
+    """A new path in the folder that the session names in spark.checkpoint.dir, or its context was given, and all executors share.
 
     A session on one machine that names none gets a temporary folder; one on a cluster must name it, as
     what one executor writes to its own disk no other can read.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):

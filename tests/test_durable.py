@@ -11,7 +11,7 @@ from newsweir.plans import views
 
 def session(master, folder=None):
     return types.SimpleNamespace(
-        conf=types.SimpleNamespace(get=lambda name, default: folder), sparkContext=types.SimpleNamespace(master=master, applicationId="none")
+        conf=types.SimpleNamespace(get=lambda name, default: folder), sparkContext=types.SimpleNamespace(master=master, applicationId="none", getCheckpointDir=lambda: None)
     )
 
 
