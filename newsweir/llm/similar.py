@@ -215,13 +215,14 @@ def vector_classes(df: DataFrame, item: str, vector: str, dims: int) -> DataFram
     """(item, class, vector): usable vectors, one row per item; items of equal vectors share a class.
 
     Usable are vectors of `dims` numbers, all finite and not all zero. Of an item's several vectors the
-    greatest in order counts. The class is the least item id that has the vector.
+    greatest in order counts. The class is the least item id that has the vector; a vector that many items
+    share gathers in no task.
     """
     finite = ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = df.filter(F.col(item).isNotNull() & (F.size(vector) == dims) & finite & F.exists(vector, lambda v: v != 0))
     one = usable.select(F.col(item).alias("item"), F.col(vector).alias("vector")).groupBy("item").agg(F.max("vector").alias("vector"))
     classes = one.groupBy("vector").agg(F.min("item").alias("class"))
-    return one.join(classes, "vector").select("item", "class", "vector")
+    return skew_join(one, classes, ["vector"], hot_keys(one, ["vector"], one.count())).select("item", "class", "vector")
 
 
 def _packed(router: Router, probes: int) -> bytes:
@@ -478,7 +479,8 @@ def expanded_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     Only classes of several items are joined; their items lie in lists of some 256, so that neither a large
     class nor one with many links gathers in a task.
     """
-    crowd = members.select("item", "class").join(members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "class")
+    several = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    crowd = skew_join(members.select("item", "class"), several, ["class"], hot_keys(members, ["class"], members.count()))
     crowd = crowd.withColumn("lists", F.ceil(F.col("n") / _LIST).cast("int")).withColumn("list", F.pmod(F.xxhash64("item"), F.col("lists")).cast("int"))
     crowd = stored(crowd.groupBy("class", "lists", "list").agg(F.collect_list("item").alias("items")))
     sizes = stored(crowd.select("class", "lists").distinct())
