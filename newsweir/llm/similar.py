@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import pickle
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsweir.operators.blocks import blocked_top
-from newsweir.operators.durable import stored
+from newsweir.operators.durable import discard, stored
 from newsweir.operators.skew import hot_keys, lookup, skew_join
 
 # Rows the partitions and a classifier are learned from, and how many vectors a partition should hold.
@@ -25,6 +26,12 @@ _NEIGHBOURS = 10
 _BLOCK, _SHARE = 4096, 32768
 # Items of a class in one list when pairs are written out.
 _LIST = 256
+# Rows of a partition that a task of linked_vectors holds, and how many, in partitions, it compares without learning any.
+_GATHER, _FEW = 1 << 20, 32
+# Copies of each vector that linked_vectors shuffles at a time.
+_COPIES = 8
+# More than single precision loses of a product of unit vectors.
+_SINGLE = 1e-5
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -153,16 +160,19 @@ def learn_router(x: np.ndarray, parts: int) -> Router:
     return router
 
 
-def probes_for_cosine(router: Router, x: np.ndarray, least: float, cover: float = 0.999, seed: int = 2) -> int:
-    """How many partitions to search so that `cover` of vectors at that cosine, in random directions, are there."""
+def copies_for_cosine(router: Router, x: np.ndarray, least: float, cover: float = 0.9995, seed: int = 2) -> int:
+    """In how many partitions to keep each vector so that `cover` of those at that cosine meet in one.
+
+    They are apart in random directions or, if more copies are needed then, in those of differences of x's rows.
+    """
     rng = np.random.default_rng(seed)
-    away = rng.standard_normal(x.shape)
-    away = unit(away - (away * x).sum(1, keepdims=True) * x)
-    near = least * x + np.sqrt(1 - least * least) * away
-    at = router.route(near, 1)
-    parts = router.weights[3].shape[0]
-    place = np.argmax(router.route(x, parts) == at, axis=1)
-    return int(np.quantile(place, cover)) + 1
+    parts, order = router.weights[3].shape[0], rng.permutation(len(x))
+    place, copies = np.argsort(router.route(x, parts), axis=1), 1
+    for away in (rng.standard_normal(x.shape), x[order] - x[np.roll(order, 1)]):
+        away = unit(away - (away * x).sum(1, keepdims=True) * x + 1e-12)
+        other = np.argsort(router.route(least * x + np.sqrt(1 - least * least) * away, parts), axis=1)
+        copies = max(copies, int(np.quantile(np.maximum(place, other).min(1), cover)) + 1)
+    return copies
 
 
 def true_nearest(vectors: DataFrame, ids: list[str], x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -212,17 +222,22 @@ def probes_for_recall(router: Router, x: np.ndarray, k: int, recall: float) -> i
 
 
 def vector_classes(df: DataFrame, item: str, vector: str, dims: int) -> DataFrame:
-    """(item, class, vector): usable vectors, one row per item; items of equal vectors share a class.
+    """(item, class, vector): usable vectors, one row per item, stored; items of equal vectors share a class.
 
     Usable are vectors of `dims` numbers, all finite and not all zero. Of an item's several vectors the
     greatest in order counts. The class is the least item id that has the vector; a vector that many items
-    share gathers in no task.
+    share gathers in no task. Vectors are equal if two hashes of 64 bits are: they are shuffled twice in
+    all, and hashes in their place otherwise.
     """
     finite = ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = df.filter(F.col(item).isNotNull() & (F.size(vector) == dims) & finite & F.exists(vector, lambda v: v != 0))
     one = usable.select(F.col(item).alias("item"), F.col(vector).alias("vector")).groupBy("item").agg(F.max("vector").alias("vector"))
-    classes = one.groupBy("vector").agg(F.min("item").alias("class"))
-    return skew_join(one, classes, ["vector"], hot_keys(one, ["vector"], one.count())).select("item", "class", "vector")
+    same = ["_h", "_g"]
+    one = stored(one.withColumns({"_h": F.xxhash64("vector"), "_g": F.xxhash64(F.lit(7), "vector")}), tidy=True)
+    classes = one.groupBy(*same).agg(F.min("item").alias("class"))
+    out = stored(skew_join(one, classes, same, hot_keys(one, same, one.count())).select("item", "class", "vector"), tidy=True)
+    discard(one)
+    return out
 
 
 def _packed(router: Router, probes: int) -> bytes:
@@ -239,6 +254,12 @@ _CHILDREN = 1 << 12  # more than a router has partitions
 _ROUTED = "id string, vector array<float>, floor double, part int, rank int"
 
 
+def _sampled(vectors: DataFrame, dims: int, size: int) -> tuple[list[str], np.ndarray]:
+    """(ids, rows): the `size` vectors of the least hashes. Their order takes a bounded number of rows from each task."""
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(size).select("id", "vector").toArrow()
+    return rows["id"].to_pylist(), rows["vector"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dims)
+
+
 class Index:
     """Learned partitions over the distinct vectors of a table of vector_classes, in one level or two.
 
@@ -247,46 +268,39 @@ class Index:
     Where that leaves more than twice as many vectors in a partition, each gets partitions and a router of
     its own, fitted where it lies on as large a sample of it: (sample / 16)^2 partitions in all.
 
-    `least` sets the probes by cosine, `k` and `recall` by the nearest neighbours: by those among all
-    vectors of up to HELD vectors that the router was not trained on, and by the sample's.
+    `k` and `recall` set the probes by the nearest neighbours: by those among all vectors of up to HELD
+    vectors that the router was not trained on, and by the sample's.
     """
 
-    def __init__(
-        self, classes: DataFrame, dims: int, least: float | None = None, k: int | None = None, recall: float = 0.97, sample: int | None = None, partition: int | None = None
-    ):
+    def __init__(self, classes: DataFrame, dims: int, k: int, recall: float = 0.97, sample: int | None = None, partition: int | None = None):
         sample, partition = sample or SAMPLE, partition or PARTITION
         self.vectors = classes.filter(F.col("item") == F.col("class")).select(F.col("class").alias("id"), "vector")
         count = self.vectors.count()
-        # The order of the hashes takes a bounded number of rows from each task.
-        held = 0 if least is not None else min(HELD, count // 9)
-        rows = self.vectors.orderBy(F.xxhash64("id"), "id").limit(sample + held).select("id", "vector").toArrow()
-        x = rows["vector"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dims)
-        ids, apart, x = rows["id"].to_pylist()[len(x) - held :], x[len(x) - held :], x[: len(x) - held]
+        held = min(HELD, count // 9)
+        ids, x = _sampled(self.vectors, dims, sample + held)
+        ids, apart, x = ids[len(x) - held :], x[len(x) - held :], x[: len(x) - held]
         self.dims, parts = dims, max(1, min(-(-count // partition), len(x) // 16))
         two = parts > 1 and count > 2 * partition * parts
         # What two levels may miss, half each.
-        recall, cover = (1 - (1 - recall) / 2, 0.9995) if two else (recall, 0.999)
+        recall = 1 - (1 - recall) / 2 if two else recall
         self.router, self.probes, self.below = None, 1, None
         if parts > 1:
             x = unit(x)
             self.router = learn_router(x, parts)
-            if least is not None:
-                self.probes = probes_for_cosine(self.router, x, least, cover)
-            else:
-                apart = unit(apart)
-                unseen = probes_for_neighbours(self.router, apart, *true_nearest(self.vectors, ids, apart, k), recall)
-                self.probes = max(unseen, probes_for_recall(self.router, x, k, recall))
+            apart = unit(apart)
+            unseen = probes_for_neighbours(self.router, apart, *true_nearest(self.vectors, ids, apart, k), recall)
+            self.probes = max(unseen, probes_for_recall(self.router, x, k, recall))
         homes = self._routed(self.vectors.withColumn("floor", F.lit(-2.0)), 1)
         if two:
             homes = stored(homes)
             # At most sample / 16 partitions: their sizes go to the driver.
             self.sizes = {r["part"]: r["n"] for r in homes.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-            self.below = stored(self._fit_below(homes, least, k, recall, cover, sample, partition))
+            self.below = stored(self._fit_below(homes, k, recall, sample, partition))
             homes = self._routed_below(homes, True)
         #: Each vector with its partition.
         self.homes = stored(homes.drop("rank"))
 
-    def _fit_below(self, homes: DataFrame, least, k, recall, cover, sample: int, partition: int) -> DataFrame:
+    def _fit_below(self, homes: DataFrame, k: int, recall: float, sample: int, partition: int) -> DataFrame:
         """(part, router): a router of its own for each partition, fitted on about `sample` of its vectors."""
         spark = self.vectors.sparkSession
         shares = F.broadcast(spark.createDataFrame([(p, n, min(1.0, sample / n)) for p, n in self.sizes.items()], "part int, n long, share double"))
@@ -299,7 +313,7 @@ class Index:
                 data = None
             else:
                 router = learn_router(x, parts)
-                data = _packed(router, probes_for_cosine(router, x, least, cover) if least is not None else probes_for_recall(router, x, k, recall))
+                data = _packed(router, probes_for_recall(router, x, k, recall))
             return pd.DataFrame({"part": f["part"].iloc[:1], "router": [data]})
 
         return some.select("part", "n", "vector").groupBy("part").applyInPandas(fit, "part int, router binary")
@@ -364,7 +378,7 @@ class Index:
         rows = self._routed_below(rows, False) if self.below is not None else rows
         return rows.filter(F.col("rank") > 0).drop("rank")
 
-    def _scan(self, asking: DataFrame, k: int | None) -> DataFrame:
+    def _scan(self, asking: DataFrame, k: int) -> DataFrame:
         """(id, other, cosine): for each of `asking` (id, vector, floor, part) the vectors stored in that
         partition with a cosine of at least floor; only the k best of a block where there are more.
 
@@ -414,7 +428,7 @@ class Index:
                         q = v[at : min(at + 1024, hi)]
                         least = floor[at : at + len(q)]
                         rough = q.astype(np.float32) @ single.T
-                        if k is not None and least.max() <= -2:
+                        if least.max() <= -2:
                             # Some more than k by the rough product, for the vector itself and near ties.
                             n = min(k + 4, rough.shape[1])
                             j = np.argpartition(-rough, n - 1, axis=1)[:, :n].ravel()
@@ -428,16 +442,6 @@ class Index:
 
         return tasks.sortWithinPartitions("part", "block", "share", "ask").mapInArrow(rerank, "id string, other string, cosine double")
 
-    def pairs(self, least: float) -> DataFrame:
-        """(id, other, cosine) of distinct vectors found with cosine >= least; a pair may come both ways.
-
-        Each vector is stored in its most probable partition and asks there and in its other probes.
-        """
-        own = self.homes.withColumn("floor", F.lit(least))
-        if self.probes == 1 and self.below is None:
-            return self._scan(own, None)
-        return self._scan(own.unionByName(self._asking(self.vectors.withColumn("floor", F.lit(least)))), None)
-
     def nearest(self, k: int) -> DataFrame:
         """(id, other, cosine, rank): the k nearest of each distinct vector that its probes find.
 
@@ -454,16 +458,182 @@ class Index:
         return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def coded(x: np.ndarray) -> np.ndarray:
+    """A row of bytes for each unit vector: its numbers as a byte each, their scale, and how far that is from the vector."""
+    scale = (np.abs(x).max(1, keepdims=True) / 127).astype("<f4")
+    q = np.rint(x / scale).astype(np.int8)
+    off = (np.linalg.norm(x - q * scale.astype(np.float64), axis=1, keepdims=True) + 1e-6).astype("<f4")
+    return np.concatenate([np.ascontiguousarray(v).view(np.uint8).reshape(len(x), -1) for v in (q, scale, off)], 1)
+
+
+def decoded(code: np.ndarray, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, distances from the true ones) of the first bytes of rows of `coded`."""
+    scale, off = np.ascontiguousarray(code[:, dims : dims + 8]).view("<f4").reshape(-1, 2).T
+    return code[:, :dims].view(np.int8) * scale[:, None].astype(np.float32), off
+
+
+def _first_shared(one: np.ndarray, other: np.ndarray, number: int) -> np.ndarray:
+    """Whether `number` is the least that rows of `one` and `other` share."""
+    out = np.empty(len(one), bool)
+    for a in range(0, len(one), 1 << 16):
+        x, y = one[a : a + (1 << 16)], other[a : a + (1 << 16)]
+        shared = (x[:, :, None] == y[:, None, :]).any(2)
+        out[a : a + len(x)] = np.where(shared, x, np.iinfo(x.dtype).max).min(1) == number
+    return out
+
+
+def _places(x: np.ndarray, least: float, sample: int, partition: int) -> np.ndarray:
+    """The partitions of each row of x, learned from some of them; one for all if they are few."""
+    if len(x) <= _FEW * partition:
+        return np.zeros((len(x), 1), np.int16)
+    parts = max(2, min(-(-len(x) // partition), sample // 16))
+    some = unit(x[np.random.default_rng(2).permutation(len(x))[: min(sample, 32 * parts)]].astype(np.float64))
+    router = learn_router(some, parts)
+    copies = copies_for_cosine(router, some, least)
+    return np.concatenate([router.route(x[a : a + 8192], copies)[:, :copies].astype(np.int16) for a in range(0, len(x), 8192)])
+
+
+def _close(x: np.ndarray, off: np.ndarray, side: np.ndarray | None, least: float, sample: int, partition: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, sure): the rows of coded vectors that may have a cosine of at least `least`, each pair once.
+
+    Of two codes the product differs from the cosine by at most the sum of their distances and the
+    distances' product, so no pair within a partition is missed, and most are sure. With `side` only
+    pairs of a row of side 0 and one of side 1 are made.
+    """
+    places = _places(x, least, sample, partition)
+    order = np.argsort(places.ravel(), kind="stable")
+    cut = np.searchsorted(places.ravel()[order], np.arange(int(places.max()) + 2))
+    for part, (lo, hi) in enumerate(zip(cut, cut[1:])):
+        rows = np.sort(order[lo:hi] // places.shape[1])
+        mine, others = (rows, rows) if side is None else (rows[side[rows] == 0], rows[side[rows] == 1])
+        if not len(mine) or not len(others):
+            continue
+        most = float(off[rows].max())
+        bar = np.float32(least - 2 * most - most * most - _SINGLE)
+        for a in range(0, len(mine), 512):
+            q = mine[a : a + 512]
+            for b in range(a if side is None else 0, len(others), 2048):
+                base = others[b : b + 2048]
+                rough = (x[q] @ x[base].T).ravel()
+                # Far faster than nonzero in two dimensions.
+                hit = np.flatnonzero(rough >= bar)
+                i, j = divmod(hit, len(base))
+                value, i, j = rough[hit].astype(np.float64), q[i], base[j]
+                slack = off[i] + off[j] + off[i] * off[j] + _SINGLE
+                keep = (value >= least - slack) & ((i < j) | (side is not None))
+                if places.shape[1] > 1 and keep.any():
+                    keep[keep] = _first_shared(places[i[keep]], places[j[keep]], part)
+                if keep.any():
+                    yield i[keep], j[keep], (value >= least + slack)[keep]
+
+
+def _bytes(rows: pa.Array) -> np.ndarray:
+    """A binary column of values of one length as rows of bytes."""
+    ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    return np.frombuffer(rows.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(rows), -1)
+
+
+def linked_vectors(vectors: DataFrame, dims: int, least: float, sample: int | None = None, partition: int | None = None) -> DataFrame:
+    """(a, b): distinct vectors (id, vector) with a cosine of at least `least`, a < b, missing few; stored.
+
+    Partitions are learned from a sample as in Index. Each vector is put into its several most probable
+    partitions, as many as let two at that cosine meet in one, and all in a partition are compared: that
+    takes far fewer copies than to keep a vector in one and to ask in all that are likely. A copy is a byte
+    a number; pairs that these leave open are tested on the vectors. A task holds one partition, or a pair
+    of blocks of one with over _GATHER rows by the sample, and learns partitions of its own where it has
+    many rows. Shuffle files are deleted after each turn. A pair is handed on only by the least partition that both share.
+    """
+    sample, partition = sample or SAMPLE, partition or PARTITION
+    count = vectors.count()
+    x = _sampled(vectors, dims, sample)[1]
+    parts = max(1, min(-(-count // partition), len(x) // 16))
+    router, copies, rows = None, 1, np.array([count])
+    if parts > 1:
+        x = unit(x)
+        router = learn_router(x, parts)
+        copies = copies_for_cosine(router, x, least)
+        rows = np.bincount(router.route(x, copies)[:, :copies].ravel(), minlength=parts) / len(x) * count
+    blocks = np.maximum(1, np.ceil(rows / _GATHER)).astype(int)
+
+    # Copies of a vector, those for pairs of blocks counted: partitions take turns, so that some _COPIES are shuffled at a time.
+    turns = -(-int((blocks * rows).sum() / max(count, 1)) // _COPIES) or 1
+
+    def place(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v = unit(b["vector"].flatten().to_numpy().reshape(-1, dims).astype(np.float64))
+            at = router.route(v, copies)[:, :copies] if router else np.zeros((len(v), 1), int)
+            code = np.concatenate([coded(v), np.ascontiguousarray(at.astype("<i2")).view(np.uint8).reshape(len(v), -1)], 1)
+            many = blocks[at]
+            own = b["number"].to_numpy()[:, None] % many
+            for other in range(int(many.max())):
+                row, col = np.nonzero((many > other) & (at % turns == turn))
+                mine = own[row, col]
+                whole = np.concatenate([code[row], (mine > other).astype(np.uint8)[:, None]], 1)
+                ends = np.arange(0, whole.size + 1, whole.shape[1], dtype=np.int32)
+                codes = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(whole)])
+                group = (at[row, col].astype(np.int64) << 40) + (np.minimum(mine, other) << 20) + np.maximum(mine, other)
+                yield pa.RecordBatch.from_arrays([pa.array(group), b["id"].take(pa.array(row)), codes], ["group", "id", "code"])
+
+    def pairs(group: int, ids: list[pa.Array], codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        ids, code = pa.concat_arrays(ids), np.concatenate(codes)
+        v, off = decoded(code, dims)
+        at = np.ascontiguousarray(code[:, dims + 8 : -1]).view("<i2").reshape(len(code), -1)
+        side = code[:, -1] if group >> 20 & 0xFFFFF != group & 0xFFFFF else None
+        for i, j, sure in _close(v, off, side, least, sample, partition):
+            keep = _first_shared(at[i], at[j], group >> 40)
+            found = [ids.take(pa.array(i[keep])), ids.take(pa.array(j[keep])), pa.array(sure[keep])]
+            yield pa.RecordBatch.from_arrays(found, ["id", "other", "sure"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, codes = None, [], []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = b["group"].to_numpy()
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for lo, hi in zip(cut, np.r_[cut[1:], len(key)]):
+                if key[lo] != group:
+                    if ids:
+                        yield from pairs(group, ids, codes)
+                    group, ids, codes = int(key[lo]), [], []
+                ids.append(b["id"].slice(lo, hi - lo))
+                codes.append(_bytes(b["code"].slice(lo, hi - lo)).copy())
+        if ids:
+            yield from pairs(group, ids, codes)
+
+    numbered, parted = vectors.select("id", "vector", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)).alias("number")), []
+    for turn in range(turns):
+        placed = numbered.mapInArrow(functools.partial(place, turn=turn), "group long, id string, code binary")
+        found = placed.repartition("group").sortWithinPartitions("group").mapInArrow(meet, "id string, other string, sure boolean")
+        parted.append(stored(found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "sure"), tidy=True))
+    met = functools.reduce(DataFrame.unionByName, parted)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (unit(b[c].flatten().to_numpy().reshape(-1, dims).astype(np.float64)) for c in ("x", "y"))
+                yield b.select(["a", "b"]).filter(pa.array(np.einsum("ij,ij->i", x, y) >= least))
+
+    near = met.filter(~F.col("sure")).select("a", "b")
+    for end, name in (("a", "x"), ("b", "y")):
+        near = near.join(vectors.select(F.col("id").alias(end), F.col("vector").alias(name)), end)
+    links = stored(met.filter("sure").select("a", "b").unionByName(near.select("a", "b", "x", "y").mapInArrow(test, "a string, b string")), tidy=True)
+    discard(met)
+    return links
+
+
 def similar_classes(df: DataFrame, item: str, vector: str, dims: int, least: float, **more) -> tuple[DataFrame, DataFrame]:
     """(links, members): (a, b) of linked classes, a < b, and (item, class, vector) of every item with a usable vector.
 
     Items of equal vectors are one class, named by its least item; classes are linked at a cosine of at
     least `least`, missing few. Copies are never compared with each other. Items without a usable vector
-    have no rows, see vector_classes. `more` goes to the Index.
+    have no rows, see vector_classes. `more` goes to linked_vectors.
     """
-    members = stored(vector_classes(df, item, vector, dims))
-    found = Index(members, dims, least=least, **more).pairs(least)
-    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), members
+    members = vector_classes(df, item, vector, dims)
+    distinct = members.filter(F.col("item") == F.col("class")).select(F.col("class").alias("id"), "vector")
+    return linked_vectors(distinct, dims, least, **more), members
 
 
 def class_links(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -512,7 +682,7 @@ def nearest(df: DataFrame, item: str, vector: str, dims: int, k: int, recall: fl
     be neighbours. The probes are set for the given recall on vectors held out from
     training and on the sample; ties are ordered by id. `more` goes to the Index.
     """
-    classes = stored(vector_classes(df, item, vector, dims))
+    classes = vector_classes(df, item, vector, dims)
     some = Window.partitionBy("class").orderBy("item")
     few = classes.select("item", "class").withColumn("_n", F.row_number().over(some)).filter(F.col("_n") <= k + 1)
     few = few.select(F.col("item").alias("neighbour"), F.col("class").alias("other"))
@@ -536,7 +706,7 @@ def measured_recall(df: DataFrame, item: str, vector: str, dims: int, k: int, as
     item as near as the k-th true one is a true one. Without neighbours the recall is 1.
     """
     found = nearest(df, item, vector, dims, k, **more)
-    members = stored(vector_classes(df, item, vector, dims))
+    members = vector_classes(df, item, vector, dims)
     asked_for = stored(members.filter(asked).select("item"))
     rows = members.select(F.lit("all").alias("realm"), F.col("item").alias("id"), F.col("vector").cast("array<double>").alias("v"))
     asks = rows.join(asked_for.withColumnRenamed("item", "id"), "id", "left_semi").select(*rows.columns)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Paths made by this process, by application, until they are released.
 _MADE: dict[str, list[str]] = {}
+# Shuffle files otherwise stay until the driver's garbage collector meets their last reference.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @functools.cache
@@ -39,15 +41,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, tidy: bool = False) -> DataFrame:
     """`df`, written once as a Parquet table to the shared folder and read back.
 
     As a reliable checkpoint, but compressed and open to column pruning. The table stays until it is
-    released or the folder is cleared.
+    released or the folder is cleared. `tidy` deletes the shuffle files of the writing when it is done.
     """
-    path = shared_path(df.sparkSession, "stored")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_path(spark, "stored")
+    before = spark.conf.get(_TIDY, None)
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that `stored` made and that nothing will read again."""
+    made = _MADE.get(df.sparkSession.sparkContext.applicationId, [])
+    for path in {p for f in df.inputFiles() for p in made if f"/{p.rsplit('/', 1)[1]}/" in f}:
+        fs, at = file_system(df.sparkSession, path)
+        fs.delete(at, True)
+        made.remove(path)
 
 
 def file_system(spark: SparkSession, path: str):
