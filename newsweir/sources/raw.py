@@ -163,12 +163,13 @@ def read_tsv_logs(spark: SparkSession, news: list[str], behaviors: list[str]) ->
 
 
 def parquet_shape(path: str) -> dict:
-    """Rows, columns, row groups and schema of a Parquet file, from its footer."""
-    import pyarrow.parquet as pq
+    """Rows, columns, row groups and schema of a Parquet file, or of a folder of them, from the footers."""
+    import pyarrow.dataset as ds
 
-    meta = pq.ParquetFile(path).metadata
-    schema = [(f.name, str(f.type)) for f in pq.read_schema(path)]
-    return {"rows": meta.num_rows, "columns": len(schema), "row_groups": meta.num_row_groups, "schema": schema}
+    whole = ds.dataset(path, format="parquet", partitioning="hive")
+    footers = [f.metadata for f in whole.get_fragments()]
+    schema = [(f.name, str(f.type)) for f in whole.schema]
+    return {"rows": sum(m.num_rows for m in footers), "columns": len(schema), "row_groups": sum(m.num_row_groups for m in footers), "schema": schema}
 
 
 def schema_difference(a: DataFrame, b: DataFrame) -> dict[str, set]:

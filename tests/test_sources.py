@@ -54,6 +54,9 @@ def test_vectors_and_shapes(spark, tmp_path):
     spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/p")
     part = next(p for p in (tmp_path / "p").iterdir() if p.name.endswith(".parquet"))
     assert raw.parquet_shape(str(part))["rows"] == 5
+    spark.range(7).repartition(3).write.parquet(f"{tmp_path}/parts")
+    shape = raw.parquet_shape(f"{tmp_path}/parts")
+    assert (shape["rows"], shape["columns"], shape["row_groups"], shape["schema"]) == (7, 1, 3, [("id", "int64")])
     a, b = spark.range(1), spark.range(1).withColumn("x", F.lit("s"))
     assert raw.schema_difference(a, b) == {"first_only": set(), "second_only": {("x", "string")}, "both": {("id", "bigint")}}
 
