@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsweir.functions.text import terms, title_and_abstract
-from newsweir.operators.blocks import blocked_top
+from newsweir.operators.blocks import top_lists
 from newsweir.operators.skew import lookup
 
 K1, B = 1.5, 0.75
 PLACES = 6
+# Of a block: terms in more than 1/_RARE of the articles get a dense column, up to _DENSE of them; places scored at once.
+_RARE, _DENSE, _EXACT = 128, 1024, 1 << 14
 
 
 def document_terms(articles: DataFrame) -> DataFrame:
@@ -74,32 +77,78 @@ def candidate_scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> D
 
 
 class _Postings:
-    """A block's weights by term."""
+    """A block's weights: entries by article, and a column for each term that is asked for, frequent ones first and dense."""
 
-    def __init__(self, block):
-        self.n = block.num_rows
-        lists = block["terms"].combine_chunks()
+    def __init__(self, vocabulary, table):
+        self.n = table.num_rows
+        lists = table["terms"].combine_chunks()
         codes = lists.flatten().dictionary_encode()
-        term = codes.indices.to_numpy()
-        sizes = np.diff(lists.offsets.to_numpy())
-        order = np.argsort(term, kind="stable")
-        self.doc = np.repeat(np.arange(self.n), sizes)[order]
-        self.weight = block["weights"].combine_chunks().flatten().to_numpy()[order]
-        self.place = {t: i for i, t in enumerate(codes.dictionary.to_pylist())}
-        ends = np.cumsum(np.bincount(term, minlength=len(self.place)))
-        self.start, self.size = np.r_[0, ends[:-1]].astype(int) if len(ends) else ends, np.diff(np.r_[0, ends]).astype(int)
-
-    def score(self, queries) -> np.ndarray:
-        """All queries of a batch at once: their terms' postings laid end to end and summed by query and article."""
-        lists = queries["terms"].combine_chunks()
-        query = np.repeat(np.arange(queries.num_rows), np.diff(lists.offsets.to_numpy()))
-        term = np.fromiter((self.place.get(t, -1) for t in lists.flatten().to_pylist()), int, len(query))
-        query, term = query[term >= 0], term[term >= 0]
-        size = self.size[term]
-        at = np.repeat(self.start[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        cell = np.repeat(query, size) * self.n + self.doc[at]
-        sums = np.bincount(cell, self.weight[at], queries.num_rows * self.n).reshape(queries.num_rows, self.n)
-        return np.where(sums > 0, np.round(sums, PLACES), np.nan)
+        known = pc.index_in(codes.dictionary, vocabulary).fill_null(-1).to_numpy()
+        term = known[codes.indices.to_numpy()]
+        doc = np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))[term >= 0]
+        self.weight = table["weights"].combine_chunks().flatten().to_numpy()[term >= 0]
+        term = term[term >= 0]
+        counts = np.bincount(term, minlength=len(vocabulary))
+        order = np.argsort(-counts, kind="stable")
+        self.column = np.full(len(vocabulary), -1)
+        self.width = int((counts > 0).sum())
+        self.column[order[: self.width]] = np.arange(self.width)
+        self.dense = min(int((counts > self.n / _RARE).sum()), _DENSE)
+        self.col = self.column[term]
+        self.size = np.bincount(doc, minlength=self.n)
+        self.start = np.cumsum(self.size) - self.size
+        often = self.col < self.dense
+        self.matrix = np.zeros((self.dense, self.n), np.float32)
+        self.matrix[self.col[often], doc[often]] = self.weight[often]
+        rare = np.flatnonzero(~often)
+        rare = rare[np.argsort(self.col[rare], kind="stable")]
+        self.rare_doc, self.rare_weight = doc[rare], self.weight[rare].astype(np.float32)
+        self.rare_size = np.bincount(self.col[rare], minlength=self.width)
+        self.rare_start = np.cumsum(self.rare_size) - self.rare_size
+
+
+class _Sums:
+    """Scores of top_lists: a frequent term is a column of a matrix product, others are added posting by posting."""
+
+    least = 0.0
+
+    def queries(self, table):
+        lists = table["terms"].combine_chunks()
+        codes = lists.flatten().dictionary_encode()
+        return codes.dictionary, codes.indices.to_numpy(), np.r_[0, np.cumsum(np.diff(lists.offsets.to_numpy()))]
+
+    def block(self, queries, table):
+        return _Postings(queries[0], table)
+
+    def near(self, queries, block, lo, hi):
+        _, codes, ends = queries
+        row, col = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1])), block.column[codes[ends[lo] : ends[hi]]]
+        row, col = row[col >= 0], col[col >= 0]
+        block.asked = np.zeros((hi - lo, block.width), bool)
+        block.asked[row, col] = True
+        near = block.asked[:, : block.dense].astype(np.float32) @ block.matrix
+        row, col = row[col >= block.dense], col[col >= block.dense]
+        at, size = _spans(block.rare_start[col], block.rare_size[col])
+        np.add.at(near.reshape(-1), np.repeat(row, size) * block.n + block.rare_doc[at], block.rare_weight[at])
+        return near
+
+    def exact(self, queries, block, lo, row, col):
+        out = np.empty(len(row))
+        for i in range(0, len(row), _EXACT):
+            r, c = row[i : i + _EXACT], col[i : i + _EXACT]
+            at, size = _spans(block.start[c], block.size[c])
+            worth = block.weight[at] * block.asked[np.repeat(r, size), block.col[at]]
+            out[i : i + _EXACT] = np.add.reduceat(worth, np.cumsum(size) - size)
+        return out
+
+    def floor(self, block, x):
+        """Weights are above 0, so a sum of n of them in single precision is off by a share of n / 2^23 at most."""
+        return (x - 10.0**-PLACES) * (1 - (block.width + 8) / 2**23)
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of spans laid end to end, and their sizes."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum()), size
 
 
 def top_articles(queries: DataFrame, docs: DataFrame, k: int = 200) -> DataFrame:
@@ -108,5 +157,5 @@ def top_articles(queries: DataFrame, docs: DataFrame, k: int = 200) -> DataFrame
     Only articles that share a term with the query; equal scores, to 6 places, are ordered by id.
     """
     items = docs.select(F.col("dataset").alias("realm"), F.col("article_id").alias("id"), "terms", "weights")
-    asks = queries.select(F.col("dataset").alias("realm"), F.col("query").alias("id"), "terms", F.lit(None).cast("array<double>").alias("weights"))
-    return blocked_top(items, asks, k, _Postings, _Postings.score).withColumnRenamed("item", "article_id")
+    asks = queries.select(F.col("dataset").alias("realm"), F.col("query").alias("id"), "terms")
+    return top_lists(items, asks, k, _Sums()).withColumnRenamed("item", "article_id")

@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsweir.operators.blocks import blocked_top
+from newsweir.operators.blocks import top_lists
 from newsweir.operators.skew import lookup
 
 PLACES = 6
+_EXACT = 1 << 14  # places scored at once
 
 
 def article_vectors(articles: DataFrame, dims: int = 64) -> DataFrame:
@@ -51,6 +52,35 @@ def _unit(table) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
+class _Cosines:
+    """Scores of top_lists: products of unit vectors, nearly in single precision."""
+
+    least = -np.inf
+
+    def queries(self, table):
+        unit = _unit(table)
+        return unit, unit.astype(np.float32)
+
+    def block(self, queries, table):
+        unit = _unit(table)
+        return unit, unit.astype(np.float32).T, np.flatnonzero(~np.isfinite(unit).all(axis=1))
+
+    def near(self, queries, block, lo, hi):
+        near = queries[1][lo:hi] @ block[1]
+        near[:, block[2]] = -np.inf
+        return near
+
+    def exact(self, queries, block, lo, row, col):
+        out = np.empty(len(row))
+        for i in range(0, len(row), _EXACT):
+            out[i : i + _EXACT] = np.einsum("ij,ij->i", queries[0][lo + row[i : i + _EXACT]], block[0][col[i : i + _EXACT]])
+        return out
+
+    def floor(self, block, x):
+        """A product of unit vectors in single precision is off by its length / 2^23 at most."""
+        return x - 10.0**-PLACES - (block[0].shape[1] + 8) / 2**23
+
+
 def top_articles(queries: DataFrame, vectors: DataFrame, k: int = 200) -> DataFrame:
     """(query, article_id, score, rank): the k articles of a query's dataset with the highest cosine.
 
@@ -58,5 +88,4 @@ def top_articles(queries: DataFrame, vectors: DataFrame, k: int = 200) -> DataFr
     """
     items = vectors.select(F.col("dataset").alias("realm"), F.col("article_id").alias("id"), F.col("vector").cast("array<double>").alias("v"))
     asks = queries.select(F.col("dataset").alias("realm"), F.col("query").alias("id"), F.col("vector").alias("v"))
-    found = blocked_top(items, asks, k, _unit, lambda base, q: np.round(_unit(q) @ base.T, PLACES) + 0.0)
-    return found.withColumnRenamed("item", "article_id")
+    return top_lists(items, asks, k, _Cosines()).withColumnRenamed("item", "article_id")

@@ -37,7 +37,7 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSess
     """What `build` gives, written once per application and state of a directory, as the reference's stages write files."""
     key, files = (spark.sparkContext.applicationId, sf_dir, name), _files(spark, sf_dir)
     if key not in _KEPT or _KEPT[key][0] != files:
-        _KEPT[key] = files, stored(build(spark, sf_dir))
+        _KEPT[key] = files, stored(build(spark, sf_dir), tidy=True)
     return _KEPT[key][1]
 
 

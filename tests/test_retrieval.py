@@ -117,3 +117,23 @@ def test_recall(spark):
     c = spark.createDataFrame(clicked, "impression_id string, query string, article_id string")
     got = {r["impression_id"]: (r["recall_3"], r["recall_5"]) for r in recall_at(c, top, ["impression_id"], "query", [3, 5]).collect()}
     assert got == {"1": (1, 1), "2": (0, 0), "3": (0.5, 0.5), "4": (0, 1), "5": (0, 0)}
+
+
+def test_lists_of_many_blocks_are_neither_shuffled_nor_cut(spark, monkeypatch):
+    import newsweir.operators.blocks as blocks
+
+    monkeypatch.setattr(blocks, "_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    words = [f"w{chr(97 + i)}" for i in range(25)]
+    docs = [(f"n{i:03d}", " ".join(rng.choice(words, rng.integers(1, 9))), None) for i in range(100)] + [(f"s{i:02d}", "wb wc", None) for i in range(40)]
+    _, d = index(spark, docs)
+    asks = {f"q{i}": " ".join(sorted(rng.choice(words, 4, replace=False))) for i in range(20)} | {"tied": "wb wc", "none": "other"}
+    q = spark.createDataFrame([("d", i, t.split()) for i, t in asks.items()], "dataset string, query string, terms array<string>")
+    top = bm25.top_articles(q, d, 6)
+    assert "Window" not in top._jdf.queryExecution().executedPlan().toString()
+    got = {(r["query"], r["rank"]): (r["article_id"], r["score"]) for r in top.collect()}
+    want = {}
+    for i, t in asks.items():
+        best = sorted(((-s, a) for a, s in brute(t, docs).items() if s > 0))[:6]
+        want |= {(i, k + 1): (a, -s) for k, (s, a) in enumerate(best)}
+    assert got == want
