@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsweir.operators.skew import lookup
+from newsweir.operators.beside import beside, coded, may_match, numbers
 
 _DISCOUNTS = [0.0]
 for _r in range(1, 11):
@@ -70,21 +71,44 @@ def recall_at(clicked: DataFrame, retrieved: DataFrame, by: list[str], key: str,
     `clicked` has by, key and article_id, a row per element of a click list, so a click may count twice.
     Impressions without clicks have no row, those with nothing retrieved have 0.
     """
-    hits = clicked.join(retrieved.select(key, "article_id", "rank"), [key, "article_id"], "left")
+    some = may_match(retrieved.select(key, "article_id", "rank"), clicked, [key, "article_id"])
+    hits = clicked.join(some, [key, "article_id"], "left")
     share = [F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias(f"recall_{k}") for k in ks]
     return hits.groupBy(*by).agg(*share)
 
 
 def diversity(lists: DataFrame, categories: DataFrame, by: str) -> DataFrame:
     """(by, diversity): distinct over known categories of each list; lists without a known one have no row."""
-    known = lists.join(categories.filter(F.col("category").isNotNull()), "article_id")
-    return known.groupBy(by).agg((F.count_distinct("category") / F.count(F.lit(1))).alias("diversity"))
+
+    def work(chunks):
+        for rows, (place, found) in chunks:
+            if found is None or not found.num_rows:
+                continue
+            code, keys = coded(rows, by)
+            kind, kinds = coded(found, "category")
+            some = place >= 0
+            pair, n = np.unique(code[some] * len(kinds) + kind[place[some]], return_counts=True)
+            key, kind = np.divmod(pair, len(kinds))
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(key)), kinds.take(pa.array(kind)), pa.array(n)], [by, "category", "_n"])
+
+    known = categories.filter(F.col("category").isNotNull()).select("article_id", "category")
+    counts = beside(lists.select(by, "article_id"), [(known, "article_id")], work, f"`{by}` {lists.schema[by].dataType.simpleString()}, category string, _n long")
+    each = counts.groupBy(by, "category").agg(F.sum("_n").alias("_n"))
+    return each.groupBy(by).agg((F.count(F.lit(1)) / F.sum("_n")).alias("diversity"))
 
 
 def novelty(lists: DataFrame, popularity: DataFrame, clicks: int, by: str) -> DataFrame:
     """(by, novelty): the mean of -log2 of the smoothed share of clicks of each list's articles."""
-    counted = lookup(lists, popularity, ["article_id"], "left")
-    return counted.groupBy(by).agg(F.avg(-F.log2((F.coalesce("n", F.lit(0)) + 1) / F.lit(clicks + 1.0))).alias("novelty"))
+
+    def work(chunks):
+        for rows, (place, found) in chunks:
+            code, keys = coded(rows, by)
+            worth = -np.log2((numbers(found, "n", 0)[place] + 1) / (clicks + 1.0))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.bincount(code, worth, len(keys))), pa.array(np.bincount(code, minlength=len(keys)))], [by, "_sum", "_n"])
+
+    schema = f"`{by}` {lists.schema[by].dataType.simpleString()}, _sum double, _n long"
+    sums = beside(lists.select(by, "article_id"), [(popularity.select("article_id", "n"), "article_id")], work, schema)
+    return sums.groupBy(by).agg((F.sum("_sum") / F.sum("_n")).alias("novelty"))
 
 
 def popularity(clicked: DataFrame) -> DataFrame:
@@ -99,6 +123,8 @@ _STEP, _MIX = 0x9E3779B1, (0x7FEB352D, 0x846CA68B)
 _WORD = 62  # replicates in a long
 # A draw in Arrow works on some rows times all replicates at once, and holds the sums of some groups.
 _CELLS, _GROUPS = 1 << 21, 512
+# Articles and labels whose bits a task holds, and rows of bits that it handles at once.
+_COVERED, _OUT = 1 << 19, 1 << 16
 
 
 def seeds(key: Column) -> Column:
@@ -189,6 +215,57 @@ def drawn_bits(rows: DataFrame, key: str, replicates: int) -> tuple[DataFrame, l
     return rows.withColumn("_seed", seeds(F.col(key))).mapInArrow(run, ", ".join(fields)), words
 
 
+def _covered(chunks) -> Iterator[pa.RecordBatch]:
+    """(_by, article_id, bits...): which replicates draw an impression whose list has the article, in the lists of some chunks."""
+    held: dict[str, np.ndarray] = {}
+    ids = pa.array([], pa.string())
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for key, bits in held.items():
+            some = np.flatnonzero(bits[:, 0] >= 0)
+            for at in range(0, len(some), _OUT):
+                one = some[at : at + _OUT]
+                columns = [pa.array([key] * len(one), pa.string()), ids.take(pa.array(one)), *(pa.array(c) for c in bits[one].T)]
+                yield pa.RecordBatch.from_arrays(columns, ["_by", "article_id", *(f"_bits{i}" for i in range(bits.shape[1]))])
+
+    for rows, (place, found) in chunks:
+        if found is None or not found.num_rows:
+            continue
+        asked = found["_asked"].combine_chunks()
+        size = np.diff(asked.offsets.to_numpy())
+        first, flat = np.cumsum(size) - size, asked.flatten()
+        label, labels = coded(pa.table({"by": flat.field("by")}), "by")
+        words = flat.field("words").flatten().to_numpy().reshape(len(flat), -1)
+        article, own = coded(rows, "article_id")
+        known = pc.index_in(own, ids).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(known < 0)
+        known[new] = len(ids) + np.arange(len(new))
+        ids = pa.concat_arrays([ids, own.take(pa.array(new))])
+        article, row = known[article], np.flatnonzero(place >= 0)
+        for i, key in enumerate(labels.to_pylist()):
+            # A query has an entry for a label once.
+            entry = np.full(len(size), -1)
+            mine = np.flatnonzero(label == i)
+            entry[np.searchsorted(first, mine, "right") - 1] = mine
+            of = entry[place[row]]
+            some = np.flatnonzero(of >= 0)
+            some = some[np.argsort(article[row[some]], kind="stable")]
+            bits = held.get(key, np.zeros((0, words.shape[1]), np.int64))
+            bits = np.concatenate([bits, np.full((len(ids) - len(bits), words.shape[1]), -1)]) if len(bits) < len(ids) else bits
+            for at in range(0, len(some), _OUT):
+                part = some[at : at + _OUT]
+                which, begin = np.unique(article[row[part]], return_index=True)
+                drawn = np.bitwise_or.reduceat(words[of[part]], begin, axis=0)
+                old = bits[which]
+                bits[which] = np.where(old < 0, drawn, old | drawn)
+            held[key] = bits
+        if sum(map(len, held.values())) > _COVERED:
+            yield from out()
+            held.clear()
+            ids = ids[:0]
+    yield from out()
+
+
 def coverage_interval(
     impressions: DataFrame, lists: DataFrame, by: str, key: str, query: str, catalog: DataFrame, replicates: int = 1000, alpha: float = 0.05
 ) -> DataFrame:
@@ -196,20 +273,36 @@ def coverage_interval(
 
     `impressions` has by, key and query, `lists` query and article_id, `catalog` by and articles, the
     catalogue's size. Impressions are drawn, not articles. Which replicates draw a query's impressions is
-    a bit each in as many longs as they need by a bitwise or; so is which of them cover an article. Each
-    row is read once for all replicates. The point may lie above the interval, as drawing with repeats
-    never adds articles. Only impressions with a list count in n.
+    a bit each in as many longs as they need by a bitwise or; so is which of them cover an article, which
+    each task gathers for its lists. Each row is read once for all replicates. The point may lie above the
+    interval, as drawing with repeats never adds articles. Only impressions with a list count in n.
     """
     asked, words = drawn_bits(impressions.select(by, key, query), key, replicates)
     either = [F.bit_or(c).alias(c) for c in words]
     asked = asked.groupBy(by, query).agg(*either, F.count_distinct(key).alias("_n"))
-    found = asked.join(lists.select(query, "article_id"), query)
     n = asked.join(lists.select(query).distinct(), query, "left_semi").groupBy(by).agg(F.sum("_n").alias("n"))
-    covered = found.groupBy(by, "article_id").agg(*either)
-    at = covered.select(by, F.array(*words).alias("_words"), F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))).alias("_b"))
-    on = F.when(F.col("_b") < 0, 1).otherwise(F.expr(f"shiftright(_words[greatest(_b, 0) div {_WORD}], greatest(_b, 0) % {_WORD}) & 1"))
+    each = asked.groupBy(query).agg(F.collect_list(F.struct(F.col(by).alias("by"), F.array(*words).alias("words"))).alias("_asked"))
+    parts = beside(lists.select(query, "article_id"), [(each, query)], _covered, f"_by string, article_id string, {', '.join(f'{w} long' for w in words)}")
+    covered = parts.groupBy("_by", "article_id").agg(*either).select("_by", *words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        bit = np.arange(replicates) // _WORD * 64 + np.arange(replicates) % _WORD
+        for b in batches:
+            code, keys = coded(pa.Table.from_batches([b]), "_by")
+            held = np.stack([b[w].to_numpy() for w in words], axis=1)
+            for i, key in enumerate(keys.to_pylist()):
+                own = held[code == i]
+                got = sums.setdefault(key, np.zeros(replicates + 1, np.int64))
+                got[0] += len(own)
+                for at in range(0, len(own), 4096):
+                    got[1:] += np.unpackbits(own[at : at + 4096].view(np.uint8), axis=1, bitorder="little")[:, bit].sum(axis=0, dtype=np.int64)
+        for key, got in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(got)), pa.array(np.arange(-1, replicates), pa.int32()), pa.array(got)], ["_by", "_b", "_covered"])
+
+    counted = covered.mapInArrow(count, "_by string, _b int, _covered long")
     # A catalogue has a row per value of `by`, a label.
-    counts = at.groupBy(by, "_b").agg(F.sum(on).alias("_covered")).join(F.broadcast(catalog), by)
+    counts = counted.groupBy(F.col("_by").alias(by), "_b").agg(F.sum("_covered").alias("_covered")).join(F.broadcast(catalog), by)
     share = F.when(F.col("articles") > 0, F.col("_covered") / F.col("articles")).otherwise(0.0)
     boot = F.when(F.col("_b") >= 0, F.col("_share"))
     return (
