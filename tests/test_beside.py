@@ -21,3 +21,12 @@ def test_novelty_leaves_lists_in_place(spark, monkeypatch):
     assert "Join" not in plan(found)
     want = {q: np.mean([-np.log2((clicks.get(a, 0) + 1) / 67) for x, a in LISTS if x == q]) for q, _ in LISTS}
     assert {r["query"]: r["novelty"] for r in found.collect()} == pytest.approx(want)
+
+
+def test_diversity_leaves_lists_in_place(spark, monkeypatch):
+    monkeypatch.setattr(b, "_ROWS", 4)
+    kinds = {f"a{i}": f"c{i % 3}" for i in range(1, 12)} | {"a0": None}
+    found = metrics.diversity(spark.createDataFrame(LISTS, LISTED), spark.createDataFrame(list(kinds.items()), "article_id string, category string"), "query")
+    assert "Join" not in plan(found)
+    known = {q: [kinds[a] for x, a in LISTS if x == q and kinds.get(a)] for q, _ in LISTS}
+    assert {r["query"]: r["diversity"] for r in found.collect()} == pytest.approx({q: len({*k}) / len(k) for q, k in known.items() if k})
