@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsweir.operators.beside import beside, coded
 from newsweir.operators.blocks import top_lists
 from newsweir.operators.skew import lookup
 
@@ -89,3 +91,38 @@ def top_articles(queries: DataFrame, vectors: DataFrame, k: int = 200) -> DataFr
     items = vectors.select(F.col("dataset").alias("realm"), F.col("article_id").alias("id"), F.col("vector").cast("array<double>").alias("v"))
     asks = queries.select(F.col("dataset").alias("realm"), F.col("query").alias("id"), F.col("vector").alias("v"))
     return top_lists(items, asks, k, _Cosines()).withColumnRenamed("item", "article_id")
+
+
+def reranked(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(query, article_id, score, rank): the k of each query's `pairs` with the highest cosine, as candidate_cosines has it; ties by id.
+
+    `pairs` stay where they are: of a query's pairs in a chunk only those go on that may be among its first.
+    """
+
+    def lengths(x: np.ndarray) -> np.ndarray:
+        return np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)
+
+    def work(chunks):
+        for rows, *found in chunks:
+            cosine = np.zeros(rows.num_rows)
+            (q, asks), (a, items) = found
+            some = np.flatnonzero((q >= 0) & (a >= 0))
+            if len(some):
+                x, y = (t["vector"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) for t in (asks, items))
+                for i in range(0, len(some), _EXACT):
+                    at = some[i : i + _EXACT]
+                    u, w = x[q[at]], y[a[at]].astype(float)
+                    cosine[at] = np.einsum("ij,ij->i", u, w) / (lengths(u) * lengths(w))
+            code, _ = coded(rows, "query")
+            worth = np.where(np.isnan(cosine), np.inf, cosine)
+            order = np.lexsort((-worth, code))
+            n = np.bincount(code)
+            last = worth[order[np.cumsum(n) - n + np.minimum(n, k) - 1]]
+            keep = pa.array(np.flatnonzero(worth >= last[code] - 2 * 10.0**-PLACES))
+            yield pa.RecordBatch.from_arrays([rows["query"].combine_chunks().take(keep), rows["article_id"].combine_chunks().take(keep), pa.array(cosine).take(keep)], ["query", "article_id", "score"])
+
+    smalls = [(queries.select("query", "vector"), "query"), (vectors.select("article_id", "vector"), "article_id")]
+    found = beside(pairs.select("query", "article_id"), smalls, work, "query string, article_id string, score double")
+    found = found.withColumn("score", F.round("score", PLACES))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "article_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from newsweir.operators import bm25, metrics
+from newsweir.operators import bm25, metrics, vectors
 from newsweir.operators.dedupe import keep_first
 from newsweir.operators.history import history_asof
 from newsweir.operators.partitions import spread
@@ -521,11 +521,7 @@ def click_subset_invariant(spark: SparkSession, d: str) -> DataFrame:
 )
 def two_stage_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The 50 best of the lexical candidates by cosine."""
-    from newsweir.operators.vectors import candidate_cosines
-
-    found = candidate_cosines(v.bm25_top(spark, d).select("query", "article_id"), v.query_vectors(spark, d), v.article_vectors(spark, d))
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "article_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= 50).select("query", "article_id", "score", "rank")
+    return vectors.reranked(v.bm25_top(spark, d), v.query_vectors(spark, d), v.article_vectors(spark, d), 50).select("query", "article_id", "score", "rank")
 
 
 @query(

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 import newsweir.operators.beside as b
-from newsweir.operators import metrics
+from newsweir.operators import metrics, vectors
 
 
 def plan(df):
@@ -30,3 +30,17 @@ def test_diversity_leaves_lists_in_place(spark, monkeypatch):
     assert "Join" not in plan(found)
     known = {q: [kinds[a] for x, a in LISTS if x == q and kinds.get(a)] for q, _ in LISTS}
     assert {r["query"]: r["diversity"] for r in found.collect()} == pytest.approx({q: len({*k}) / len(k) for q, k in known.items() if k})
+
+
+def test_reranking_leaves_pairs_in_place(spark, monkeypatch):
+    monkeypatch.setattr(b, "_ROWS", 4)
+    rng = np.random.default_rng(6)
+    x, y = rng.standard_normal((15, 4)).astype(np.float32), rng.standard_normal((8, 4))
+    items = spark.createDataFrame([("d", f"a{i}", v.tolist()) for i, v in enumerate(x)], "dataset string, article_id string, vector array<float>")
+    asks = spark.createDataFrame([("d", f"q{i}", v.tolist()) for i, v in enumerate(y)], "dataset string, query string, vector array<double>")
+    pairs = spark.createDataFrame([*dict.fromkeys(LISTS)], LISTED)
+    found = vectors.reranked(pairs, asks, items, 2)
+    assert "Join" not in plan(found)
+    scores = {(r["query"], r["article_id"]): r["score"] for r in vectors.candidate_cosines(pairs, asks, items).collect()}
+    order = {q: sorted((-s, a) for (x, a), s in scores.items() if x == q)[:2] for q, _ in LISTS}
+    assert sorted(map(tuple, found.collect())) == sorted((q, a, -s + 0.0, k + 1) for q, o in order.items() for k, (s, a) in enumerate(o))
