@@ -44,3 +44,10 @@ def test_reranking_leaves_pairs_in_place(spark, monkeypatch):
     scores = {(r["query"], r["article_id"]): r["score"] for r in vectors.candidate_cosines(pairs, asks, items).collect()}
     order = {q: sorted((-s, a) for (x, a), s in scores.items() if x == q)[:2] for q, _ in LISTS}
     assert sorted(map(tuple, found.collect())) == sorted((q, a, -s + 0.0, k + 1) for q, o in order.items() for k, (s, a) in enumerate(o))
+
+
+def test_clicks_meet_few_of_the_rows_retrieved(spark):
+    top = spark.createDataFrame([(f"q{i}", f"a{j}", j) for i in range(50) for j in range(20)], LISTED + ", rank int")
+    wanted = spark.createDataFrame([("q1", "a2"), ("q7", "a3"), ("q7", "gone"), ("none", "a1")], LISTED)
+    got = {(r["query"], r["article_id"]) for r in b.may_match(top, wanted, ["query", "article_id"]).collect()}
+    assert got >= {("q1", "a2"), ("q7", "a3")} and len(got) < 10
