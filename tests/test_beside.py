@@ -51,3 +51,10 @@ def test_clicks_meet_few_of_the_rows_retrieved(spark):
     wanted = spark.createDataFrame([("q1", "a2"), ("q7", "a3"), ("q7", "gone"), ("none", "a1")], LISTED)
     got = {(r["query"], r["article_id"]) for r in b.may_match(top, wanted, ["query", "article_id"]).collect()}
     assert got >= {("q1", "a2"), ("q7", "a3")} and len(got) < 10
+
+
+def test_recall_joins_what_may_match(spark):
+    top = spark.createDataFrame([("q", x, i + 1) for i, x in enumerate("abcde")], LISTED + ", rank int")
+    clicked = spark.createDataFrame([("1", "q", "a"), ("1", "q", "z")], "impression_id string, query string, article_id string")
+    found = metrics.recall_at(clicked, top, ["impression_id"], "query", [3])
+    assert "bitmap" in plan(found) and found.first()["recall_3"] == 0.5
