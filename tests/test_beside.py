@@ -58,3 +58,17 @@ def test_recall_joins_what_may_match(spark):
     clicked = spark.createDataFrame([("1", "q", "a"), ("1", "q", "z")], "impression_id string, query string, article_id string")
     found = metrics.recall_at(clicked, top, ["impression_id"], "query", [3])
     assert "bitmap" in plan(found) and found.first()["recall_3"] == 0.5
+
+
+def test_coverage_leaves_lists_in_place(spark, monkeypatch):
+    monkeypatch.setattr(b, "_ROWS", 4)
+    lists = spark.createDataFrame(LISTS, LISTED)
+    seen = [(s, f"i{k}", f"q{k % 11}") for k in range(30) for s in ("all", "cold" if k % 3 else "warm")]
+    asked = spark.createDataFrame(seen, "part string, imp string, query string")
+    found = metrics.coverage_interval(asked, lists, "part", "imp", "query", spark.createDataFrame([("all", 20), ("cold", 20), ("warm", 20)], "part string, articles long"), 70)
+    weight = {f"i{k}": metrics.poisson_weights(np.array([r["s"]]), 70)[0] > 0 for k, r in ((int(r["imp"][1:]), r) for r in asked.select("imp", metrics.seeds(asked["imp"]).alias("s")).distinct().collect())}
+    for r in found.collect():
+        mine = [(i, a) for s, i, q in seen if s == r["part"] for x, a in LISTS if x == q]
+        boot = [len({a for i, a in mine if weight[i][n]}) / 20 for n in range(70)]
+        assert (r["mean"], r["boot_mean"], r["n"]) == pytest.approx((len({a for _, a in mine}) / 20, np.mean(boot), len({i for i, _ in mine})))
+        assert (r["ci_low"], r["ci_high"]) == pytest.approx(tuple(np.percentile(boot, [2.5, 97.5])))
