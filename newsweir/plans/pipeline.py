@@ -129,11 +129,13 @@ def sliced_report(
     clicks = popularity.agg(F.sum("n")).first()[0] or 0
     lists = top.select("query", "article_id")
     per_list = metrics.diversity(lists, articles.select("article_id", "category"), "query").join(metrics.novelty(lists, popularity, clicks, "query"), "query", "full")
+    # Stored, as a lookup reads its tables several times.
+    per_list = stored(per_list, tidy=True)
     known = lookup(rows.select("dataset", "impression_id", "user_id", "query"), lengths, ["user_id"], "left").join(F.broadcast(threshold), "dataset")
     known = known.withColumn("slice", metrics.cold_or_warm(F.col("length"), F.col("threshold")))
     known = known.select("dataset", "impression_id", "query", F.explode(F.array("slice", F.lit("all"))).alias("slice"))
     ranked = metrics.ranking_metrics(scored, ["impression_id"])
-    each = lookup(known.join(ranked, "impression_id", "left"), per_list, ["query"], "left")
+    each = lookup(stored(known.join(ranked, "impression_id", "left"), tidy=True), per_list, ["query"], "left")
     long = each.unpivot(["dataset", "slice", "impression_id"], MEASURES, "metric", "x")
     means = metrics.bootstrap_means(long, ["dataset", "slice", "metric"], "impression_id", "x", replicates)
     # Coverage by slice: one label for both.

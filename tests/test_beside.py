@@ -72,3 +72,18 @@ def test_coverage_leaves_lists_in_place(spark, monkeypatch):
         boot = [len({a for i, a in mine if weight[i][n]}) / 20 for n in range(70)]
         assert (r["mean"], r["boot_mean"], r["n"]) == pytest.approx((len({a for _, a in mine}) / 20, np.mean(boot), len({i for i, _ in mine})))
         assert (r["ci_low"], r["ci_high"]) == pytest.approx(tuple(np.percentile(boot, [2.5, 97.5])))
+
+
+def test_sliced_report_reads_stored_measures(spark):
+    from newsweir.plans.pipeline import sliced_report
+
+    rows = spark.createDataFrame([("d", f"i{k}", f"u{k % 4}", f"q{k % 9}") for k in range(20)], "dataset string, impression_id string, user_id string, query string")
+    scored = spark.createDataFrame([(f"i{k}", p, int(p == k % 3), float(p)) for k in range(20) for p in range(3)], "impression_id string, pos int, label int, score double")
+    articles = spark.createDataFrame([("d", f"a{i}", f"c{i % 3}") for i in range(17)], "dataset string, article_id string, category string")
+    pop, lengths = spark.createDataFrame([("a1", 5)], "article_id string, n long"), spark.createDataFrame([(f"u{k}", k) for k in range(4)], "user_id string, length int")
+    found = sliced_report(rows, scored, spark.createDataFrame(LISTS, LISTED), articles, pop, lengths, spark.createDataFrame([("d", 2.0)], "dataset string, threshold double"), 20)
+    # Neither the ranking's windows nor the lists' measures are made again by each reader.
+    assert "Window" not in plan(found)
+    got = {(r["slice"], r["metric"]): (r["mean"], r["n"]) for r in found.collect()}
+    assert len(got) == 21 and got["all", "mrr"][1] == 20 and got["cold", "auc"][1] == 10
+    assert got["all", "coverage"][0] == pytest.approx(len({a for _, a in LISTS}) / 17)
