@@ -111,6 +111,13 @@ def test_blocks_give_what_one_matrix_gives(spark, monkeypatch):
     assert got == want
 
 
+def test_vector_lists_are_not_shuffled(spark):
+    v = vectors.article_vectors(spark.createDataFrame([("d", f"x{i}", e) for i, e in enumerate(np.eye(3).tolist())], V), 3)
+    top = vectors.top_articles(spark.createDataFrame([("d", "u", [0.9, 0.1, 0.0]), ("d", "bad", [float("nan")] * 3)], "dataset string, query string, vector array<double>"), v, 2)
+    assert "Window" not in top._jdf.queryExecution().executedPlan().toString()
+    assert [(r["query"], r["article_id"], r["rank"]) for r in top.orderBy("rank").collect()] == [("u", "x0", 1), ("u", "x1", 2)]
+
+
 def test_recall(spark):
     top = spark.createDataFrame([("q", x, i + 1) for i, x in enumerate("abcde")], "query string, article_id string, rank int")
     clicked = [("1", "q", "a"), ("2", "q", "z"), ("3", "q", "a"), ("3", "q", "z"), ("4", "q", "d"), ("5", "cold", "a")]
